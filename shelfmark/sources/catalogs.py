@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import base_name, is_blank, normalise_extension, strip_blanks
 from shelfmark.model import CATALOG_ROW_SCHEMA
 
+#: Rows a reader hands over at a time.
+ROWS_PER_BATCH = 10_000
+
 SYSTEMS_JSON = ("array<struct<key:string,name:string,manufacturer:string,category:string,enabled:boolean,"
                 "formats:array<struct<extension:string,formatName:string,formatType:string,priority:int,"
                 "requiresHeaderCheck:boolean,isArchive:boolean,isMultiFile:boolean>>>>")
@@ -132,17 +136,15 @@ def parse_catalog_text(texts: DataFrame) -> DataFrame:
     ``texts``: source_file, value (one whole catalog per row). Nested brackets
     are no regular language, so each file is read by a small helper in the tasks.
     """
+    columns = ["source_file", "position", "rom_name", "name", "size", "crc32", "md5", "sha1", "sha256"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["rom_name", "name", "size", "crc32", "md5", "sha1", "sha256"]
         for batch in batches:
-            for source, text in zip(batch["source_file"], batch["value"]):
-                if text is None or text.lstrip().startswith("<"):
-                    continue
-                rows = pd.DataFrame(list(_catalog_records(text)), columns=columns, dtype="object")
-                if len(rows):
-                    rows.insert(0, "position", range(len(rows)))
-                    rows.insert(0, "source_file", source)
-                    yield rows
+            found = ((source, position, *record) for source, text in zip(batch["source_file"], batch["value"])
+                     if text is not None and not text.lstrip().startswith("<")
+                     for position, record in enumerate(_catalog_records(text)))
+            while rows := list(itertools.islice(found, ROWS_PER_BATCH)):
+                yield pd.DataFrame(rows, columns=columns)
 
     raw_schema = ("source_file string, position long, rom_name string, name string, size string, "
                   "crc32 string, md5 string, sha1 string, sha256 string")

@@ -16,6 +16,10 @@ from shelfmark import fixed_values as V
 from shelfmark.functions.hashing import header_skip, quick_hash
 from shelfmark.functions.text import base_name, extension_of
 
+#: What a reader hands over at a time, so that member contents never pile up in a task.
+ROWS_PER_BATCH = 10_000
+BYTES_PER_BATCH = 64 << 20
+
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """One row per file below ``root``. Only metadata is read, never content.
@@ -104,12 +108,10 @@ def list_archive_entries(archives: DataFrame) -> DataFrame:
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                entries = _members(io.BytesIO(content))
-                if entries:
-                    yield pd.DataFrame({"archive_path": path, "position": range(len(entries)),
-                                        "entry_name": [entry.filename for entry in entries],
-                                        "entry_size": [entry.file_size for entry in entries]})
+            rows = [(path, position, entry.filename, entry.file_size)
+                    for path, content in zip(batch["path"], batch["content"])
+                    for position, entry in enumerate(_members(io.BytesIO(content)))]
+            yield pd.DataFrame(rows, columns=["archive_path", "position", "entry_name", "entry_size"])
 
     return archives.select("path", "content").mapInPandas(
         read, "archive_path string, position long, entry_name string, entry_size long")
@@ -134,13 +136,20 @@ def read_archive_members(archives: DataFrame) -> DataFrame:
     it from inside the tasks. An unreadable member yields no row.
     """
     held = "content" in archives.columns
+    columns = ["file_key", "system_key", "position", "entry_name", "content"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held_bytes = [], 0
         for batch in batches:
             for key, system, given in zip(batch["file_key"], batch["system_key"], batch["given"]):
                 for position, name, body in _member_bodies(io.BytesIO(given) if held else given):
-                    yield pd.DataFrame({"file_key": [key], "system_key": [system], "position": [position],
-                                        "entry_name": [name], "content": [body]})
+                    rows.append((key, system, position, name, body))
+                    held_bytes += len(body)
+                    if held_bytes > BYTES_PER_BATCH or len(rows) >= ROWS_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held_bytes = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     rows = archives.select("file_key", "system_key", F.col("content" if held else "path").alias("given")).mapInPandas(
         read, "file_key string, system_key string, position long, entry_name string, content binary")

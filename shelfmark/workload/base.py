@@ -55,7 +55,7 @@ FROM (
       CASE WHEN l_linestatus = 'F' THEN 'Verified' WHEN l_tax < 0.02 THEN 'Unknown' WHEN l_tax < 0.04 THEN 'NoMatch'
            WHEN l_tax < 0.06 THEN 'Error' ELSE 'Unsupported' END AS catalog_status,
       l_linenumber = 1 AS is_preferred, l_discount = 0.1 AS is_manual, l_tax = 0.08 AS is_excluded,
-      CASE WHEN l_discount < 0.03 THEN 0.5 WHEN l_discount < 0.07 THEN 0.8 ELSE 0.95 END AS confidence
+      CAST(CASE WHEN l_discount < 0.03 THEN 0.5 WHEN l_discount < 0.07 THEN 0.8 ELSE 0.95 END AS DOUBLE) AS confidence
     FROM {{lineitem}}) a) b
 """
 

@@ -190,17 +190,11 @@ def _crc_sql() -> str:
 CRC_SQL = _crc_sql()
 
 
-@query("C15_sha1_crc32", f"""SELECT item_id, upper(sha1(text)) AS sha1, {CRC_SQL} AS crc32
-    FROM (SELECT item_id, text, encode(text) AS body FROM benchmark) a""")
+@query("C15_sha1_crc32", f"""SELECT doc_id, upper(sha1(body)) AS sha1, {CRC_SQL} AS crc32,
+    upper(sha1(body[17:])) AS payload_sha1 FROM (SELECT doc_id, encode(text) AS body FROM documents) a""")
 def c15(t: Tables):
     body = F.encode("text", "UTF-8")
-    return t.benchmark.select("item_id", hashing.sha1_hex(body).alias("sha1"), hashing.crc32_hex(body).alias("crc32"))
-
-
-@query("C15_sha1_documents", "SELECT doc_id, upper(sha1(text)) AS sha1, upper(sha1(encode(text)[17:])) AS payload_sha1 FROM documents")
-def c15_documents(t: Tables):
-    body = F.encode("text", "UTF-8")
-    return t.documents.select("doc_id", hashing.sha1_hex(body).alias("sha1"),
+    return t.documents.select("doc_id", hashing.sha1_hex(body).alias("sha1"), hashing.crc32_hex(body).alias("crc32"),
                               hashing.sha1_hex(hashing.payload(body, F.lit(16))).alias("payload_sha1"))
 
 
