@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.fixed_values import (ARTWORK_FORBIDDEN, FOLDER_FORBIDDEN,
                                     LANGUAGES, REGIONS)
 
-# Fixed patterns. ``(?U)`` makes \s, \w and \d Unicode-aware, as the naming
-# convention expects; ``\z`` is the true end of the text.
+# Fixed patterns. Blanks and digits are meant in the Unicode sense, spelled out
+# because that is much faster than the flag; ``\\z`` is the true end of the text.
+_S = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TAG = r"\(([^)]*)\)|\[([^\]]*)\]"
-REVISION = r"(?iU)^(Rev(?:ision)?\s*[A-Z0-9.]+)$"
-VERSION = r"(?iU)^(?:v|Version\s*)[0-9][\w.\-]*$"
-DISC = r"(?iU)(?:Disc|Disk|CD)\s*0*([0-9]+)"
-TRACK = r"(?iU)Track\s*0*([0-9]+)"
-SEPARATOR = r"(?U)\s{2,}|\s+-\s*$"
-OUTER_BLANKS = r"(?U)^\s+|\s+\z"
-RANK_PREFIX = r"(?U)^0\d{2,5}[\s\-]+"
-ANY_NUMBER_PREFIX = r"(?U)^\d{2,5}[\s\-]+"
-TRAILING_TAGS = r"(?U)(?:\s*[\(\[][^()\[\]]*[\)\]]\s*)+\z"
-FIRST_TAG_TAIL = r"(?U)^(\s*[\(\[][^()\[\]]*[\)\]])(?:\s*[\(\[][^()\[\]]*[\)\]]\s*)+\z"
+REVISION = rf"(?i)^(Rev(?:ision)?{_S}*[A-Z0-9.]+)$"
+VERSION = rf"(?iU)^(?:v|Version{_S}*)[0-9][\w.\-]*$"
+DISC = rf"(?i)(?:Disc|Disk|CD){_S}*0*([0-9]+)"
+TRACK = rf"(?i)Track{_S}*0*([0-9]+)"
+SEPARATOR = rf"{_S}{{2,}}|{_S}+-{_S}*$"
+OUTER_BLANKS = rf"^{_S}+|{_S}+\z"
+RANK_PREFIX = rf"^0\p{{Nd}}{{2,5}}(?:{_S}|-)+"
+ANY_NUMBER_PREFIX = rf"^\p{{Nd}}{{2,5}}(?:{_S}|-)+"
+_ONE_TAG = r"[\(\[][^()\[\]]*[\)\]]"
+TRAILING_TAGS = rf"(?:{_S}*{_ONE_TAG}{_S}*)+\z"
+FIRST_TAG_TAIL = rf"^({_S}*{_ONE_TAG})(?:{_S}*{_ONE_TAG}{_S}*)+\z"
 
 
 def strip_blanks(text: Column) -> Column:
@@ -41,12 +44,8 @@ def fold_case(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """True when the case-folded text holds one of the words."""
-    folded = fold_case(text)
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | folded.contains(word.upper())
-    return hit
+    """True when the text holds one of the words, in any case; one pass over the text."""
+    return text.rlike("(?i)" + "|".join(re.escape(word) for word in words))
 
 
 def extension_of(name: Column) -> Column:
@@ -75,43 +74,47 @@ def name_stem(name: Column) -> Column:
 def _tokens(stem: Column) -> Column:
     """All comma-separated words inside the tags of a name, in order."""
     tags = F.regexp_extract_all(stem, F.lit(TAG), F.lit(0))
-    words = F.flatten(F.transform(tags, lambda tag: F.split(
-        F.substring(tag, F.lit(2), F.length(tag) - 2), ",", -1)))
-    return F.filter(F.transform(words, strip_blanks), lambda word: word != "")
+    words = F.flatten(F.transform(tags, lambda tag: F.split(F.substring(tag, F.lit(2), F.length(tag) - 2), ",", -1)))
+    return (F.when(stem.rlike(r"[(\[]"), F.filter(F.transform(words, strip_blanks), lambda word: word != ""))
+            .otherwise(F.array().cast("array<string>")))
 
 
-def parse_name(name: Column) -> Column:
-    """File name → struct(title, regions, languages, revision, version, disc, track, tags)."""
-    stem = name_stem(name)
-    tokens = _tokens(stem)
-    region_words = F.array(*[F.lit(word.upper()) for word in REGIONS])
+def _word_kind(word: Column) -> Column:
+    folded = F.upper(word)
+    return (F.when(folded.isin([region.upper() for region in REGIONS]), "region")
+            .when(folded.isin([language.upper() for language in LANGUAGES]), "language")
+            .when(word.rlike(REVISION), "revision").when(word.rlike(VERSION), "version").otherwise("tag"))
+
+
+def bare_title(stem: Column) -> Column:
+    """The stem without tags, disc and track; the stem itself where nothing is left."""
+    title = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, TAG, " "), DISC, " "), TRACK, " ")
+    return F.regexp_replace(F.regexp_replace(title, SEPARATOR, " "), r"^[ .\-]+|[ .\-]+\z", "")
+
+
+def with_parsed_name(rows: DataFrame, name: Column) -> DataFrame:
+    """Adds ``parsed``: title, regions, languages, revision, version, disc, track and other tags.
+
+    Worked in steps, so that the stem and its classified words are made once per
+    row however many fields are taken from them.
+    """
     language_map = F.create_map(*[F.lit(cell) for pair in LANGUAGES.items()
                                   for cell in (pair[0].upper(), pair[1])])
-
-    def kind(word: Column) -> Column:
-        return (F.when(F.array_contains(region_words, F.upper(word)), "region")
-                .when(language_map[F.upper(word)].isNotNull(), "language")
-                .when(word.rlike(REVISION), "revision")
-                .when(word.rlike(VERSION), "version")
-                .otherwise("tag"))
+    steps = rows.withColumn("__stem", name_stem(name))
+    steps = steps.withColumn("__words", F.transform(_tokens(F.col("__stem")), lambda word: F.struct(
+        _word_kind(word).alias("kind"), word.alias("word")))).withColumn("__bare", bare_title(F.col("__stem")))
 
     def of_kind(wanted: str) -> Column:
-        return F.filter(tokens, lambda word: kind(word) == wanted)
-
-    title = F.regexp_replace(stem, TAG, " ")
-    title = F.regexp_replace(title, DISC, " ")
-    title = F.regexp_replace(title, TRACK, " ")
-    title = F.regexp_replace(F.regexp_replace(title, SEPARATOR, " "), r"^[ .\-]+|[ .\-]+\z", "")
-    return F.struct(
-        F.when(is_blank(title), stem).otherwise(title).alias("title"),
+        return F.transform(F.filter("__words", lambda entry: entry["kind"] == wanted), lambda entry: entry["word"])
+
+    return steps.withColumn("parsed", F.struct(
+        F.when(is_blank(F.col("__bare")), F.col("__stem")).otherwise(F.col("__bare")).alias("title"),
         F.array_distinct(of_kind("region")).alias("regions"),
         F.array_distinct(F.transform(of_kind("language"), lambda word: language_map[F.upper(word)])).alias("languages"),
         F.try_element_at(of_kind("revision"), F.lit(-1)).alias("revision"),
         F.try_element_at(of_kind("version"), F.lit(-1)).alias("version"),
-        disc_number(stem).alias("disc_number"),
-        track_number(stem).alias("track_number"),
-        of_kind("tag").alias("tags"),
-    )
+        disc_number(F.col("__stem")).alias("disc_number"), track_number(F.col("__stem")).alias("track_number"),
+        of_kind("tag").alias("tags"))).drop("__stem", "__words", "__bare")
 
 
 def disc_number(stem: Column) -> Column:
@@ -206,7 +209,7 @@ def strip_any_number_prefix(title: Column) -> Column:
 
 def strip_trailing_tags(title: Column) -> Column:
     """Drop trailing ``(..)``/``[..]`` groups, but never the whole title."""
-    stripped = F.regexp_replace(F.regexp_replace(title, TRAILING_TAGS, ""), r"(?U)\s+\z", "")
+    stripped = F.regexp_replace(F.regexp_replace(title, TRAILING_TAGS, ""), rf"{_S}+\z", "")
     first_tag = F.regexp_extract(title, FIRST_TAG_TAIL, 1)
     return (F.when(stripped != "", stripped)
             .when(first_tag != "", first_tag)
@@ -215,7 +218,7 @@ def strip_trailing_tags(title: Column) -> Column:
 
 def title_numbers(title: Column) -> Column:
     """The digit runs of a title, in order."""
-    return F.regexp_extract_all(title, F.lit(r"(?U)\d+"), F.lit(0))
+    return F.regexp_extract_all(title, F.lit(r"\p{Nd}+"), F.lit(0))
 
 
 def title_similarity(left: Column, right: Column) -> Column:

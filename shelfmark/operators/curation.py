@@ -187,8 +187,9 @@ def merge_decisions(games: DataFrame, files: DataFrame, pairs: DataFrame) -> Dat
         "file_count", F.coalesce("file_count", F.lit(0).cast("long")))
     best = counted.groupBy("root").agg(F.min(_survivor_order(counted)).alias("best")) \
                   .select("root", F.col("best.game_key").alias("keep_key"))
+    # Stored once: every step of a merge reads the decisions.
     return (members.join(best, "root").filter(F.col("game_key") != F.col("keep_key"))
-            .select("game_key", "keep_key"))
+            .select("game_key", "keep_key").checkpoint())
 
 
 def apply_merges(games: DataFrame, files: DataFrame, decisions: DataFrame,
@@ -210,9 +211,7 @@ def apply_merges(games: DataFrame, files: DataFrame, decisions: DataFrame,
     if not elect:
         return kept_games, moved
     flagged = moved.join(touched, "game_key", "left")
-    again = elect_preferred(flagged.filter("__touched")).drop("__touched")
-    rest = flagged.filter(F.col("__touched").isNull()).drop("__touched")
-    return kept_games, again.unionByName(rest)
+    return kept_games, elect_preferred(flagged, F.col("__touched").isNotNull()).drop("__touched")
 
 
 # --- title clean-up --------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scoring import preference_score
@@ -36,32 +36,52 @@ def preference_units(files: DataFrame) -> DataFrame:
         F.count("*").alias("unit_files"))
 
 
-def elect_preferred(files: DataFrame) -> DataFrame:
+def _best_units(files: DataFrame) -> DataFrame:
+    """(game_key, unit_key, winner_files): the best eligible unit of each game.
+
+    One pass: the single files of a game collapse to their best one while its
+    multi-file groups are summed up, both with map-side combine. What reaches
+    the pick per game is one row per group and one for all single files, so no
+    game, however large, is ever sorted in one task.
+    """
+    eligible = ~F.col("is_excluded") & (F.col("status") != "Missing")
+    place = F.struct(fold_case(F.col("path")).alias("folded"), F.col("path").alias("path"))
+    single = F.struct((-F.col("preference_score")).alias("order"), place.alias("first"),
+                      F.concat(F.lit("F"), "file_key").alias("unit_key"), F.lit(1).cast("long").alias("unit_files"))
+    is_single = F.col("file_group").isNull()
+    summed = score_files(files.filter(F.col("game_key").isNotNull())).groupBy("game_key", "file_group").agg(
+        F.min(F.when(is_single & eligible, single)).alias("single"),
+        F.bool_and(eligible).alias("eligible"), F.max("preference_score").alias("score"),
+        F.min(F.when(~is_single, place)).alias("first"), F.count("*").alias("n"))
+    group = F.struct((-F.col("score")).alias("order"), F.col("first"),
+                     F.concat(F.lit("G"), "file_group").alias("unit_key"), F.col("n").alias("unit_files"))
+    choice = F.when(is_single, F.col("single")).when(F.col("eligible"), group)
+    return (summed.groupBy("game_key").agg(F.min(choice).alias("best")).filter("best is not null")
+            .select("game_key", F.col("best.unit_key").alias("unit_key"), F.col("best.unit_files").alias("winner_files")))
+
+
+def elect_preferred(files: DataFrame, scope: Column | None = None) -> DataFrame:
     """Sets ``preference_score`` and ``is_preferred`` on every file that has a game.
 
-    Units are reduced per game with map-side combine, never sorted in one task.
-    The winners come back by a join that spreads a hot unit.
+    With ``scope`` only the rows it holds for take part; all others keep both
+    values. The winners come back by a join that spreads a hot unit.
     """
-    best = (preference_units(files).filter("eligible").groupBy("game_key")
-            .agg(F.min(F.struct((-F.col("unit_score")).alias("order"), F.col("first"),
-                                F.col("unit_key"), F.col("unit_files"))).alias("best"))
-            .select("game_key", F.col("best.unit_key").alias("unit_key"),
-                    F.col("best.unit_files").alias("winner_files")))
-    has_game = F.col("game_key").isNotNull()
-    old_flag, old_score = F.col("is_preferred"), F.col("__old_score")
-    keep = files.withColumn("__old_score", F.col("preference_score") if "preference_score" in files.columns else F.lit(0))
-    scored = score_files(keep).withColumn("unit_key", _unit_key())
-    joined = lookup_join(scored, best, ["game_key", "unit_key"], "winner_files", "left", salt_on=["file_key"])
-    return (joined.withColumn("is_preferred", F.when(has_game, F.col("winner_files").isNotNull()).otherwise(old_flag))
-            .withColumn("preference_score", F.when(has_game, F.col("preference_score")).otherwise(old_score))
-            .drop("__old_score", "unit_key", "winner_files"))
+    old_score = F.col("preference_score") if "preference_score" in files.columns else F.lit(0)
+    taking_part = F.col("game_key").isNotNull() & (F.lit(True) if scope is None else scope)
+    rows = files.withColumn("__old_score", old_score).withColumn("__part", taking_part)
+    scored = score_files(rows).withColumn("unit_key", F.when(F.col("__part"), _unit_key()))
+    joined = lookup_join(scored, _best_units(rows.filter("__part")), ["game_key", "unit_key"], "winner_files",
+                         salt_on=["file_key"])
+    return (joined.withColumn("is_preferred", F.when(F.col("__part"), F.col("winner_files").isNotNull())
+                              .otherwise(F.col("is_preferred")))
+            .withColumn("preference_score", F.when(F.col("__part"), F.col("preference_score"))
+                        .otherwise(F.col("__old_score")))
+            .drop("__old_score", "__part", "unit_key", "winner_files"))
 
 
 def _rerun_touched(files: DataFrame) -> DataFrame:
     """Elect again among rows flagged in ``__touched``; others keep their flags."""
-    again = elect_preferred(files.filter("__touched"))
-    rest = files.filter(~F.col("__touched"))
-    return again.unionByName(rest).drop("__touched")
+    return elect_preferred(files, F.col("__touched")).drop("__touched")
 
 
 def _flag_games(files: DataFrame, game_keys: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import (fold_case, game_key, normalise_title,
-                                      parse_name, sort_title)
+                                      sort_title, with_parsed_name)
 
 
 def parse_titles(files: DataFrame, name_column: str = "file_name") -> DataFrame:
@@ -18,7 +18,7 @@ def parse_titles(files: DataFrame, name_column: str = "file_name") -> DataFrame:
     source = F.col(name_column)
     if "package_title" in files.columns:
         source = F.coalesce("package_title", source)
-    parsed = files.withColumn("parsed", parse_name(source))
+    parsed = with_parsed_name(files, source)
     return (parsed
             .withColumn("title", F.col("parsed.title"))
             .withColumn("normalised_title", normalise_title(F.col("title")))

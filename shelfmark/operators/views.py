@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import string
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +22,15 @@ def list_locations(locations: DataFrame, enabled_only: bool = False) -> DataFram
 
 # --- filters ----------------------------------------------------------------
 
-def _fold_ascii(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-
-
 def _like(text: Column, term: str) -> Column:
-    """LIKE '%term%' with ASCII-only case folding; ``%`` and ``_`` in the term stay wildcards."""
-    lowered = term.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
-    # The escape sign must not occur in the term, or it would change its meaning.
-    escape = next(sign for sign in "!~^#|$\x01\x02\x03\x04\x05" if sign not in lowered)
-    return F.like(_fold_ascii(text), F.lit(f"%{lowered}%"), F.lit(escape))
+    """LIKE '%term%' with ASCII-only case folding; ``%`` and ``_`` in the term stay wildcards.
+
+    Written as a search pattern: it stops at the first hit, folds case without
+    rewriting the text, and no sign of the term can act as an escape.
+    """
+    parts = {"%": ".*", "_": "."}
+    pattern = "".join(parts.get(sign, re.escape(sign)) for sign in term.strip("%"))
+    return text.rlike("(?is)" + pattern)
 
 
 def search_games(games: DataFrame, files: DataFrame, term: str | None) -> DataFrame:

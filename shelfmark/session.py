@@ -20,7 +20,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "shelfmark", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in RECOMMENDED.items():

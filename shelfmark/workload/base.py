@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark import model
+from shelfmark.plans.skew import spread_small
 
 
 def choose(column: str, values: list[str]) -> str:
@@ -107,6 +108,10 @@ FROM (SELECT *, CASE p_size % 8
 """
 
 
+# Tables whose rows are turned into files, games or contents.
+WIDE_TABLES = {"lineitem", "orders", "part", "documents", "pages"}
+
+
 class Tables:
     """Parquet tables of one folder, and the library views over them."""
 
@@ -116,7 +121,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(rows) if name in WIDE_TABLES else rows
 
     def view(self, text: str) -> DataFrame:
         names = [n for n in ("lineitem", "orders", "part", "documents") if "{" + n + "}" in text]
