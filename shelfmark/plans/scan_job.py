@@ -40,7 +40,8 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
     package_title; ``failures``: path of files that could not be read.
 
     Content is touched late and little: only new or changed supported files are
-    sampled, and only files whose samples collide are read whole.
+    sampled, and only files whose samples collide are read whole. A file that
+    cannot be read counts as failed and changes nothing but its last-seen time.
     """
     shared_folder(listing.sparkSession)
     diff = reconcile.diff_listing(library.files, listing)
@@ -63,14 +64,15 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
     scanned = (keyed.drop("marker_path")
                .join(hashed.select("file_key", *details).withColumn("supported", F.lit(True)), "file_key", "left")
                .withColumn("supported", F.coalesce("supported", F.lit(False)))
-               .withColumn("failed", F.lit(False)).drop("file_key"))
+               .withColumn("failed", F.col("supported") & F.col("quick_hash").isNull()).drop("file_key"))
+    hashed = hashed.filter(F.col("quick_hash").isNotNull())
     files = reconcile.apply_scan(library.files, scanned, runs).checkpoint()
     games = resolve.resolve_games(library.games, hashed)
 
     kept = reconcile.drop_replaced_hashes(library.hashes, hashed)
     lacking = (duplicates.quick_hash_collisions(files)
                .join(kept.filter(F.col("algorithm") == "SHA256").select("file_key"), "file_key", "left_anti"))
-    digests = files_on_disk.sha256_files(lacking.select("path"))
+    digests = files_on_disk.sha256_files(lacking.select("path")).filter(F.col("sha256").isNotNull())
     new_hashes = lacking.select("file_key", "path").join(digests, "path").select(
         "file_key", F.lit("SHA256").alias("algorithm"), F.col("sha256").alias("hash"))
     hashes = kept.select("file_key", "algorithm", "hash").unionByName(new_hashes).checkpoint()

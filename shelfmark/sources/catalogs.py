@@ -58,11 +58,12 @@ _GAME = (f"_name string, description string, rom array<{_ROM}>, disk array<{_ROM
 def read_catalog_xml(spark: SparkSession, path: str) -> DataFrame:
     """Logiqx-style XML catalogs → catalog rows. One distributed read per row tag."""
     parts = []
-    for tag in ("game", "machine", "software"):
+    for kind, tag in enumerate(("game", "machine", "software")):
         rows = (spark.read.format("xml").option("rowTag", tag).schema(_GAME).load(path)
                 .select("*", F.col("_metadata.file_path").alias("source_file"),
                         F.col("_metadata.file_block_start").alias("block"))
-                .withColumn("row", F.monotonically_increasing_id()))
+                .withColumn("row", F.monotonically_increasing_id())
+                .withColumn("kind", F.lit(kind)))
         none = F.array().cast(f"array<{_ROM}>")
         nested_roms = F.flatten(F.transform(F.coalesce("part", F.array().cast(
             f"array<struct<dataarea:array<struct<rom:array<{_ROM}>>>,diskarea:array<struct<disk:array<{_ROM}>>>>>")),
@@ -73,13 +74,13 @@ def read_catalog_xml(spark: SparkSession, path: str) -> DataFrame:
         roms = F.concat(F.coalesce("rom", none), F.coalesce("disk", none),
                         F.coalesce(nested_roms, none), F.coalesce(nested_disks, none))
         name = F.coalesce("_name", "description", F.lit("Unknown"))
-        parts.append(rows.select("source_file", "block", "row", name.alias("name"),
+        parts.append(rows.select("source_file", "kind", "block", "row", name.alias("name"),
                                  F.posexplode(roms).alias("place", "rom")))
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # Order inside a file: block, then row in the block, then place in the game.
+    # Order inside a file: kind of row, block, row in the block, place in the game.
     return merged.select(
         base_name(F.col("source_file")).alias("source_file"),
-        F.struct("block", "row", "place").alias("position"), "name",
+        F.struct("kind", "block", "row", "place").alias("position"), "name",
         F.coalesce("rom._name", "name").alias("rom_name"),
         F.coalesce(strip_blanks(F.col("rom._size")).try_cast("long"), F.lit(0)).alias("size"),
         _clean_hash(F.col("rom._crc")).alias("crc32"), _clean_hash(F.col("rom._md5")).alias("md5"),
@@ -167,7 +168,7 @@ def read_catalogs(spark: SparkSession, path: str, sources: DataFrame) -> DataFra
     other's files.
     """
     text = read_catalog_text(spark, path).withColumn("position", F.struct(
-        F.lit(0).cast("long").alias("block"), F.col("position").alias("row"), F.lit(0).alias("place")))
+        F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("position").alias("row"), F.lit(0).alias("place")))
     rows = text.unionByName(read_catalog_xml(spark, path))
     named = rows.withColumn("catalog_file", F.url_decode("source_file"))
     return named.join(sources.select("system_key", "catalog_file"), "catalog_file").drop("catalog_file")

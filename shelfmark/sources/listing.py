@@ -51,19 +51,15 @@ def read_contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def quick_hash_files(paths: DataFrame, sample: int = V.QUICK_HASH_SAMPLE) -> DataFrame:
-    """Quick hash of files too large to read whole: two seeks per file.
+    """Quick hash of files too large to read whole: two seeks per file, null if unreadable.
 
     ``paths``: path, size. The head and tail are read inside the tasks through a
     mounted file system; the hash itself stays a column expression.
     """
     def read_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            heads, tails = [], []
-            for path, size in zip(batch["path"], batch["size"]):
-                with open(path, "rb") as stream:
-                    heads.append(stream.read(sample))
-                    stream.seek(max(0, size - sample))
-                    tails.append(stream.read(sample) if size > sample else b"")
+            ends = [_ends(path, size, sample) for path, size in zip(batch["path"], batch["size"])]
+            heads, tails = [head for head, _ in ends], [tail for _, tail in ends]
             yield pd.DataFrame({"path": batch["path"], "size": batch["size"], "head": heads, "tail": tails})
 
     ends = paths.select("path", "size").mapInPandas(read_ends, "path string, size long, head binary, tail binary")
@@ -71,18 +67,33 @@ def quick_hash_files(paths: DataFrame, sample: int = V.QUICK_HASH_SAMPLE) -> Dat
         F.encode(F.col("size").cast("string"), "UTF-8"), "head", "tail"), 256)).alias("quick_hash"))
 
 
+def _ends(path: str, size: int, sample: int) -> tuple[bytes | None, bytes | None]:
+    try:
+        with open(path, "rb") as stream:
+            head = stream.read(sample)
+            stream.seek(max(0, size - sample))
+            return head, stream.read(sample) if size > sample else b""
+    except OSError:
+        return None, None
+
+
+def _file_sha256(path: str) -> str | None:
+    try:
+        with open(path, "rb") as stream:
+            return hashlib.file_digest(stream, "sha256").hexdigest().upper()
+    except OSError:
+        return None
+
+
 def sha256_files(paths: DataFrame) -> DataFrame:
-    """SHA-256 of whole files, streamed in blocks inside the tasks.
+    """SHA-256 of whole files, streamed in blocks inside the tasks; null if unreadable.
 
     ``paths``: path and any key columns. Meant for the few files whose quick
     hashes collide.
     """
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = []
-            for path in batch["path"]:
-                with open(path, "rb") as stream:
-                    values.append(hashlib.file_digest(stream, "sha256").hexdigest().upper())
+            values = [_file_sha256(path) for path in batch["path"]]
             yield pd.DataFrame({"path": batch["path"], "sha256": values})
 
     return paths.select("path").mapInPandas(digest, "path string, sha256 string")
