@@ -147,12 +147,12 @@ def exact_title_members(games: DataFrame, files: DataFrame, systems: DataFrame)
     named = games.select("game_key", "system_key", "title").join(
         systems.select("system_key", "system_name"), "system_key")
     groups = exact_title_groups(games, files, systems)
-    return (named.join(groups, ["system_name", "title"])
+    return (lookup_join(named, groups, ["system_name", "title"], "games", "inner", salt_on=["game_key"])
             .select("system_name", "title", "total_files", "games", "game_key")
             .orderBy("system_name", fold_case(F.col("title")), "title", "game_key"))
 
 
-def _survivor_order(counted: DataFrame):
+def _survivor_order():
     return F.struct((-F.col("file_count")).alias("order"), F.col("game_key").alias("game_key"))
 
 
@@ -160,15 +160,15 @@ def merge_survivors(games: DataFrame, files: DataFrame) -> DataFrame:
     """Per exact-title group the game to keep: most present files, then lowest key."""
     counted = _with_counts(games, files)
     return (counted.groupBy("system_key", "title")
-            .agg(F.min(_survivor_order(counted)).alias("best"), F.count("*").alias("games"))
+            .agg(F.min(_survivor_order()).alias("best"), F.count("*").alias("games"))
             .filter("games > 1")
             .select("system_key", "title", F.col("best.game_key").alias("keep_key"), "games"))
 
 
 def exact_title_decisions(games: DataFrame, files: DataFrame) -> DataFrame:
     """(game_key, keep_key) for every game that an exact-title merge removes."""
-    return (games.select("game_key", "system_key", "title")
-            .join(merge_survivors(games, files).drop("games"), ["system_key", "title"])
+    return (lookup_join(games.select("game_key", "system_key", "title"), merge_survivors(games, files),
+                        ["system_key", "title"], "games", "inner", salt_on=["game_key"])
             .filter(F.col("game_key") != F.col("keep_key")).select("game_key", "keep_key"))
 
 
@@ -185,10 +185,11 @@ def merge_decisions(games: DataFrame, files: DataFrame, pairs: DataFrame) -> Dat
     members = connected_components(usable, "keep", "drop").withColumnRenamed("node", "game_key")
     counted = members.join(present_file_counts(files), "game_key", "left").withColumn(
         "file_count", F.coalesce("file_count", F.lit(0).cast("long")))
-    best = counted.groupBy("root").agg(F.min(_survivor_order(counted)).alias("best")) \
-                  .select("root", F.col("best.game_key").alias("keep_key"))
+    best = (counted.groupBy("root").agg(F.min(_survivor_order()).alias("best"), F.count("*").alias("members"))
+            .select("root", F.col("best.game_key").alias("keep_key"), "members"))
     # Stored once: every step of a merge reads the decisions.
-    return (members.join(best, "root").filter(F.col("game_key") != F.col("keep_key"))
+    return (lookup_join(members, best, ["root"], "members", "inner", salt_on=["game_key"])
+            .filter(F.col("game_key") != F.col("keep_key"))
             .select("game_key", "keep_key").checkpoint())
 
 

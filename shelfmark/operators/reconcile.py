@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import fixed_values as V
 from shelfmark.functions.text import base_name, fold_case, normalise_extension, parent_of
-from shelfmark.plans.skew import lookup_join
+from shelfmark.plans.skew import broadcast_if_small, lookup_join
 
 #: Columns a new or changed file takes from the scan.
 SCANNED = ["path", "file_name", "extension", "size", "created", "modified", "location", "game_key", "system_key",
@@ -120,7 +120,8 @@ def apply_scan(previous: DataFrame, scanned: DataFrame, runs: DataFrame) -> Data
     new = keyed.select("file_key", F.struct(*SCANNED, "file_group", "supported", "failed").alias("new"))
     rows = (old.join(new, "file_key", "full_outer")
             .withColumn("run_location", F.coalesce("old.location", "new.location"))
-            .join(runs.select(F.col("location").alias("run_location"), "started", "complete"), "run_location", "left"))
+            .join(broadcast_if_small(runs.select(F.col("location").alias("run_location"), "started", "complete")),
+                  "run_location", "left"))
     known, listed = F.col("old").isNotNull(), F.col("new").isNotNull()
     same = F.col("old.size").eqNullSafe(F.col("new.size")) & F.col("old.modified").eqNullSafe(F.col("new.modified"))
     replaced = listed & F.col("new.supported") & ~F.col("new.failed") & ~(known & same)
@@ -160,7 +161,7 @@ def touch_unchanged(files: DataFrame, seen: DataFrame, started) -> DataFrame:
 
 def mark_missing(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files of a completely listed location that were last seen before its run began."""
-    joined = files.join(runs.select("location", "started", "complete"), "location", "left")
+    joined = files.join(broadcast_if_small(runs.select("location", "started", "complete")), "location", "left")
     gone = F.coalesce("complete", F.lit(False)) & (F.col("last_seen") < F.col("started"))
     return (joined.withColumn("status", F.when(gone, "Missing").otherwise(F.col("status")))
             .drop("started", "complete"))
@@ -245,10 +246,15 @@ def collapse_packages(listing: DataFrame, marker: str = V.PACKAGE_MARKER, subfol
         F.sum("size").alias("size"), F.max("modified").alias("modified"),
         F.min("location").alias("location"), F.count("*").alias("files"))
     steps = F.split("folder", "/", -1)
-    ancestors = folders.select("folder", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("package"))
+    below = F.size(F.split(F.rtrim("location", F.lit("/")), "/", -1)) + 1
+    ancestors = folders.select("folder", F.explode(F.filter(F.transform(
+        F.sequence(F.least(below, F.size(steps)), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/")),
+        lambda path: F.startswith(path, F.concat(F.rtrim("location", F.lit("/")), F.lit("/"))))).alias("package"))
+    # A high folder is an ancestor of very many: counted first, then joined as a weighted lookup.
+    weights = (ancestors.groupBy("package").agg(F.count("*").alias("below"))
+               .join(packages.select("package", F.lit(True).alias("is_package")), "package", "left"))
     # The shortest ancestor that is a package is the outermost one.
-    owner = (ancestors.join(packages.select("package"), "package")
+    owner = (lookup_join(ancestors, weights, ["package"], "below", "inner", salt_on=["folder"]).filter("is_package")
              .groupBy("folder").agg(F.min_by("package", F.length("package")).alias("package")))
     owned = folders.join(owner, "folder")
     rolled = (owned.groupBy("package").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"),

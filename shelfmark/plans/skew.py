@@ -21,6 +21,14 @@ def spread_small(rows: DataFrame, few: int = 8, most: int = 32) -> DataFrame:
     return rows
 
 
+def broadcast_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Mark a control table for broadcast only once its row count is proven small.
+
+    A larger one is left to a shuffled join, which AQE splits where it is skewed.
+    """
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
                 how: str = "left", salt_on: list[str] | None = None,
                 hot_keys: int = HOT_KEYS) -> DataFrame:

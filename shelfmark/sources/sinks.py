@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fold_case, sanitise_folder
+from shelfmark.plans.skew import lookup_join
 
 # Report headers.
 INVENTORY_HEADER = ["System", "Game Title", "File Name", "Full Path", "Source Folder", "Format", "Size Bytes",
@@ -59,7 +60,7 @@ def export_manifest(export_files: DataFrame, destination: DataFrame) -> DataFram
         "/", sanitise_folder(F.col("system_name")), "file_name")).withColumn("target_key", fold_case(F.col("target")))
     sharing = rows.groupBy("target_key").agg(F.count("*").alias("sources"))
     existing = destination.groupBy("target").agg(F.max("size").alias("existing_size"))
-    return (rows.join(sharing, "target_key").join(existing, "target", "left")
+    return (lookup_join(rows, sharing, ["target_key"], "sources", "inner", salt_on=["path"]).join(existing, "target", "left")
             .withColumn("action", F.when(F.col("existing_size") == F.col("size"), "skip").otherwise("copy"))
             .withColumn("collides", F.col("sources") > 1)
             .select("system_name", "path", "target", "is_directory", "size", "action", "collides"))
