@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as V
 from shelfmark.functions.text import base_name, fold_case, normalise_extension, parent_of
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
+from shelfmark.session import shared_folder
 
 #: Columns a new or changed file takes from the scan.
 SCANNED = ["path", "file_name", "extension", "size", "created", "modified", "location", "game_key", "system_key",
@@ -240,25 +241,25 @@ def collapse_packages(listing: DataFrame, marker: str = V.PACKAGE_MARKER, subfol
         parent_of(F.col("holder")).alias("package"), F.lit(1).alias("rank"), "marker_path", "location")
     packages = (direct.unionByName(nested)
                 .filter(F.col("package").startswith(F.concat(F.rtrim("location", F.lit("/")), F.lit("/"))))
-                .groupBy("package").agg(F.min_by("marker_path", "rank").alias("marker_path")))
+                .groupBy("package").agg(F.min_by("marker_path", "rank").alias("marker_path"),
+                                        F.min("location").alias("location")))
 
     folders = listing.groupBy(parent.alias("folder")).agg(
-        F.sum("size").alias("size"), F.max("modified").alias("modified"),
-        F.min("location").alias("location"), F.count("*").alias("files"))
+        F.sum("size").alias("size"), F.max("modified").alias("modified"), F.count("*").alias("files"))
     steps = F.split("folder", "/", -1)
-    below = F.size(F.split(F.rtrim("location", F.lit("/")), "/", -1)) + 1
-    ancestors = folders.select("folder", F.explode(F.filter(F.transform(
-        F.sequence(F.least(below, F.size(steps)), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/")),
-        lambda path: F.startswith(path, F.concat(F.rtrim("location", F.lit("/")), F.lit("/"))))).alias("package"))
+    ancestors = folders.select("folder", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("package"))
     # A high folder is an ancestor of very many: counted first, then joined as a weighted lookup.
     weights = (ancestors.groupBy("package").agg(F.count("*").alias("below"))
                .join(packages.select("package", F.lit(True).alias("is_package")), "package", "left"))
-    # The shortest ancestor that is a package is the outermost one.
+    # The shortest ancestor that is a package is the outermost one, and a prefix of the folder.
     owner = (lookup_join(ancestors, weights, ["package"], "below", "inner", salt_on=["folder"]).filter("is_package")
-             .groupBy("folder").agg(F.min_by("package", F.length("package")).alias("package")))
-    owned = folders.join(owner, "folder")
-    rolled = (owned.groupBy("package").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"),
-                                           F.min("location").alias("location"))
+             .groupBy("folder").agg(F.min(F.length("package")).alias("prefix"))
+             .select("folder", F.substring(F.col("folder"), F.lit(1), F.col("prefix")).alias("package")))
+    # One row per folder inside a package, stored once because the roll-up and the loose files both need it.
+    shared_folder(listing.sparkSession)
+    owned = folders.join(owner, "folder").checkpoint()
+    rolled = (owned.groupBy("package").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
               .join(packages, "package"))
     rows = rolled.select(
         F.col("package").alias("path"), base_name(F.col("package")).alias("file_name"),
