@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import exact_dedup, packing
-from shelfmark.llm.common import read_documents
+from shelfmark.llm import decontamination, exact_dedup, language, licenses, packing, toxicity
+
+
+def table(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
 
 QUERIES = {
-    "op1_exact_dedup": lambda spark, folder: exact_dedup.op1_exact_dedup(read_documents(spark, folder)),
-    "op3_packing": lambda spark, folder: packing.op3_packing(read_documents(spark, folder)),
+    "op1_exact_dedup": lambda spark, folder: exact_dedup.op1_exact_dedup(table(spark, folder, "documents")),
+    "op3_packing": lambda spark, folder: packing.op3_packing(table(spark, folder, "documents")),
+    "op5_decontamination": lambda spark, folder: decontamination.op5_decontamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")),
+    "op7_toxicity": lambda spark, folder: toxicity.op7_toxicity(
+        table(spark, folder, "documents"), table(spark, folder, "labels")),
+    "op8_license_scan": lambda spark, folder: licenses.op8_license_scan(table(spark, folder, "documents")),
+    "op10_language_id": lambda spark, folder: language.op10_language_id(table(spark, folder, "documents")),
 }
 
 ORACLE = {
