@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontamination, exact_dedup, language, licenses, packing, toxicity
+from shelfmark.llm import decontamination, exact_dedup, language, licenses, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark, folder, name):
@@ -11,12 +11,14 @@ def table(spark, folder, name):
 
 QUERIES = {
     "op1_exact_dedup": lambda spark, folder: exact_dedup.op1_exact_dedup(table(spark, folder, "documents")),
+    "op2_suffix_dedup": lambda spark, folder: suffix_dedup.op2_suffix_dedup(table(spark, folder, "documents")),
     "op3_packing": lambda spark, folder: packing.op3_packing(table(spark, folder, "documents")),
     "op5_decontamination": lambda spark, folder: decontamination.op5_decontamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")),
     "op7_toxicity": lambda spark, folder: toxicity.op7_toxicity(
         table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op8_license_scan": lambda spark, folder: licenses.op8_license_scan(table(spark, folder, "documents")),
+    "op9_substring_dedup": lambda spark, folder: substring_dedup.op9_substring_dedup(table(spark, folder, "documents")),
     "op10_language_id": lambda spark, folder: language.op10_language_id(table(spark, folder, "documents")),
 }
 
