@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontamination, exact_dedup, language, licenses, packing, substring_dedup, suffix_dedup, toxicity
+from shelfmark.llm import decontamination, exact_dedup, jaccard_join, language, licenses, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark, folder, name):
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_exact_dedup": lambda spark, folder: exact_dedup.op1_exact_dedup(table(spark, folder, "documents")),
     "op2_suffix_dedup": lambda spark, folder: suffix_dedup.op2_suffix_dedup(table(spark, folder, "documents")),
     "op3_packing": lambda spark, folder: packing.op3_packing(table(spark, folder, "documents")),
+    "op4_jaccard_join": lambda spark, folder: jaccard_join.op4_jaccard_join(table(spark, folder, "documents")),
     "op5_decontamination": lambda spark, folder: decontamination.op5_decontamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")),
     "op7_toxicity": lambda spark, folder: toxicity.op7_toxicity(
