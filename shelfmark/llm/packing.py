@@ -22,8 +22,13 @@ from shelfmark.llm.common import stored, texts
 CAPACITY = 2048
 #: A rest below this many tokens is not cut any more.
 SHORTEST = 64
-#: Words whose ids a task keeps at hand.
-WORDS_KEPT = 400_000
+#: Words whose ids a task keeps at hand; one round may add its own.
+WORDS_KEPT = 300_000
+#: Bytes of text in one round of array work.
+ROUND = 8 << 20
+#: Lower-case letters of Latin-1, and ASCII signs but the low line.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.islower() and c.isalpha() and c not in "\xaa\xb5\xba")
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, place long")
 
 
@@ -35,51 +40,93 @@ def cut_sizes(capacity: int, shortest: int) -> list[int]:
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, shortest: int = SHORTEST,
            end_id: int = 1) -> DataFrame:
     """Cut documents: one row per piece, with its class (size) and its place among its task's pieces of that class."""
-    sizes = cut_sizes(capacity, shortest)
+    sizes_, end = cut_sizes(capacity, shortest), end_id.to_bytes(4, "little")
 
-    def run(frames: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
+        import json
         import os
-        import re
-        import struct
         import zlib
 
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        # White space never lies in a token, so a text's ids are those of its parts between white space.
-        split, known, end = re.compile("[ \n\t\r]+").split, {}, struct.pack("<I", end_id)
+        # The same merges without the costly normaliser and patterns, for words that they leave as they are.
+        bare = json.loads(tokenizer_json)
+        bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        plain = Tokenizer.from_str(json.dumps(bare))
+        ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends_word[[n for token, n in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        known: dict[str, bytes] = {}  # ids of words and of signs
         part, places = TaskContext.get().partitionId(), {}
-        for frame in frames:
-            for begin in range(0, len(frame), 256):
-                some = frame.iloc[begin:begin + 256]
-                words = [split(text) for text in some["text"]]
-                new = list({word for row in words for word in row if word not in known})
-                for at in range(0, len(new), 20_000):
-                    chunk = new[at:at + 20_000]
-                    for word, made in zip(chunk, tokenizer.encode_batch(chunk, add_special_tokens=False), strict=True):
-                        known[word] = struct.pack(f"<{len(made.ids)}I", *made.ids)
-                rows = []
-                for doc_id, row in zip(some["doc_id"], words, strict=True):
-                    ids = b"".join(map(known.__getitem__, row)) + end
-                    total = at = len(ids) // 4
-                    start = 0
+
+        def learn(new, simple):
+            """Ids of strings that hold no white space; simple ones are lower-case Latin-1 letters, one word each."""
+            for at in range(0, len(new), 20_000):
+                some = new[at:at + 20_000]
+                if simple:
+                    ids = np.asarray(plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                    stops = (4 * (np.flatnonzero(ends_word[ids]) + 1)).tolist()
+                    flat = ids.tobytes()
+                    known.update(zip(some, (flat[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+                else:
+                    made = tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                    known.update((word, np.asarray(one.ids, np.uint32).tobytes()) for word, one in zip(some, made, strict=True))
+
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero(np.diff(sizes // ROUND, prepend=-1))
+            for begin, stop in zip(edges, np.append(edges[1:], len(sizes)), strict=True):
+                some = batch.slice(begin, stop - begin)
+                # Lower case as the tokenizer has it within Latin-1; other texts are left to the tokenizer.
+                beyond = pc.match_substring_regex(some.column("text"), r"[^\x00-\x{ff}]")
+                lists = pc.ascii_split_whitespace(pc.if_else(beyond, some.column("text"), pc.utf8_lower(some.column("text"))))
+                coded = lists.flatten().dictionary_encode()
+                # No token crosses white space, nor the place between letters and the signs that close a chunk.
+                front = pc.utf8_rtrim(coded.dictionary, SIGNS)
+                is_word = pc.and_(pc.equal(pc.utf8_ltrim(front, LETTERS), ""), pc.not_equal(front, ""))
+                words = pc.if_else(is_word, front, coded.dictionary).dictionary_encode()
+                signs = pc.if_else(is_word, pc.utf8_ltrim(coded.dictionary, LETTERS), "").dictionary_encode()
+                simple = np.zeros(len(words.dictionary), bool)
+                simple[words.indices.to_numpy()[is_word.to_numpy(zero_copy_only=False)]] = True
+                if len(known) > WORDS_KEPT:
+                    known.clear()
+                distinct, ends = words.dictionary.to_pylist(), signs.dictionary.to_pylist()
+                learn([word for word, yes in zip(distinct, simple.tolist(), strict=True) if yes and word not in known], True)
+                learn([word for word, yes in zip(distinct, simple.tolist(), strict=True) if not yes and word not in known], False)
+                learn([sign for sign in ends if sign not in known], False)
+                found = [known[word] for word in [*distinct, *ends]]
+                lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                first = np.cumsum(lengths) - lengths
+                pair = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(distinct)], axis=1)
+                flat, codes = np.frombuffer(b"".join(found), np.uint32), pair[coded.indices.to_numpy()].reshape(-1)
+                each = lengths[codes]
+                behind = np.cumsum(each)
+                ids = flat[np.repeat(first[codes] - (behind - each), each) + np.arange(behind[-1] if len(behind) else 0)]
+                last = 2 * np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                stops_ = np.concatenate([[0], behind])[last].tolist()
+                rows, at = [[] for _ in range(8)], 0
+                for doc_id, till in zip(some.column("doc_id").to_pylist(), stops_, strict=True):
+                    own = ids[at:till].tobytes() + end
+                    at, total, start = till, till - at + 1, 0
                     while start < total:
                         left = total - start
-                        size = left if left < shortest else next(v for v in sizes if v <= left)
+                        size = left if left < shortest else next(v for v in sizes_ if v <= left)
                         place = places.get(size, 0)
                         places[size] = place + 1
-                        rows.append((doc_id, start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), total,
-                                     part, size, place))
+                        crc = zlib.crc32(own[4 * start:4 * (start + size)])
+                        for column, value in zip(rows, (doc_id, start, size, crc, total, part, size, place), strict=True):
+                            column.append(value)
                         start += size
-                if len(known) > WORDS_KEPT:
-                    known = {}
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part",
-                                                  "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()], strict=True)],
+                                                 names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return texts(docs).mapInPandas(run, PIECES)
+    return texts(docs).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, shortest: int = SHORTEST) -> DataFrame:

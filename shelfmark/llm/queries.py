@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontamination, exact_dedup, jaccard_join, language, licenses, packing, substring_dedup, suffix_dedup, toxicity
+from shelfmark.llm import decontamination, exact_dedup, jaccard_join, language, licenses, packing, pii, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark, folder, name):
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_jaccard_join": lambda spark, folder: jaccard_join.op4_jaccard_join(table(spark, folder, "documents")),
     "op5_decontamination": lambda spark, folder: decontamination.op5_decontamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")),
+    "op6_pii_surrogates": lambda spark, folder: pii.op6_pii_surrogates(table(spark, folder, "documents")),
     "op7_toxicity": lambda spark, folder: toxicity.op7_toxicity(
         table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op8_license_scan": lambda spark, folder: licenses.op8_license_scan(table(spark, folder, "documents")),
