@@ -36,24 +36,5 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """Bytes of all texts: one small sum, by which the number of shards follows the data."""
-    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-
-
 def shards_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
-
-
-def only_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id stands in ``kept``, each id once; columns as they came.
-
-    Rows that repeat a doc_id are one document: the first in the order of all simple columns stays.
-    """
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return joined
-
-
-def read_documents(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")

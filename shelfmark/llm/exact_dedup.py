@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import SPACES, settled, texts
+from shelfmark.plans.skew import broadcast_if_small
 
 #: Digests taken as heavy: the row bound of the broadcast.
 HEAVY = 1000
@@ -61,11 +62,16 @@ def mark(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFra
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; two rows that share id and text count as one."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and a text any one stays."""
     rows = docs.withColumn("__digest", F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256)))
-    gone = mark(docs).filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias("__digest"), "keep_id")
-    gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).distinct()
-    stays = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["__digest"] == gone["__digest"]), "left_anti")
+    gone = settled(mark(docs).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__text"),
+                                                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")))
+    named = rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (rows["__digest"] == F.col("__text"))
+    copies, again = gone.filter("NOT again").distinct(), gone.filter("again").distinct()
+    stays = rows.join(broadcast_if_small(copies), named, "left_anti")
+    if not again.isEmpty():
+        stays = (stays.join(broadcast_if_small(again), named, "left_anti").unionByName(
+            stays.join(broadcast_if_small(again), named, "left_semi").dropDuplicates(["doc_id", "__digest"])))
     return stays.drop("__digest")
 
 

@@ -29,6 +29,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def test_keep_first_returns_whole_rows(spark):
-    docs = spark.createDataFrame([(1, "a  b", "x"), (2, "a b", "y"), (3, None, "z"), (4, "", None)],
-                                 "doc_id long, text string, kept string")
+    rows = [(1, "a  b", "x"), (2, "a b", "y"), (3, None, "z"), (4, "", None)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[1]], "doc_id long, text string, kept string")
     assert sorted(exact_dedup.keep_first(docs).collect()) == [(1, "a  b", "x"), (3, None, "z")]
+    assert exact_dedup.keep_first(docs.limit(0)).columns == docs.columns
