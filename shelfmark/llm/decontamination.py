@@ -28,25 +28,41 @@ LEAST_WORDS, SHARE = 13, 0.8
 #: Items of fewer words than this are not searched: they are no evidence.
 SHORTEST_ITEM = 3
 LARGEST_BITMAP = 27
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’–—…¿¡·"
+#: Bytes of text in one round of array work.
+ROUND = 4 << 20
 
 
 class WordHashes(dict):
-    """word → 64-bit hash, remembered."""
+    """What stands between white space → 64-bit hash of its lower-case form without outer signs; 0 if nothing is left."""
 
-    def __missing__(self, word):
+    def __missing__(self, chunk):
         import xxhash
 
         if len(self) > 400_000:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        word = chunk.strip(SIGNS).lower()
+        value = self[chunk] = (xxhash.xxh64_intdigest(word) or 1) if word else 0
         return value
 
 
 def word_hashes(text: str, known: WordHashes) -> np.ndarray:
-    import re
+    """The words of one text; white space is ASCII white space, and chunks of signs alone are no words."""
+    chunks = text.encode("utf-8", "surrogatepass").split()
+    hashes = np.fromiter((known[c.decode("utf-8", "surrogatepass")] for c in chunks), np.uint64, len(chunks))
+    return hashes[hashes != 0]
 
-    words = re.findall(r"\w+", text.lower())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def batch_hashes(texts_, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, row of each) of all words in an Arrow array of texts; equals ``word_hashes`` row by row."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(texts_)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(known.__getitem__, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return hashes[hashes != 0], rows[hashes != 0]
 
 
 def seeds_of(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
@@ -85,9 +101,15 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
 
 def masks_for(items: DataFrame) -> tuple[str, ...]:
     """The fixed masks, and one gapless mask for each shorter length that an item has (at most four)."""
-    lengths = items.select(F.size(F.expr("regexp_extract_all(lower(text), '\\\\w+', 0)")).alias("n"))
-    short = [r.n for r in lengths.filter((F.col("n") >= SHORTEST_ITEM) & (F.col("n") < len(MASKS[0]))).distinct().collect()]
-    return MASKS + tuple("1" * n for n in sorted(short))
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        known = WordHashes()
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(word_hashes(text, known)) for text in frame["text"]]})
+
+    lengths = items.select("text").mapInPandas(run, "n int").filter((F.col("n") >= SHORTEST_ITEM) & (F.col("n") < len(MASKS[0])))
+    return MASKS + tuple("1" * row.n for row in lengths.distinct().orderBy("n").collect())
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -123,22 +145,27 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray, masks: tuple[str, ...]) -
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     lowest = len(bitmap) * 8 - 1
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         known, bits = WordHashes(), shared.value
-        for frame in frames:
-            found = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                for seeds in seeds_of(word_hashes(text, known), masks):
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero(np.diff(sizes // ROUND, prepend=-1))
+            for begin, stop in zip(edges, np.append(edges[1:], len(sizes)), strict=True):
+                words, rows = batch_hashes(batch.column("text").slice(begin, stop - begin), known)
+                ids = batch.column("doc_id").slice(begin, stop - begin).to_numpy(zero_copy_only=False)
+                first = np.searchsorted(rows, np.arange(stop - begin))
+                for mask, seeds in zip(masks, seeds_of(words, masks), strict=True):
                     place = seeds & lowest
                     at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-                    if len(at):
-                        found.append(pd.DataFrame({"seed": seeds[at], "doc_id": doc_id, "pos": at.astype(np.int32)}))
-            if found:
-                yield pd.concat(found)
+                    at = at[rows[at] == rows[at + len(mask) - 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seeds[at]), pa.array(ids[rows[at]], pa.int64()), pa.array((at - first[rows[at]]).astype(np.int32))],
+                        names=["seed", "doc_id", "pos"])
 
-    return docs.mapInPandas(run, "seed long, doc_id long, pos int")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "seed long, doc_id long, pos int")
 
 
 SPANS = "doc_id long, spans array<struct<item_id:long,start:int,length:int,matched:int>>"
