@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link (proportional-odds) regression.
 
 Grades are ordered: 0 clean, 1 toxic, 2 severely toxic. The labels say toxic or
-not; toxic training rows are split at the median density of words tied to toxic
+not; toxic training rows are split at the median amount of words tied to toxic
 rows into grades 1 and 2. All thresholds share one weight vector over sparse text
 features, P(grade >= k) = sigmoid(w x - t_k), and the expected severity is the sum of
 these probabilities. The model is fit on a bounded sample of labelled rows
@@ -23,8 +23,8 @@ from shelfmark.plans.skew import broadcast_if_small
 SAMPLE, FEATURES, BUCKETS = 20_000, 4_000, 2**20
 #: Besides whole words, word beginnings of these many letters.
 BEGINNINGS = (5, 6, 7)
-#: A feature stands in this many sampled documents at least.
-LEAST_DOCUMENTS = 5
+#: A feature stands in this many sampled documents at least, and its two shares differ by this many standard errors.
+LEAST_DOCUMENTS, LEAST_Z = 5, 4.0
 #: From this probability of a grade above 0 on a document is rejected.
 REJECT = 0.5
 
@@ -89,7 +89,7 @@ def choose_features(rows: DataFrame, features: int) -> list[int]:
     sums = rows.select("text", "toxic").mapInPandas(run, "bucket long, clean int, toxic int").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = (sums.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCUMENTS).withColumn("z", z)
-            .orderBy(F.abs("z").desc(), "bucket").limit(features))
+            .filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "bucket").limit(features))
     return [r.bucket for r in best.collect()]
 
 
@@ -100,7 +100,7 @@ class Model:
         self.columns, self.weights, self.thresholds, self.scale = columns, weights, thresholds, scale
 
     def score(self, columns, counts, words):
-        value = float(self.weights[columns] @ np.log1p(counts)) + self.weights[-1] * (np.log1p(words) - self.scale)
+        value = float(self.weights[columns] @ np.sqrt(counts)) + self.weights[-1] * (np.log1p(words) - self.scale)
         return 1 / (1 + np.exp(-np.clip(value - self.thresholds, -40, 40)))
 
 
@@ -159,10 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     flat, words = flat.astype(np.int64), got["words"].to_numpy(float)
     share = np.bincount(flat, toxic[index], len(chosen)) / np.maximum(1, np.bincount(flat, minlength=len(chosen)))
     tied = share > 0.5 + toxic.mean() / 2
-    density = np.bincount(index, counts * tied[flat], len(got)) / np.maximum(1, words)
-    grades = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
+    amount = np.bincount(index, np.sqrt(counts) * tied[flat], len(got))
+    grades = np.where(toxic, 1 + (amount > np.median(amount[toxic])), 0)
     scale = float(np.log1p(words).mean())
-    weights, thresholds = fit_ordinal(index, flat, np.log1p(counts), np.log1p(words) - scale, grades, len(chosen))
+    weights, thresholds = fit_ordinal(index, flat, np.sqrt(counts), np.log1p(words) - scale, grades, len(chosen))
     return Model(columns, weights, thresholds, scale)
 
 
