@@ -311,7 +311,6 @@ UNFINISHED_TAGS = ["(Beta", "(Proto", "(Demo", "(Sample", "[b", "(Pirate", "(Hac
 # Hashing, fuzzy matching, clean-up and naming limits.
 QUICK_HASH_SAMPLE = 64 * 1024
 FUZZY_MIN_SIMILARITY = 0.85
-FUZZY_MAX_BUCKET = 150
 FUZZY_TOP = 300
 RANK_PREFIX_MIN_TITLES = 5
 PACKAGE_EXTENSION = ".ps3dir"

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Symbols in one round of array work, and entries a task packs at a time.
-ROUND, ENTRIES = 1 << 20, 2_000_000
+ROUND, ENTRIES = 1 << 18, 500_000
 PACKED = "shard int, kind int, block binary"
 COVER, ASK = 0, 1
 FOUND = "kind int, doc_id long, start long, at long, stop long, anchor long"

@@ -14,7 +14,7 @@ from shelfmark.functions.text import (fold_case, fuzzy_bucket, game_key, is_blan
                                       title_similarity)
 from shelfmark.operators.preference import elect_preferred
 from shelfmark.plans.components import connected_components
-from shelfmark.plans.skew import lookup_join
+from shelfmark.plans.skew import broadcast_if_small, lookup_join
 from shelfmark.session import shared_folder
 
 
@@ -38,13 +38,12 @@ def _segment_bounds(length, parts, index):
 
 
 def fuzzy_title_pairs(titles: DataFrame, min_similarity: float = V.FUZZY_MIN_SIMILARITY,
-                      max_bucket: int | None = V.FUZZY_MAX_BUCKET) -> DataFrame:
+                      max_bucket: int | None = None) -> DataFrame:
     """Near-equal titles of one system: id_a, id_b, title_a, title_b, similarity.
 
     ``titles``: system_key, id, normalised_title. Titles compare only inside
     one (system, first letter, length band), and only with equal number runs.
-    Buckets above ``max_bucket`` are left out by definition of the operator;
-    with ``None`` every bucket takes part.
+    Every bucket takes part; ``max_bucket`` leaves larger ones out where a caller asks for it.
 
     No bucket is ever paired with itself. In a band whose longest title has M
     characters at most d = (1 - min_similarity) * M edits are allowed, so of d + 1
@@ -112,19 +111,19 @@ def fuzzy_top(pairs: DataFrame, per_system: int = V.FUZZY_TOP, overall: int = V.
     return rows.orderBy(*order).limit(overall)
 
 
-def fuzzy_candidates(games: DataFrame, files: DataFrame, systems: DataFrame) -> DataFrame:
-    """The merge review list: pairs with titles, system name and file counts."""
+def fuzzy_candidates(games: DataFrame, files: DataFrame, systems: DataFrame, top: int | None = None) -> DataFrame:
+    """The merge review list: pairs with titles, system name and file counts; all of them, or the best ``top``."""
     titles = games.select("system_key", F.col("game_key").alias("id"), "normalised_title")
     shared_folder(games.sparkSession)
-    # At most FUZZY_TOP pairs: stored once, read three times, and small enough to broadcast.
-    top = fuzzy_top(fuzzy_title_pairs(titles)).select("system_key", "id_a", "id_b", "similarity").checkpoint()
-    ends = top.select(F.explode(F.array("id_a", "id_b")).alias("game_key")).distinct()
-    counted = _with_counts(games.join(F.broadcast(ends), "game_key", "left_semi"),
-                           files.join(F.broadcast(ends), "game_key", "left_semi"))
+    pairs = fuzzy_title_pairs(titles)
+    # Stored once, read three times.
+    listed = (pairs if top is None else fuzzy_top(pairs, top, top)).select("system_key", "id_a", "id_b", "similarity").checkpoint()
+    ends = broadcast_if_small(listed.select(F.explode(F.array("id_a", "id_b")).alias("game_key")).distinct())
+    counted = _with_counts(games.join(ends, "game_key", "left_semi"), files.join(ends, "game_key", "left_semi"))
     info = counted.select("game_key", "title", "file_count")
     a = info.select(F.col("game_key").alias("id_a"), F.col("title").alias("game_a"), F.col("file_count").alias("files_a"))
     b = info.select(F.col("game_key").alias("id_b"), F.col("title").alias("game_b"), F.col("file_count").alias("files_b"))
-    return (top.join(a, "id_a").join(b, "id_b").join(systems.select("system_key", "system_name"), "system_key")
+    return (listed.join(a, "id_a").join(b, "id_b").join(systems.select("system_key", "system_name"), "system_key")
             .select("id_a", "game_a", "id_b", "game_b", "system_name", "files_a", "files_b", "similarity")
             .orderBy(F.desc("similarity"), "id_a", "id_b"))
 
@@ -175,17 +174,22 @@ def exact_title_decisions(games: DataFrame, files: DataFrame) -> DataFrame:
 def merge_decisions(games: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
     """Turn merge pairs (keep, drop) of any shape into (game_key, keep_key).
 
-    Chains and cycles collapse into components. A component keeps the game with
-    the most present files, then the lowest key. Unknown games are ignored.
+    Chains and cycles collapse into components. A component keeps the game that
+    is named ``keep`` and never ``drop``, as the user chose. Only where none or
+    several are, the one with the most present files and then the lowest key stays
+    (among the several). Unknown games are ignored.
     """
     known = games.select("game_key")
     usable = (pairs.filter(F.col("keep") != F.col("drop"))
               .join(known.withColumnRenamed("game_key", "keep"), "keep", "left_semi")
               .join(known.withColumnRenamed("game_key", "drop"), "drop", "left_semi"))
     members = connected_components(usable, "keep", "drop").withColumnRenamed("node", "game_key")
-    counted = members.join(present_file_counts(files), "game_key", "left").withColumn(
-        "file_count", F.coalesce("file_count", F.lit(0).cast("long")))
-    best = (counted.groupBy("root").agg(F.min(_survivor_order()).alias("best"), F.count("*").alias("members"))
+    dropped = usable.select(F.col("drop").alias("game_key")).distinct().withColumn("dropped", F.lit(True))
+    counted = (members.join(present_file_counts(files), "game_key", "left").join(dropped, "game_key", "left")
+               .withColumn("file_count", F.coalesce("file_count", F.lit(0).cast("long"))))
+    order = F.struct(F.coalesce("dropped", F.lit(False)).alias("dropped"), (-F.col("file_count")).alias("order"),
+                     F.col("game_key").alias("game_key"))
+    best = (counted.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("members"))
             .select("root", F.col("best.game_key").alias("keep_key"), "members"))
     # Stored once: every step of a merge reads the decisions.
     return (lookup_join(members, best, ["root"], "members", "inner", salt_on=["game_key"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import fixed_values as V
 from shelfmark.functions.text import extension_of, fold_case, normalise_extension
+from shelfmark.plans.skew import broadcast_if_small
 
 # Letters outside the basic plane count as word breaks, like any other sign.
 WORD_BREAKS = r"(?:[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])+"
@@ -14,7 +15,7 @@ WORD_BREAKS = r"(?:[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])+"
 
 def supported_only(listing: DataFrame, formats: DataFrame) -> DataFrame:
     """Rows whose extension some format claims."""
-    known = formats.select(F.col("extension").alias("known_extension")).distinct()
+    known = broadcast_if_small(formats.select(F.col("extension").alias("known_extension")).distinct())
     return listing.join(known, normalise_extension(listing["extension"]) == F.col("known_extension"),
                         "left_semi")
 
@@ -40,9 +41,10 @@ def score_candidates(listing: DataFrame, formats: DataFrame) -> DataFrame:
     """Adds ``ranked``: every claimant of the extension with its score, best first.
 
     The platform table is joined once, as one row per extension, and scored
-    inside the row. No shuffle and no row per claimant.
+    inside the row. It is broadcast after a check of its rows, so the listing stays
+    where it is; there is no row per claimant.
     """
-    joined = listing.join(candidates_by_extension(formats),
+    joined = listing.join(broadcast_if_small(candidates_by_extension(formats)),
                           normalise_extension(listing["extension"]) == F.col("claimed_extension"), "left")
     folded = fold_case(F.translate("path", "\\", "/"))
     words = F.concat(F.lit(" "), F.regexp_replace(folded, WORD_BREAKS, " "), F.lit(" "))

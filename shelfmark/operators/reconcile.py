@@ -42,7 +42,8 @@ def diff_listing(previous: DataFrame, listing: DataFrame) -> DataFrame:
     """
     fields = ["path", "size", "modified", "location"]
     old_status = F.col("status") if "status" in previous.columns else F.lit("Normal")
-    old = previous.select("file_key", F.struct(*fields, old_status.alias("status")).alias("old"))
+    last_seen = F.col("last_seen") if "last_seen" in previous.columns else F.lit(None).cast("timestamp")
+    old = previous.select("file_key", F.struct(*fields, old_status.alias("status"), last_seen.alias("last_seen")).alias("old"))
     new = with_file_key(listing.select(*fields)).select("file_key", F.struct(*fields).alias("new"))
     same = F.col("old.size").eqNullSafe(F.col("new.size")) & F.col("old.modified").eqNullSafe(F.col("new.modified"))
     change = (F.when(F.col("new").isNull(), "unseen").when(F.col("old").isNull(), "added")
@@ -51,7 +52,7 @@ def diff_listing(previous: DataFrame, listing: DataFrame) -> DataFrame:
             .select("file_key", F.coalesce("new.location", "old.location").alias("location"),
                     F.col("old.size").alias("old_size"), F.col("new.size").alias("new_size"),
                     F.col("old.modified").alias("old_modified"), F.col("new.modified").alias("new_modified"),
-                    F.col("old.status").alias("old_status"), "change"))
+                    F.col("old.status").alias("old_status"), F.col("old.last_seen").alias("old_last_seen"), "change"))
 
 
 def listing_health(runs: DataFrame, errors: DataFrame) -> DataFrame:
@@ -65,9 +66,13 @@ def listing_health(runs: DataFrame, errors: DataFrame) -> DataFrame:
             .withColumn("complete", F.col("error_count") == 0))
 
 
-def scan_counters(diff: DataFrame, supported: DataFrame | None = None) -> DataFrame:
+def scan_counters(diff: DataFrame, supported: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """One row of run totals.
 
+    ``runs``: location, started, complete. An unseen file is missing only if the run
+    of its location was complete and began after the file was last seen (a file
+    without such a time counts). Without ``runs`` every location counts as listed in full.
+
     ``supported``: file_key, supported, failed per listed row. Without it every
     listed row counts as supported and read.
     """
@@ -77,6 +82,11 @@ def scan_counters(diff: DataFrame, supported: DataFrame | None = None) -> DataFr
     else:
         rows = rows.join(supported.select("file_key", "supported", "failed"), "file_key", "left")
     listed = F.col("change") != "unseen"
+    gone = (F.col("change") == "unseen") & (F.col("old_status") != "Missing")
+    if runs is not None:
+        known = runs.select("location", "started", F.col("complete").alias("run_complete"))
+        rows = rows.join(broadcast_if_small(known), "location", "left")
+        gone = gone & F.coalesce("run_complete", F.lit(False)) & F.coalesce(F.col("old_last_seen") < F.col("started"), F.lit(True))
     ok = listed & F.coalesce("supported", F.lit(True))
     read = ok & ~F.coalesce("failed", F.lit(False))
     def total(condition):
@@ -87,7 +97,7 @@ def scan_counters(diff: DataFrame, supported: DataFrame | None = None) -> DataFr
         (total(listed & ~F.col("supported")) + total(ok & (F.col("change") == "unchanged"))).alias("skipped"),
         total(read & (F.col("change") == "added")).alias("added"),
         total(read & (F.col("change") == "changed")).alias("changed"),
-        total((F.col("change") == "unseen") & (F.col("old_status") != "Missing")).alias("missing"),
+        total(gone).alias("missing"),
         total(ok & (F.col("change") == "unchanged")).alias("unchanged"),
         total(listed & ~F.col("supported")).alias("unsupported"),
         total(ok & F.coalesce("failed", F.lit(False))
@@ -95,10 +105,7 @@ def scan_counters(diff: DataFrame, supported: DataFrame | None = None) -> DataFr
 
 
 def unsupported_histogram(listing: DataFrame, formats: DataFrame) -> DataFrame:
-    """Files per extension that no format claims, most frequent first.
-
-    Rows that carry a null ``system_key`` after identification count as well.
-    """
+    """Files per extension that no format claims, most frequent first."""
     known = formats.select(F.col("extension").alias("known_extension")).distinct()
     rows = listing.join(known, normalise_extension(listing["extension"]) == F.col("known_extension"), "left_anti")
     return (rows.groupBy(F.lower("extension").alias("extension")).agg(F.count("*").alias("files"))
@@ -147,7 +154,7 @@ def apply_scan(previous: DataFrame, scanned: DataFrame, runs: DataFrame) -> Data
         pick("is_excluded", F.coalesce("old.is_excluded", F.lit(False))),
         pick("preference_score", F.lit(0)),
         pick("is_detection_manual", F.lit(False)),
-        F.when(listed, F.col("started")).otherwise(F.col("old.last_seen")).alias("last_seen"))
+        F.when(listed, F.coalesce("started", "old.last_seen")).otherwise(F.col("old.last_seen")).alias("last_seen"))
 
 
 def touch_unchanged(files: DataFrame, seen: DataFrame, started) -> DataFrame:

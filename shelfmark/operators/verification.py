@@ -17,8 +17,7 @@ def verification_candidates(files: DataFrame, games: DataFrame, system_key: str
     owners = games.select("game_key", "system_key")
     if system_key is not None and system_key.strip():
         owners = owners.filter(F.col("system_key") == system_key)
-    joined = rows.drop("system_key").join(owners, "game_key")
-    return joined.orderBy("system_key", "game_key", "path")
+    return rows.drop("system_key").join(owners, "game_key")
 
 
 def content_hashes(contents: DataFrame) -> DataFrame:
@@ -137,14 +136,18 @@ def verify_catalog(candidates: DataFrame, hashed: DataFrame, entries: DataFrame,
         rows = rows.withColumn("failed", F.lit(False))
     def found(name: str):
         return F.when(is_archive, F.col(f"inside.{name}")).otherwise(F.col(name))
+    # No reader for these kinds is at hand: their content is unknown, so nothing is settled.
+    unread = F.lower("extension").isin(".7z", ".rar")
     status = (F.when(F.col("is_directory"), "Unsupported")
               .when(F.col("catalog_source").isNull(), "Unsupported")
+              .when(unread, "Unsupported")
               .when(F.col("has_entries").isNull(), "Error")
               .when(F.coalesce("failed", F.lit(False)), "Error")
               .when(found("catalog_name").isNotNull(), "Verified").otherwise("NoMatch"))
     settled = F.col("catalog_status").isin("Verified", "NoMatch")
     source = (F.when(F.col("is_directory"), "Folder-based install")
-              .when(F.col("catalog_source").isNull(), "No catalog mapping").otherwise(F.col("catalog_source")))
+              .when(F.col("catalog_source").isNull(), "No catalog mapping")
+              .when(unread, "No reader for this archive type").otherwise(F.col("catalog_source")))
     return (rows.withColumn("catalog_status", status)
             .select("file_key", "system_key", "catalog_status", source.alias("catalog_source"),
                     F.when(settled, found("catalog_name")).alias("catalog_name"),

@@ -9,18 +9,6 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def spread_small(rows: DataFrame, few: int = 8, most: int = 32) -> DataFrame:
-    """Spread a table that is read by a handful of tasks over more of the cores.
-
-    A small file is one row group and so one task, whatever work follows. Only
-    tables of fewer than ``few`` input partitions are moved; large ones never.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and rows.rdd.getNumPartitions() < few:
-        return rows.repartition(min(cores, most), rows.columns[0])
-    return rows
-
-
 def broadcast_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """Mark a control table for broadcast only once its row count is proven small.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import preference, verification
 from shelfmark.plans.scan_job import Library
 from shelfmark.session import shared_folder
-from shelfmark.sources.listing import hash_files, read_archive_members
+from shelfmark.sources.listing import hash_archive_members, hash_files
 
 
 def verify(library: Library, entries: DataFrame, sources: DataFrame, verified_at,
@@ -24,10 +24,10 @@ def verify(library: Library, entries: DataFrame, sources: DataFrame, verified_at
     wanted = candidates.filter(~F.col("is_directory")).select("file_key", "path", "size", "system_key", "extension")
     archive = F.lower("extension").isin(".zip", ".7z", ".rar")
     hashed = hash_files(wanted.filter(~archive)).checkpoint()
-    members = verification.content_hashes(read_archive_members(wanted.filter(F.lower("extension") == ".zip")))
+    members = hash_archive_members(wanted.filter(F.lower("extension") == ".zip")).checkpoint()
     updates = verification.verify_catalog(
-        candidates, hashed.filter(~F.col("failed")), entries, sources, members,
-        failures=hashed.filter("failed")).checkpoint()
+        candidates, hashed.filter(~F.col("failed")), entries, sources, members.filter(~F.col("failed")),
+        failures=hashed.filter("failed").select("file_key").unionByName(members.filter("failed").select("file_key"))).checkpoint()
     files = verification.apply_verification(library.files, updates, verified_at)
     hashes = verification.upsert_hashes(library.hashes, updates, library.files)
     return Library(preference.elect_preferred(files), library.games, hashes), updates

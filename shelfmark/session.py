@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can see, as the cluster names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (a local test) is a machine-local folder made and set.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and the
+    master is local (a test) is a machine-local folder made and set; on a cluster
+    an unset folder is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shelfmark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

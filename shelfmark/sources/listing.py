@@ -167,6 +167,49 @@ def read_archive_members(archives: DataFrame) -> DataFrame:
     return rows.withColumn("extension", extension_of(F.col("entry_name")))
 
 
+def hash_archive_members(archives: DataFrame) -> DataFrame:
+    """SHA-1 and CRC-32 of the members of zip archives: the columns of ``hash_files`` with position and entry_name.
+
+    ``archives``: file_key, system_key, path. Members are streamed in blocks, so a member of any
+    size needs little memory. An archive or member that cannot be read gives a row with ``failed``.
+    """
+    def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, system, path in zip(batch["file_key"], batch["system_key"], batch["path"]):
+                try:
+                    with zipfile.ZipFile(path) as archive:
+                        rows += [(key, system, path, position, entry.filename, entry.file_size, False)
+                                 for position, entry in enumerate(e for e in archive.infolist() if not e.is_dir())]
+                except (zipfile.BadZipFile, NotImplementedError, EOFError, ValueError, OSError):
+                    rows.append((key, system, path, -1, None, 0, True))
+            yield pd.DataFrame(rows, columns=["file_key", "system_key", "path", "position", "entry_name", "size", "unread"])
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, position, skip, unread in zip(batch["path"], batch["position"], batch["header_skip"], batch["unread"]):
+                try:
+                    if unread:
+                        raise OSError(path)
+                    with zipfile.ZipFile(path) as archive:
+                        entry = [e for e in archive.infolist() if not e.is_dir()][position]
+                        with archive.open(entry) as stream:
+                            rows.append(_stream_digests(stream, skip))
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, ValueError, OSError):
+                    rows.append((None, None, None, None, True))
+            yield pd.concat([batch[["file_key", "system_key", "position", "entry_name", "size", "header_skip"]].reset_index(drop=True),
+                             pd.DataFrame(rows, columns=["sha1", "crc32", "payload_sha1", "payload_crc32", "failed"])], axis=1)
+
+    members = archives.select("file_key", "system_key", "path").mapInPandas(
+        list_members, "file_key string, system_key string, path string, position long, entry_name string, size long, unread boolean")
+    skip = F.coalesce(header_skip(F.col("system_key"), extension_of(F.col("entry_name")), F.col("size")), F.lit(0))
+    return (members.withColumn("header_skip", skip.cast("int"))
+            .mapInPandas(digest, "file_key string, system_key string, position long, entry_name string, size long, header_skip int, "
+                                 "sha1 string, crc32 string, payload_sha1 string, payload_crc32 string, failed boolean")
+            .withColumn("payload_size", F.when(F.col("header_skip") > 0, F.col("size") - F.col("header_skip"))))
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """SHA-1 and CRC-32 of files of any size, raw and behind their copier header.
 
@@ -186,22 +229,25 @@ def hash_files(files: DataFrame) -> DataFrame:
             .withColumn("payload_size", F.when(F.col("header_skip") > 0, F.col("size") - F.col("header_skip"))))
 
 
-def _stream_hashes(path: str, skip: int, block: int = 1 << 20) -> tuple:
-    whole, body = hashlib.sha1(), hashlib.sha1()
-    whole_crc = body_crc = 0
+def _stream_hashes(path: str, skip: int) -> tuple:
     try:
         with open(path, "rb") as stream:
-            head = stream.read(skip)
-            whole.update(head)
-            whole_crc = zlib.crc32(head, whole_crc)
-            while piece := stream.read(block):
-                whole.update(piece)
-                whole_crc = zlib.crc32(piece, whole_crc)
-                if skip:
-                    body.update(piece)
-                    body_crc = zlib.crc32(piece, body_crc)
+            return _stream_digests(stream, skip)
     except OSError:
         return None, None, None, None, True
+
+
+def _stream_digests(stream, skip: int, block: int = 1 << 20) -> tuple:
+    whole, body = hashlib.sha1(), hashlib.sha1()
+    head = stream.read(skip)
+    whole.update(head)
+    whole_crc, body_crc = zlib.crc32(head), 0
+    while piece := stream.read(block):
+        whole.update(piece)
+        whole_crc = zlib.crc32(piece, whole_crc)
+        if skip:
+            body.update(piece)
+            body_crc = zlib.crc32(piece, body_crc)
     return (whole.hexdigest().upper(), f"{whole_crc:08X}",
             body.hexdigest().upper() if skip else None, f"{body_crc:08X}" if skip else None, False)
 
@@ -224,7 +270,8 @@ def package_titles(markers: DataFrame) -> DataFrame:
                           F.when(header_ok, number(content, F.lit(8), 4)).alias("keys_at"),
                           F.when(header_ok, number(content, F.lit(12), 4)).alias("data_at"),
                           F.when(header_ok, number(content, F.lit(16), 4)).alias("entries"))
-    usable = F.col("entries").between(1, 1000) & (F.col("size") >= 20 + 16 * F.col("entries"))
+    # The content's own length bounds the number of entries.
+    usable = (F.col("entries") >= 1) & (F.col("size") >= 20 + 16 * F.col("entries"))
 
     def entry(index):
         at = F.lit(20) + index * 16
@@ -238,7 +285,7 @@ def package_titles(markers: DataFrame) -> DataFrame:
     rows = head.withColumn("field", F.when(usable, F.try_element_at(named, F.lit(1))))
     raw = F.substring(content, (F.col("data_at") + F.col("field.value_at") + 1).cast("int"),
                       F.col("field.length").cast("int"))
-    text = F.regexp_replace(F.regexp_replace(F.try_validate_utf8(raw.cast("string")), r"\x00+\z", ""),
+    text = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\x00+\z", ""),
                             r"(?U)^\s+|\s+\z", "")
     return rows.select("marker_path", F.when(text != "", text).alias("package_title"))
 

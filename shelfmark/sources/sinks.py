@@ -21,7 +21,9 @@ def _report_text(rows: DataFrame) -> DataFrame:
     def text(name: str, kind: str):
         column = F.col(f"`{name}`")
         if kind.startswith("timestamp"):
-            return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+            # An instant prints in the session's zone, so it is moved to UTC; a time without zone stays as it is.
+            utc = column if kind == "timestamp_ntz" else F.to_utc_timestamp(column, F.current_timezone())
+            return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
         if kind == "boolean":
             return F.initcap(column.cast("string"))
         return column.cast("string")

@@ -13,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark import model
-from shelfmark.plans.skew import spread_small
 
 
 def choose(column: str, values: list[str]) -> str:
@@ -122,7 +121,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread_small(rows) if name in WIDE_TABLES else rows
+        return rows
 
     def view(self, text: str) -> DataFrame:
         names = [n for n in ("lineitem", "orders", "part", "documents") if "{" + n + "}" in text]
@@ -199,6 +198,9 @@ CTES = {
 CTE_NEEDS = {"part_files": ["files"]}
 
 
+MATERIALISED = {"edges", "roots", "survivors", "remap", "moved", "redo"}
+
+
 def with_ctes(names: str, body: str, extra: dict[str, str] | None = None) -> str:
     """SQL text with the named shared views, then ``extra`` ones, in front."""
     ordered: list[str] = []
@@ -207,7 +209,8 @@ def with_ctes(names: str, body: str, extra: dict[str, str] | None = None) -> str
             if needed not in ordered:
                 ordered.append(needed)
     blocks = [f"{name} AS ({CTES[name]})" for name in ordered]
-    blocks += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
+    # Steps of several readers are worked out once; a recursive one cannot carry the hint.
+    blocks += [f"{name} AS {'MATERIALIZED ' if name in MATERIALISED else ''}({text})" for name, text in (extra or {}).items()]
     return (f"WITH {', '.join(blocks)} " if blocks else "") + body
 
 

@@ -149,12 +149,11 @@ _TITLE = "lower(p_type) || p_name || p_type || ' ' || CAST(p_size % 3 AS STRING)
 _FUZZY_CTES = {
     "titles": f"""SELECT p_brand AS system_key, p_partkey AS id, regexp_replace(lower({_TITLE}), '[^a-z0-9]', '', 'g') AS title
         FROM part""",
-    "buckets": """SELECT *, substr(title, 1, 1) || '-' || CAST(length(title) // 4 AS STRING) AS bucket,
-        count(*) OVER (PARTITION BY system_key, substr(title, 1, 1), length(title) // 4) AS n FROM titles""",
+    "buckets": "SELECT *, substr(title, 1, 1) || '-' || CAST(length(title) // 4 AS STRING) AS bucket FROM titles",
     "pairs": r"""SELECT a.system_key, a.id AS id_a, b.id AS id_b, a.title AS title_a, b.title AS title_b,
         1.0 - CAST(levenshtein(a.title, b.title) AS DOUBLE) / greatest(length(a.title), length(b.title)) AS similarity
         FROM buckets a JOIN buckets b ON a.system_key = b.system_key AND a.bucket = b.bucket AND a.id < b.id
-        WHERE a.n BETWEEN 2 AND 150 AND a.title <> b.title
+        WHERE a.title <> b.title
           AND regexp_extract_all(a.title, '\d+') = regexp_extract_all(b.title, '\d+')""",
     "near": "SELECT * FROM pairs WHERE similarity >= 0.85",
 }
@@ -235,11 +234,13 @@ _PAIRS_SQL = """SELECT min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_type
 _COMPONENT_CTES = {
     "pairs": _PAIRS_SQL,
     "edges": "SELECT keep AS a, drop_key AS b FROM pairs WHERE keep <> drop_key UNION SELECT drop_key, keep FROM pairs WHERE keep <> drop_key",
-    "reach": "SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other",
+    "reach": """SELECT DISTINCT a AS node, a AS other FROM edges WHERE a NOT IN (SELECT a FROM edges WHERE b < a)
+        UNION SELECT e.b, r.other FROM reach r JOIN edges e ON e.a = r.node""",
     "roots": "SELECT node AS game_key, min(other) AS root FROM reach GROUP BY node",
     "present": "SELECT part_key AS game_key, count(*) FILTER (WHERE status <> 'Missing') AS n FROM files GROUP BY part_key",
     "survivors": """SELECT r.game_key, first_value(r.game_key) OVER (PARTITION BY r.root
-        ORDER BY coalesce(p.n, 0) DESC, r.game_key) AS keep_key FROM roots r LEFT JOIN present p ON p.game_key = r.game_key""",
+        ORDER BY r.game_key IN (SELECT drop_key FROM pairs WHERE keep <> drop_key), coalesce(p.n, 0) DESC, r.game_key) AS keep_key
+        FROM roots r LEFT JOIN present p ON p.game_key = r.game_key""",
 }
 
 
@@ -291,8 +292,9 @@ _CLEANUP_CTES = {
 
 
 def _cleanup_files(t: Tables):
-    sizes = t.part.filter("p_size < 15 or p_size > 40").select(F.col("p_partkey").alias("game_key"))
-    return t.part_files.join(sizes, "game_key", "left_semi")
+    sizes = t.part.select(F.col("p_partkey").alias("game_key"), "p_size")
+    status = F.when(F.col("p_size").between(15, 40), "NoMatch").otherwise(F.col("catalog_status"))
+    return t.part_files.join(sizes, "game_key").withColumn("catalog_status", status).drop("p_size")
 
 
 def cleanup_candidates(t: Tables):

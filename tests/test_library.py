@@ -132,6 +132,15 @@ def test_merge_chain_cycle_and_self(library, spark):
     assert preferred(moved) == ["/r/0.nes"]
 
 
+def test_merge_keeps_the_game_the_user_chose(library, spark):
+    files, games = library([dict(path="/r/1.nes", game="a"), dict(path="/r/2.nes", game="a")],
+                           [(key, "NES", f"T{key}", False) for key in "ab"])
+    decisions = curation.merge_decisions(games, files, spark.createDataFrame([("b", "a")], "keep string, drop string"))
+    assert [tuple(r) for r in decisions.collect()] == [("a", "b")]
+    kept, moved = curation.apply_merges(games, files, decisions)
+    assert [r.game_key for r in kept.collect()] == ["b"] and {r.game_key for r in moved.collect()} == {"b"}
+
+
 def test_exact_titles_are_case_sensitive_and_keep_the_fullest(library, spark):
     files, games = library([dict(path="/r/1", game="b"), dict(path="/r/2", game="b"), dict(path="/r/3", game="a")],
                            [("a", "NES", "Bubsy", False), ("b", "NES", "Bubsy", False), ("c", "NES", "bubsy", False)])
