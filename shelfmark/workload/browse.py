@@ -151,10 +151,10 @@ def p1(t: Tables):
 
 
 @query("P2_search_unbounded", _summary("""SELECT * FROM summary
-    WHERE worst_status = 'Missing' AND lower(title) LIKE '%high%'"""))
+    WHERE worst_status = 'Missing' AND (lower(title) LIKE '%high%' OR game_key IN (
+        SELECT game_key FROM files WHERE lower(file_name) LIKE '%high%' OR lower(path) LIKE '%high%'))"""))
 def p2(t: Tables):
-    by_title = t.files.select("game_key", F.lit("").alias("file_name"), F.lit("").alias("path"))
-    found = views.search_games(t.games, by_title, "HIGH")
+    found = views.search_games(t.games, t.files, "HIGH")
     return views.search_unbounded(found, t.files, t.systems, view="Missing")
 
 
@@ -209,16 +209,18 @@ def j14(t: Tables):
     return _inventory(t)
 
 
-@query("J16_game_details", with_ctes("files part_games brands", """SELECT g.game_key, g.system_key, g.title, g.is_wanted,
-    s.system_name, f.file_key, f.file_name, f.size, f.status, f.catalog_status FROM part_games g
-    JOIN brands s ON s.system_key = g.system_key LEFT JOIN part_files f ON f.game_key = g.game_key""".replace(
-    "part_files", "(SELECT * EXCLUDE (game_key), part_key AS game_key FROM files)")))
+@query("J16_game_details", with_ctes("files games systems formats", """SELECT g.game_key, g.system_key, g.title, g.is_wanted,
+    s.system_name, s.manufacturer, f.file_key, f.file_name, f.path, f.size, f.status, f.catalog_status,
+    f.format_name, m.format_type, m.priority FROM games g JOIN systems s ON s.system_key = g.system_key
+    LEFT JOIN files f ON f.game_key = g.game_key LEFT JOIN (SELECT system_key, extension, min(format_type) AS format_type,
+        min(priority) AS priority FROM formats GROUP BY ALL) m ON m.system_key = g.system_key AND m.extension = f.extension
+        AND f.format_name = 'Image'"""))
 def j16(t: Tables):
-    brands = t.brands.withColumn("manufacturer", F.lit("Brand"))
-    files = t.part_files.withColumn("system_key", F.lit(None).cast("string"))
-    rows = views.details_of(t.part_games, files, brands, t.formats)
-    return rows.select("game_key", "system_key", "title", "is_wanted", "system_name", "file_key", "file_name",
-                       "size", "status", "catalog_status")
+    # The files call every format "Image", so the platform formats of a system and extension go by that name.
+    formats = t.formats.groupBy("system_key", "extension").agg(F.min("format_type").alias("format_type"), F.min("priority").alias("priority"))
+    rows = views.details_of(t.games, t.files, t.systems, formats.withColumn("format_name", F.lit("Image")))
+    return rows.select("game_key", "system_key", "title", "is_wanted", "system_name", "manufacturer", "file_key", "file_name",
+                       "path", "size", "status", "catalog_status", "format_name", "format_type", "priority")
 
 
 @query("J17_purge_orphan_games", with_ctes("games files", """SELECT g.game_key, g.title FROM games g
