@@ -50,10 +50,10 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
     fresh = identify.supported_only(keyed.join(fresh_keys, "file_key", "left_semi"), formats)
     if failures is not None:
         fresh = fresh.join(failures.select("path"), "path", "left_anti")
-    known = identify_listing(fresh, formats, entries, titles)
+    known = identify_listing(fresh, formats, entries, titles).checkpoint()
 
     plain = known.filter(~F.col("is_directory")).select("path", "size")
-    sampled = files_on_disk.quick_hash_files(plain).select("path", "quick_hash")
+    sampled = files_on_disk.quick_hash_files(files_on_disk.spread_by_bytes(plain, F.lit(1 << 20))).select("path", "quick_hash")
     markers = known.filter("is_directory").select("path", F.col("marker_path"))
     marker_hashes = files_on_disk.sha256_files(markers.select(F.col("marker_path").alias("path")))
     package_hashes = (markers.join(marker_hashes.withColumnRenamed("path", "marker_path"), "marker_path")
@@ -71,8 +71,8 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
 
     kept = reconcile.drop_replaced_hashes(library.hashes, hashed)
     lacking = (duplicates.quick_hash_collisions(files)
-               .join(kept.filter(F.col("algorithm") == "SHA256").select("file_key"), "file_key", "left_anti"))
-    digests = files_on_disk.sha256_files(lacking.select("path")).filter(F.col("sha256").isNotNull())
+               .join(kept.filter(F.col("algorithm") == "SHA256").select("file_key"), "file_key", "left_anti")).checkpoint()
+    digests = files_on_disk.sha256_files(files_on_disk.spread_by_bytes(lacking).select("path")).filter(F.col("sha256").isNotNull())
     new_hashes = lacking.select("file_key", "path").join(digests, "path").select(
         "file_key", F.lit("SHA256").alias("algorithm"), F.col("sha256").alias("hash"))
     hashes = kept.select("file_key", "algorithm", "hash").unionByName(new_hashes).checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import preference, verification
 from shelfmark.plans.scan_job import Library
 from shelfmark.session import shared_folder
-from shelfmark.sources.listing import hash_archive_members, hash_files
+from shelfmark.sources.listing import hash_archive_members, hash_files, spread_by_bytes
 
 
 def verify(library: Library, entries: DataFrame, sources: DataFrame, verified_at,
@@ -21,10 +21,10 @@ def verify(library: Library, entries: DataFrame, sources: DataFrame, verified_at
     shared_folder(library.files.sparkSession)
     candidates = verification.verification_candidates(
         library.files, library.games, system_key, include_checked)
-    wanted = candidates.filter(~F.col("is_directory")).select("file_key", "path", "size", "system_key", "extension")
+    wanted = candidates.filter(~F.col("is_directory")).select("file_key", "path", "size", "system_key", "extension").checkpoint()
     archive = F.lower("extension").isin(".zip", ".7z", ".rar")
-    hashed = hash_files(wanted.filter(~archive)).checkpoint()
-    members = hash_archive_members(wanted.filter(F.lower("extension") == ".zip")).checkpoint()
+    hashed = hash_files(spread_by_bytes(wanted.filter(~archive))).checkpoint()
+    members = hash_archive_members(spread_by_bytes(wanted.filter(F.lower("extension") == ".zip"))).checkpoint()
     updates = verification.verify_catalog(
         candidates, hashed.filter(~F.col("failed")), entries, sources, members.filter(~F.col("failed")),
         failures=hashed.filter("failed").select("file_key").unionByName(members.filter("failed").select("file_key"))).checkpoint()

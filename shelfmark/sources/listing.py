@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -18,6 +20,8 @@ from shelfmark.functions.text import base_name, extension_of
 
 #: What a reader hands over at a time, so that member contents never pile up in a task.
 ROWS_PER_BATCH = 10_000
+#: Bytes of content that one task reads and hashes.
+BYTES_PER_TASK = 1 << 30
 BYTES_PER_BATCH = 64 << 20
 
 
@@ -67,7 +71,26 @@ def quick_hash_files(paths: DataFrame, sample: int = V.QUICK_HASH_SAMPLE) -> Dat
         F.encode(F.col("size").cast("string"), "UTF-8"), "head", "tail"), 256)).alias("quick_hash"))
 
 
+def spread_by_bytes(files: DataFrame, size="size", each: int = BYTES_PER_TASK) -> DataFrame:
+    """``files`` over as many tasks as their content needs; call it on stored rows, of which it takes one sum.
+
+    The rows that name files are few bytes each, so nothing else would give more than a handful of tasks.
+    """
+    total = files.agg(F.sum(size).cast("long")).first()[0] or 0
+    return files.repartition(max(1, math.ceil(total / each)), "path")
+
+
+def local_path(path: str) -> str:
+    """The path as Python opens it; a store that Python cannot open is an error, not an unreadable file."""
+    if path.startswith("file:"):
+        return re.sub("^file:/*", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+://", path):
+        raise ValueError(f"content can be read from mounted folders only: {path}")
+    return path
+
+
 def _ends(path: str, size: int, sample: int) -> tuple[bytes | None, bytes | None]:
+    path = local_path(path)
     try:
         with open(path, "rb") as stream:
             head = stream.read(sample)
@@ -78,6 +101,7 @@ def _ends(path: str, size: int, sample: int) -> tuple[bytes | None, bytes | None
 
 
 def _file_sha256(path: str) -> str | None:
+    path = local_path(path)
     try:
         with open(path, "rb") as stream:
             return hashlib.file_digest(stream, "sha256").hexdigest().upper()
@@ -176,7 +200,7 @@ def hash_archive_members(archives: DataFrame) -> DataFrame:
     def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, system, path in zip(batch["file_key"], batch["system_key"], batch["path"]):
+            for key, system, path in zip(batch["file_key"], batch["system_key"], map(local_path, batch["path"])):
                 try:
                     with zipfile.ZipFile(path) as archive:
                         rows += [(key, system, path, position, entry.filename, entry.file_size, False)
@@ -230,6 +254,7 @@ def hash_files(files: DataFrame) -> DataFrame:
 
 
 def _stream_hashes(path: str, skip: int) -> tuple:
+    path = local_path(path)
     try:
         with open(path, "rb") as stream:
             return _stream_digests(stream, skip)

@@ -197,6 +197,14 @@ def test_unreadable_archives_are_errors_and_large_members_stream(spark, tmp_path
         "good": "Verified", "broken": "Error", "gone": "Error", "other": "Unsupported"}
 
 
+def test_content_stages_are_sized_by_bytes_and_refuse_unknown_stores(spark):
+    rows = spark.createDataFrame([(f"/x/{n}", 1 << 28) for n in range(40)], "path string, size long")
+    assert listing.spread_by_bytes(rows).rdd.getNumPartitions() == 10
+    assert listing.local_path("file:/a/b") == listing.local_path("file:///a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        listing.local_path("s3a://bucket/key")
+
+
 def test_report_times_are_utc_in_any_session_zone(spark):
     from shelfmark.sources import sinks
     old = spark.conf.get("spark.sql.session.timeZone")
