@@ -15,8 +15,9 @@ pigeonhole count, and with it exactness, holds.
 
 Candidates of a hot signature are not paired with each other: each bucket links its
 members to one centre; these pairs are verified by exact set overlap and joined to
-components; only members of one bucket that are still in different components are
-paired afterwards, and verified as well. So every candidate pair is either verified or
+components; only members of one bucket that are still in different components, and whose
+shingles that other such members hold too are enough for a link, are paired afterwards and verified as well:
+first with the member that has the fewest shingles of its own, then what is still apart with each other. So every candidate pair is either verified or
 already in one component, and no link between different sets is lost.
 """
 
@@ -233,37 +234,97 @@ def centre_pairs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInPandas(run, FOUND)
 
 
-def cross_pairs(found: DataFrame, state: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one bucket in different components, of sizes that can be linked. ``state``: sid, comp, n."""
+def _by_bucket(found: DataFrame, state: DataFrame, run, schema: str) -> DataFrame:
+    """Each shard's buckets together with what ``state`` says of the sets they hold."""
     needs = found.filter(F.col("kind") == NEED).select(
         F.col("shard").alias("place"), F.col("a").alias("sid")).join(state, "sid")
     blocks = found.filter(F.col("kind") == BUCKETS).select(F.col("shard").alias("home"), "block")
+    return blocks.groupBy("home").cogroup(needs.groupBy("place")).applyInPandas(run, schema)
+
+
+def _split_buckets(buckets, known):
+    """(sid, role, row in ``known``, low, high) of each bucket that holds several components."""
+    ids, comps = known["sid"].to_numpy(), known["comp"].to_numpy()
+    for block in buckets["block"]:
+        count = len(block) // _ENTRY
+        sid, group = np.frombuffer(block, np.int64, count), np.frombuffer(block, np.int64, count, 8 * count)
+        role = np.frombuffer(block, np.uint8, count, 16 * count)
+        # A bucket's sets of which ``known`` says nothing cannot be linked any more.
+        at = np.minimum(np.searchsorted(ids, sid), max(0, len(ids) - 1))
+        there = ids[at] == sid if len(ids) else np.zeros(count, bool)
+        sid, group, role, at = sid[there], group[there], role[there], at[there]
+        if not len(sid):
+            continue
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        several = np.minimum.reduceat(comps[at], edges[:-1]) != np.maximum.reduceat(comps[at], edges[:-1])
+        for low, high in zip(edges[:-1][several], edges[1:][several], strict=True):
+            yield sid, role, at, low, high
+
+
+def split_members(found: DataFrame, state: DataFrame) -> DataFrame:
+    """(sid): sets of buckets that hold several components."""
+    def run(buckets, known):
+        import pandas as pd
+
+        parts = [sid[low:high] for sid, _, _, low, high in _split_buckets(buckets, known.sort_values("sid"))]
+        return pd.DataFrame({"sid": np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)})
+
+    return _by_bucket(found, state, run, "sid long").distinct()
+
 
+def shared_sizes(members: DataFrame, state: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``state`` of the members with ``v``: how many of a set's shingles stand in another member's set too.
+
+    Two members share at most the smaller ``v``, which is an exact bound: copies with many changes
+    of their own drop out here, before anything is paired.
+    """
+    texts = docs.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id")), INVOLVED), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = texts.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id"), "sid"), INVOLVED), "doc_id").select("text", "sid")
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        known = WordHashes()
+        for frame in frames:
+            for text, sid in zip(frame["text"], frame["sid"], strict=True):
+                yield pd.DataFrame({"shingle": shingles(text, words, known).view(np.int64), "sid": sid})
+
+    alone = (named.mapInPandas(run, "shingle long, sid long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("sid").alias("sid"))
+             .filter("times = 1").groupBy("sid").agg(F.count("*").alias("alone")))
+    return (members.select("sid").join(state, "sid").join(alone, "sid", "left")
+            .select("sid", "comp", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("v")))
+
+
+def cross_pairs(found: DataFrame, state: DataFrame, percent: int, by_centre: bool) -> DataFrame:
+    """(a, b): members of one bucket in different components that the bounds do not rule out. ``state``: sid, comp, n, v.
+
+    ``by_centre``: only with the member that has the fewest shingles of its own, as a family's origin has.
+    """
     def run(buckets, known):
         import pandas as pd
 
         known = known.sort_values("sid")
-        ids, comps, sizes = (known[c].to_numpy() for c in ("sid", "comp", "n"))
+        comps, sizes, shared = (known[c].to_numpy() for c in ("comp", "n", "v"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for block in buckets["block"]:
-            count = len(block) // _ENTRY
-            sid, group = np.frombuffer(block, np.int64, count), np.frombuffer(block, np.int64, count, 8 * count)
-            role = np.frombuffer(block, np.uint8, count, 16 * count)
-            at = np.searchsorted(ids, sid)
-            comp, n = comps[at], sizes[at]
-            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-            mixed_ = np.minimum.reduceat(comp, edges[:-1]) != np.maximum.reduceat(comp, edges[:-1])
-            for low, high in zip(edges[:-1][mixed_], edges[1:][mixed_], strict=True):
-                for i in range(low, high - 1):
-                    rest = slice(i + 1, high)
-                    least, most = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-                    yes = np.flatnonzero((comp[rest] != comp[i]) & (role[i] + role[rest] < 2) & (100 * least >= percent * most)) + i + 1
-                    left.append(np.full(len(yes), sid[i]))
-                    right.append(sid[yes])
+        for sid, role, at, low, high in _split_buckets(buckets, known):
+            if by_centre:
+                lower = np.flatnonzero(role[low:high] == 0) + low
+                if not len(lower):
+                    continue
+                centre = lower[np.lexsort((sid[lower], (sizes - shared)[at[lower]]))[0]]
+            for i in [centre] if by_centre else range(low, high - 1):
+                rest = slice(low if by_centre else i + 1, high)
+                most = np.minimum(np.minimum(shared[at[i]], shared[at[rest]]), np.minimum(sizes[at[i]], sizes[at[rest]]))
+                yes = np.flatnonzero((comps[at[rest]] != comps[at[i]]) & (role[i] + role[rest] < 2)
+                                     & (100 * most >= percent * (sizes[at[i]] + sizes[at[rest]] - most))) + rest.start
+                left.append(np.full(len(yes), sid[i]))
+                right.append(sid[yes])
         a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
         return pd.DataFrame({"a": a, "b": b})
 
-    return blocks.groupBy("home").cogroup(needs.groupBy("place")).applyInPandas(run, "a long, b long").distinct()
+    # A set whose shared part is too small for any partner goes first.
+    able = state.filter(100 * F.col("v") >= percent * F.col("n"))
+    return _by_bucket(found, able, run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -316,12 +377,20 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
     centred = found.filter(F.col("kind") == PAIR).select("a", "b").distinct()
     links = settled(verified(centred, chosen, classes, words, percent))
     first = settled(connected_components(links, "a", "b"))
-    state = classes.join(first.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "sid", F.coalesce("root", "sid").alias("comp"), "n")
-    more = settled(verified(cross_pairs(found, state, percent), chosen, classes, words, percent))
-    if not more.isEmpty():
-        first = settled(connected_components(links.unionByName(more), "a", "b"))
-    member = classes.join(first.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    state = settled(classes.join(first.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
+        "sid", F.coalesce("root", "sid").alias("comp"), "n"))
+    members = settled(split_members(found, state).join(classes.select("sid", "doc"), "sid"))
+    bounded = settled(shared_sizes(members, state, chosen, words))
+    for by_centre in (True, False):
+        more = settled(verified(cross_pairs(found, bounded, percent, by_centre), chosen, classes, words, percent))
+        if not more.isEmpty():
+            # Only the links between components need another round.
+            comp = lambda name, state=state: state.select(F.col("sid").alias(name), F.col("comp").alias(f"comp_{name}"))
+            between = more.join(comp("a"), "a").join(comp("b"), "b").filter("comp_a <> comp_b")
+            above = settled(connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), F.col("root").alias("top")))
+            raised = lambda rows, above=above: (rows.join(above, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"))
+            state, bounded = settled(raised(state)), settled(raised(bounded))
+    member = classes.join(state.select("sid", F.col("comp").alias("root")), "sid")
     named = settled(member.join(member.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("sid", "component_id"))
     linked = sets.join(named, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
