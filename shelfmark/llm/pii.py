@@ -37,14 +37,15 @@ ATTEMPTS = 12
 
 _EVERY_TITLE = "|".join(" ".join(TITLES.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
-SECRET = r"(?<=(?:token|secret|password|api_key|apikey)[ =:\"]{1,4})[A-Za-z0-9_-]{16,128}"
-IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9.]*[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
-NAME = rf"(?<!\p{{L}})(?:{_EVERY_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-ENTITY = "|".join([EMAIL, SECRET, IP, CARD, SSN, PHONE, NAME])
+# Each pattern fails on its first characters where nothing is to be found; quantifiers are possessive where they can be.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
+SECRET = r"(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|password|api_key|apikey)[ =:\"]{1,4})[A-Za-z0-9_-]{16,128}"
+IP = rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9.]*[0-9])"
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
+NAME = rf"(?:{_EVERY_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+ENTITY = (rf"(?<![\p{{L}}0-9])(?:(?=[0-9+(])(?:{IP}|{CARD}|{SSN}|{PHONE})|(?=\p{{Lu}}){NAME}|{SECRET}|{EMAIL})")
 
 
 def kind_of(entity: Column) -> Column:
@@ -154,6 +155,14 @@ def later_attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
+def _with_attempts(plain: DataFrame, again: DataFrame) -> DataFrame:
+    """Adds ``attempts`` (mention → attempt) to the documents that hold an entity of ``again``."""
+    held = (plain.select("doc_id", F.explode(F.array_distinct("found")).alias("mention")).withColumn("plain", bare(F.col("mention")))
+            .join(broadcast_if_small(again), "plain").dropDuplicates(["doc_id", "mention"])
+            .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "attempt"))).alias("attempts")))
+    return plain.join(broadcast_if_small(settled(held)), "doc_id", "left")
+
+
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_entities, kinds (sorted, comma-joined), text with surrogates.
 
@@ -162,15 +171,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     again = settled(later_attempts(docs, key))
     plain = texts(docs).withColumn("found", mentions(F.col("text")))
-    # Only documents that hold such an entity get a (mention → attempt) map.
-    held = (plain.select("doc_id", F.explode(F.array_distinct("found")).alias("mention")).withColumn("plain", bare(F.col("mention")))
-            .join(broadcast_if_small(again), "plain").dropDuplicates(["doc_id", "mention"])
-            .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "attempt"))).alias("attempts")))
-    joined = plain.join(broadcast_if_small(settled(held)), "doc_id", "left")
+    none = F.lit(None).cast("map<string,int>")
+    plain = plain.withColumn("attempts", none) if again.isEmpty() else _with_attempts(plain, again)
     own = lambda mention: surrogate(mention, F.coalesce(F.element_at("attempts", mention), F.lit(0)), key)
     between = F.split("text", ENTITY, -1)
     pieces = F.zip_with(between, F.transform("found", own), lambda text, made: F.concat(text, F.coalesce(made, F.lit(""))))
-    return joined.select(
+    return plain.select(
         "doc_id", F.size("found").cast("long").alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", kind_of))), ",").alias("kinds"),
         F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"))
