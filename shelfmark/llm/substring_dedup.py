@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import window_runs as runs
-from shelfmark.llm.common import settled, shards_for
+from shelfmark.llm.common import shards_for, stored
 
 WINDOW, GRAM = 35, 8
 #: Bytes of text for each shard of anchors.
@@ -150,17 +150,17 @@ def mark(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     packed = runs.entries(plain, symbols, WordHashes, lambda values: values, window, gram, shards, False)
-    found = settled(runs.settle(packed, False))
+    found = stored(runs.settle(packed, False), "runs")
 
     def index(frame):
         import pandas as pd
 
         run, first, stop = shared_windows([np.frombuffer(c, np.uint64) for c in frame["content"]], window)
         start = frame["start"].to_numpy()[run]
-        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[run], "start": start + first, "stop": start + stop})
+        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[run], "start": (start + first).astype(np.int32), "stop": (start + stop).astype(np.int32)})
 
-    asked = runs.contents(plain, found, symbols, WordHashes, shards)
-    more = asked.groupBy("shard").applyInPandas(index, "doc_id long, start long, stop long")
+    asked = runs.contents(plain, found, symbols, WordHashes)
+    more = asked.groupBy("shard").applyInPandas(index, "doc_id long, start int, stop int")
 
     def finish(doc_id, text, starts, stops):
         words = text.split()

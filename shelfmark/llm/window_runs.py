@@ -32,7 +32,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 ROUND, ENTRIES = 1 << 18, 500_000
 PACKED = "shard int, kind int, block binary"
 COVER, ASK = 0, 1
-FOUND = "kind int, doc_id long, start long, at long, stop long, anchor long"
+FOUND = "kind int, doc_id long, start int, at int, stop int, shard int"
 
 
 class Powers:
@@ -101,12 +101,18 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[opens], np.append(stops[:-1][opens[1:]], stops[-1])
 
 
-_FIELDS = (("anchor", np.uint64), ("content", np.uint64), ("doc", np.int64), ("start", np.int32), ("at", np.uint16),
-           ("stop", np.int32), ("many", np.uint8))
+_FIELDS = (("anchor", np.uint32), ("content", np.uint64), ("doc", np.int64), ("start", np.int32), ("at", np.uint8),
+           ("length", np.int32), ("many", np.uint8))
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c.astype(t)).tobytes() for c, (_, t) in zip(columns, _FIELDS, strict=True))
+    """Columns as planes of bytes, sorted by document and with differences of doc_ids: what is nearly constant
+    then lies together and all but vanishes in the shuffle's compression."""
+    order = np.lexsort((columns[3], columns[2]))
+    columns = [c[order] for c in columns]
+    columns[2] = np.diff(columns[2], prepend=0)
+    return b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes()
+                    for c, (_, t) in zip(columns, _FIELDS, strict=True))
 
 
 def _unpack(blocks: list[bytes]) -> list[np.ndarray]:
@@ -115,8 +121,11 @@ def _unpack(blocks: list[bytes]) -> list[np.ndarray]:
     for block in blocks:
         count, at = len(block) // size, 0
         for n, (_, kind) in enumerate(_FIELDS):
-            parts[n].append(np.frombuffer(block, kind, count, at))
-            at += count * np.dtype(kind).itemsize
+            width = np.dtype(kind).itemsize
+            planes = np.frombuffer(block, np.uint8, count * width, at).reshape(width, count)
+            values = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+            parts[n].append(np.cumsum(values) if n == 2 else values)
+            at += count * width
     return [np.concatenate(p) for p in parts]
 
 
@@ -170,7 +179,9 @@ def entries(docs: DataFrame, symbols_of: Callable, state: Callable, hashes: Call
             edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 p = pick[low:high]
-                rows.append((int(shard[low]), ASK, _pack([anchor[p], content[p], doc[p], start[p], at[p] - start[p], stop[p], sizes[low:high]])))
+                # Within a shard 32 bits of the anchor are enough: runs that share them by chance only meet in vain.
+                rows.append((int(shard[low]), ASK, _pack([anchor[p] // np.uint64(shards) & np.uint64(0xFFFFFFFF), content[p], doc[p], start[p],
+                                                          at[p] - start[p], stop[p] - start[p], sizes[low:high]])))
             held.clear()
             return pd.DataFrame(rows, columns=["shard", "kind", "block"])
 
@@ -198,16 +209,16 @@ def settle(packed: DataFrame, smaller_wins: bool) -> DataFrame:
     def run(frame):
         import pandas as pd
 
-        parts = [[] for _ in range(6)]
+        parts, shard = [[] for _ in range(5)], int(frame["shard"].iloc[0])
         for block in frame.loc[frame["kind"] == COVER, "block"]:
             values = np.frombuffer(block, np.int64)
             starts, stops = values[1:].reshape(2, -1)
             zero = np.zeros(len(starts), np.int64)
-            for part, column in zip(parts, (zero + COVER, zero + values[0], starts, zero, stops, zero), strict=True):
+            for part, column in zip(parts, (zero + COVER, zero + values[0], starts, zero, stops), strict=True):
                 part.append(column)
         blocks = list(frame.loc[frame["kind"] == ASK, "block"])
         if blocks:
-            anchor, content, doc, start, at, stop, many = _unpack(blocks)
+            anchor, content, doc, start, at, length, many = _unpack(blocks)
             order, stands, _, covered = _settled(anchor, content, doc, start, many.astype(np.int64), smaller_wins)
             a, c = anchor[order], content[order]
             fresh = np.concatenate([[True], a[1:] != a[:-1]])
@@ -219,20 +230,20 @@ def settle(packed: DataFrame, smaller_wins: bool) -> DataFrame:
             for kind, chosen in ((COVER, covered), (ASK, ask)):
                 rows = order[chosen]
                 first = start[rows].astype(np.int64)
-                for part, column in zip(parts, (np.full(len(rows), kind), doc[rows], first, first + at[rows], stop[rows].astype(np.int64),
-                                                anchor[rows].view(np.int64)), strict=True):
+                for part, column in zip(parts, (np.full(len(rows), kind), doc[rows], first, first + at[rows], first + length[rows]), strict=True):
                     part.append(column)
-        kind, doc_id, start, at, stop, anchor = (np.concatenate(p) for p in parts)
-        return pd.DataFrame({"kind": kind.astype(np.int32), "doc_id": doc_id, "start": start, "at": at, "stop": stop, "anchor": anchor})
+        kind, doc_id, start, at, stop = (np.concatenate(p) for p in parts)
+        return pd.DataFrame({"kind": kind.astype(np.int32), "doc_id": doc_id, "start": start.astype(np.int32), "at": at.astype(np.int32),
+                             "stop": stop.astype(np.int32), "shard": np.full(len(kind), shard, np.int32)})
 
     return packed.groupBy("shard").applyInPandas(run, FOUND)
 
 
-def contents(docs: DataFrame, found: DataFrame, symbols_of: Callable, state: Callable, shards: int) -> DataFrame:
-    """(shard, doc_id, start, at, stop, anchor, content): the runs asked for, with their content as bytes."""
+def contents(docs: DataFrame, found: DataFrame, symbols_of: Callable, state: Callable) -> DataFrame:
+    """(shard, doc_id, start, at, stop, content): the runs asked for, with their content as bytes."""
     # Lists of one aggregation keep one order; a list is as long as its document at most.
     asked = found.filter(F.col("kind") == ASK).groupBy("doc_id").agg(
-        *[F.collect_list(name).alias(name) for name in ("start", "at", "stop", "anchor")])
+        *[F.collect_list(name).alias(name) for name in ("start", "at", "stop", "shard")])
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -240,19 +251,18 @@ def contents(docs: DataFrame, found: DataFrame, symbols_of: Callable, state: Cal
         known = state()
         for frame in frames:
             rows = []
-            for doc_id, text, start, at, stop, anchor in zip(*(frame[c] for c in frame.columns), strict=True):
+            for doc_id, text, start, at, stop, shard in zip(*(frame[c] for c in frame.columns), strict=True):
                 symbols = symbols_of(text, known)
-                shard = (np.asarray(anchor, np.int64).view(np.uint64) % np.uint64(shards)).astype(np.int64)
-                for one in zip(shard.tolist(), start.tolist(), at.tolist(), stop.tolist(), anchor.tolist(), strict=True):
+                for one in zip(shard.tolist(), start.tolist(), at.tolist(), stop.tolist(), strict=True):
                     rows.append((one[0], doc_id, *one[1:], symbols[one[1]:one[3]].tobytes()))
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["shard", "doc_id", "start", "at", "stop", "anchor", "content"])
+                    yield pd.DataFrame(rows, columns=["shard", "doc_id", "start", "at", "stop", "content"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "doc_id", "start", "at", "stop", "anchor", "content"])
+                yield pd.DataFrame(rows, columns=["shard", "doc_id", "start", "at", "stop", "content"])
 
-    return docs.join(asked, "doc_id").select("doc_id", "text", "start", "at", "stop", "anchor").mapInPandas(
-        run, "shard int, doc_id long, start long, at long, stop long, anchor long, content binary")
+    return docs.join(asked, "doc_id").select("doc_id", "text", "start", "at", "stop", "shard").mapInPandas(
+        run, "shard int, doc_id long, start int, at int, stop int, content binary")
 
 
 def covered_texts(docs: DataFrame, found: DataFrame, more: DataFrame, finish: Callable, schema: str) -> DataFrame:
