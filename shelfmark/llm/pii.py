@@ -37,15 +37,30 @@ ATTEMPTS = 12
 
 _EVERY_TITLE = "|".join(" ".join(TITLES.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-# Each pattern fails on its first characters where nothing is to be found; quantifiers are possessive where they can be.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
-SECRET = r"(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|password|api_key|apikey)[ =:\"]{1,4})[A-Za-z0-9_-]{16,128}"
+# Letters of scripts that write no space between words (by code point, which is faster than by script), and what else an address may hold.
+_GLUED = (r"\x{E01}-\x{E3A}\x{E40}-\x{E4E}\x{E50}-\x{E59}\x{E81}-\x{EDF}\x{1000}-\x{1049}\x{1050}-\x{109D}\x{1100}-\x{11FF}\x{1780}-\x{17D3}"
+          r"\x{3005}-\x{3007}\x{3041}-\x{309F}\x{30A1}-\x{30FA}\x{30FC}-\x{318E}\x{31A0}-\x{31BF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}"
+          r"\x{4E00}-\x{9FFF}\x{A960}-\x{A97C}\x{AC00}-\x{D7FB}\x{F900}-\x{FAFF}\x{FF66}-\x{FFDC}\x{20000}-\x{323AF}")
+_SPACED = rf"[\x{{80}}-\x{{10FFFF}}&&[\p{{L}}\p{{M}}\p{{N}}]&&[^{_GLUED}]]"
+_LOCAL = rf"[A-Za-z0-9._%+\-{_SPACED}]"
+_ANY_LOCAL = r"[A-Za-z0-9._%+\-\p{L}\p{M}\p{N}]"
+# An ASCII domain, which ends where letters of such scripts begin, or else one with any letters.
+_DOMAIN = (rf"(?:[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24}}+(?!{_SPACED})"
+           r"|[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63})*\.[\p{L}\p{M}]{2,24})")
+# Each pattern has its own boundary and fails on its first characters where nothing is to be found; quantifiers are possessive where they can be.
+# An address begins where its run of characters does (or at the end of the entity before), or after a letter of a script without spaces.
+# Words of ASCII letters alone, the most of many texts, never reach the costly classes.
+EMAIL = (r"(?:(?:(?<![A-Za-z0-9._%+\-])|\G)(?=[A-Za-z0-9._%+\-]*+[@\x{80}-\x{10FFFF}])(?:(?<![\p{L}\p{M}\p{N}])|\G)"
+         rf"{_LOCAL}*+(?:(?<={_LOCAL})|[{_GLUED}]{_ANY_LOCAL}*+(?<=[{_GLUED}]))"
+         rf"|(?<=[\x{{80}}-\x{{10FFFF}}])(?<=[{_GLUED}]){_LOCAL}++)@{_DOMAIN}")
+SECRET = r"(?<=[ =:\"])(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|password|api_key|apikey)[ =:\"]{1,4})[A-Za-z0-9_-]{16,128}"
 IP = rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9.]*[0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
 NAME = rf"(?:{_EVERY_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-ENTITY = (rf"(?<![\p{{L}}0-9])(?:(?=[0-9+(])(?:{IP}|{CARD}|{SSN}|{PHONE})|(?=\p{{Lu}}){NAME}|{SECRET}|{EMAIL})")
+ENTITY = (rf"(?:{EMAIL}|{SECRET}|(?=[0-9+(])(?<![0-9])(?:{IP}|{CARD}|{SSN}|{PHONE})"
+          rf"|(?=\p{{Lu}})(?<!\p{{L}}){NAME})")
 
 
 def kind_of(entity: Column) -> Column:
@@ -74,11 +89,12 @@ def _number(seed: Column, at: Column | int, below: int) -> Column:
 
 
 def _letterwise(entity: Column, seed: Column) -> Column:
-    """Each letter and digit replaced by another of its sort; all else stays."""
+    """Each letter and digit replaced by another of its sort, letters beyond ASCII by ASCII letters; all else stays."""
     def one(c, n):
         pick = lambda letters: F.substring(F.lit(letters), _number(seed, n, len(letters)) + 1, F.lit(1))
         return (F.when(c.rlike("^[0-9]$"), pick("0123456789")).when(c.rlike("^[a-f]$"), pick("abcdef"))
                 .when(c.rlike("^[a-z]$"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("^[A-Z]$"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                .when(c.rlike(r"^[\p{L}\p{M}\p{N}]$"), pick("abcdefghijklmnopqrstuvwxyz"))
                 .otherwise(c))
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 

@@ -141,6 +141,29 @@ def test_surrogates_keep_format_and_identity(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_entities_glued_to_letters_are_replaced(spark):
+    card, mail, phone, ip = "9807915762804490", "abc@mail.example.com", "017-555-7713", "97.51.17.173"
+    before = ["电话", "メール", "カード", "โทร", "card", "и", "卡号：", "이메일"]
+    rows = [(n, f"{word}{card}。{word}{phone}。{word}{ip}。") for n, word in enumerate(before)]
+    rows += [(50 + n, f"{word}{mail}电话") for n, word in enumerate(before)]
+    odd = ["müller@firma.de", "JOSÉ.Núñez@firma.de", "иван@почта.рф", "用户@例子.com", "x.y@bücher.de", f"{card}abc@firma.de", "(017) 555-7713abc@firma.de",
+           "a" * 80 + "@firma.de", "abc@mail.firmaü.de"]
+    rows += [(100 + n, f"an {text} zu") for n, text in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(docs).collect()}
+    for n, word in enumerate(before):
+        r, m = got[n], got[50 + n]
+        assert r.kinds == "card,ip,phone" and r.n_entities == 3 and r.text.startswith(word), word
+        assert not any(x in r.text for x in (card, phone, ip))
+        assert m.kinds == "email" and "abc@" not in m.text and m.text.endswith(".example电话"), word
+    same = {got[50 + n].text.removeprefix(word) for n, word in enumerate(before) if word not in ("card", "и")}
+    assert len(same) == 1
+    for n, text in enumerate(odd):
+        r = got[100 + n]
+        assert "email" in r.kinds and r.text.endswith(".example zu") and r.text.startswith("an "), text
+        assert not any(x in r.text for x in ("firma", "bücher", "почта", "例子", "ü", "é", "ñ", "иван", "用户", "555")), r.text
+
+
 def test_colliding_surrogates_stay_distinct(spark, monkeypatch):
     # Ten short given names for one family: eight surrogates, so some need another attempt.
     docs = spark.createDataFrame([(n, f"Mr Tom{c} Lee and Mr Tom{c} Lee") for n, c in enumerate("abcdefghij")], "doc_id long, text string")
