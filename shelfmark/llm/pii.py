@@ -53,7 +53,9 @@ _DOMAIN = (rf"(?:[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24
 EMAIL = (r"(?:(?:(?<![A-Za-z0-9._%+\-])|\G)(?=[A-Za-z0-9._%+\-]*+[@\x{80}-\x{10FFFF}])(?:(?<![\p{L}\p{M}\p{N}])|\G)"
          rf"{_LOCAL}*+(?:(?<={_LOCAL})|[{_GLUED}]{_ANY_LOCAL}*+(?<=[{_GLUED}]))"
          rf"|(?<=[\x{{80}}-\x{{10FFFF}}])(?<=[{_GLUED}]){_LOCAL}++)@{_DOMAIN}")
-SECRET = r"(?<=[ =:\"])(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|password|api_key|apikey)[ =:\"]{1,4})[A-Za-z0-9_-]{16,128}"
+# A secret is the whole run after its keyword, without closing dots and equal signs before it; a run of signs alone is none.
+SECRET = (r"(?<=[ =:\"])(?=[A-Za-z0-9_\-./+][A-Za-z0-9_\-./+=]{15})(?<=(?i:token|secret|password|api_key|apikey)[ =:\"]{1,4})"
+          r"(?=[_\-./+=]*+[A-Za-z0-9])[A-Za-z0-9_\-./+=]{15,}[A-Za-z0-9_\-/+=](?![A-Za-z0-9_\-/+=])")
 IP = rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9.]*[0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -89,14 +91,19 @@ def _number(seed: Column, at: Column | int, below: int) -> Column:
 
 
 def _letterwise(entity: Column, seed: Column) -> Column:
-    """Each letter and digit replaced by another of its sort, letters beyond ASCII by ASCII letters; all else stays."""
-    def one(c, n):
-        pick = lambda letters: F.substring(F.lit(letters), _number(seed, n, len(letters)) + 1, F.lit(1))
+    """Each letter and digit replaced by another of its sort, letters beyond ASCII by ASCII letters; all else stays.
+
+    One seed gives 42 numbers, so each further 42 letters have a seed of their own.
+    """
+    def one(first, c, n):
+        own = F.when(n < 42, first).otherwise(F.sha2(F.concat(first, F.floor(n / 42).cast("string")), 512))
+        pick = lambda letters: F.substring(F.lit(letters), _number(own, n, len(letters)) + 1, F.lit(1))
         return (F.when(c.rlike("^[0-9]$"), pick("0123456789")).when(c.rlike("^[a-f]$"), pick("abcdef"))
                 .when(c.rlike("^[a-z]$"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("^[A-Z]$"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
                 .when(c.rlike(r"^[\p{L}\p{M}\p{N}]$"), pick("abcdefghijklmnopqrstuvwxyz"))
                 .otherwise(c))
-    return F.array_join(F.transform(F.split(entity, ""), one), "")
+    # The seed is bound once, not made again for each letter.
+    return F.transform(F.array(seed), lambda first: F.array_join(F.transform(F.split(entity, ""), lambda c, n: one(first, c, n)), ""))[0]
 
 
 def _digits_filled(entity: Column, digits: Column) -> Column:

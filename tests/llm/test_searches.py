@@ -164,6 +164,25 @@ def test_entities_glued_to_letters_are_replaced(spark):
         assert not any(x in r.text for x in ("firma", "bücher", "почта", "例子", "ü", "é", "ñ", "иван", "用户", "555")), r.text
 
 
+def test_secrets_are_replaced_whole(spark):
+    long = "".join("0123456789abcdefXYZ"[i * i % 19] for i in range(400))
+    secrets = ["9233A8EC04DBEBAB91AB85687D33EEAA", "ab/cd+EF0123456789xyz==", "/+abcdEF0123456789xyz", "eyJhbGciOi9.eyJzdWIiOiIx9.SflKxwRJSMe9", long,
+               "9807915762804490abcdefgh"]
+    rows = [(10 * n + k, f'{word}{secret}{end}') for n, secret in enumerate(secrets)
+            for k, (word, end) in enumerate([('TOKEN = "', '" x'), ("Password: ", ". X"), ("api_key=", "\nx")])]
+    rows += [(100, "password: ...................... and SECRET ====================="), (101, "Password: ____________________")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, secret in enumerate(secrets):
+        for k, (word, end) in enumerate([('TOKEN = "', '" x'), ("Password: ", ". X"), ("api_key=", "\nx")]):
+            r = got[10 * n + k]
+            made = r.text.removeprefix(word).removesuffix(end)
+            assert r.n_entities == 1 and len(r.text) == len(word + secret + end) and len(made) == len(secret), (secret, r)
+            assert not any(secret[i:i + 8] in r.text for i in range(len(secret) - 7)), (secret, r)
+            assert [c for c in made if not c.isalnum()] == [c for c in secret if not c.isalnum()]
+            assert made == got[10 * n].text[9:9 + len(secret)]
+    assert [got[n].text for n in (100, 101)] == [text for n, text in rows if n >= 100]
+
+
 def test_colliding_surrogates_stay_distinct(spark, monkeypatch):
     # Ten short given names for one family: eight surrogates, so some need another attempt.
     docs = spark.createDataFrame([(n, f"Mr Tom{c} Lee and Mr Tom{c} Lee") for n, c in enumerate("abcdefghij")], "doc_id long, text string")
