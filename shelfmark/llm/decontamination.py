@@ -12,6 +12,7 @@ bitmap lets no true hit go.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import settled, texts
 from shelfmark.plans.skew import broadcast_if_small
 
-# Masks of weight 7; a 1 compares the word, a 0 ignores it.
-MASKS = ("1111111", "110110010101", "101001101011", "1110010010011")
+# Masks of weight 6; a 1 compares the word, a 0 ignores it. Every way to replace 2 of 13, 3 of 15, 4 of 20
+# or 5 of 25 words leaves a place for one of them, and each overlap of 13 words or more that is accepted holds such a stretch.
+MASKS = ("11101011", "11001000111", "101000100111", "111111")
+# Likewise for items of 5 to 12 words as a whole, a fifth of whose words may be replaced.
+SHORT_MASKS, SHORT_FROM = ("1111", "10111", "11011", "11101"), 5
 #: An overlap has at least this many words (or the whole item, if that is shorter), and this share of equal words.
 LEAST_WORDS, SHARE = 13, 0.8
 #: Items of fewer words than this are not searched: they are no evidence.
@@ -99,20 +103,38 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
     return best
 
 
-def masks_for(items: DataFrame) -> tuple[str, ...]:
-    """The fixed masks, and one gapless mask for each shorter length that an item has (at most four)."""
+def masks_hitting(length: int, least_words: int, share: float) -> tuple[str, ...]:
+    """Masks of which one hits each accepted overlap with an item of so many words."""
+    if share >= SHARE and length >= least_words >= LEAST_WORDS:
+        return MASKS
+    if share >= SHARE and SHORT_FROM <= length < min(least_words, LEAST_WORDS):
+        return SHORT_MASKS
+    if share >= SHARE and LEAST_WORDS <= length < least_words:
+        return MASKS
+    # An accepted stretch of twice the least length holds a shorter one; so many replaced words leave a run this long.
+    stretches = range(least_words, 2 * least_words) if length >= least_words else [length]
+    equal = {n: max(1, math.ceil(share * n - 1e-9)) for n in stretches}
+    return ("1" * min(math.ceil(same / (n - same + 1)) for n, same in equal.items()),)
+
+
+def masks_for(items: DataFrame, least_words: int = LEAST_WORDS, share: float = SHARE) -> dict[str, set[int]]:
+    """Each mask with the lengths of the items that need it, from ``least_words`` on as one length."""
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         known = WordHashes()
         for frame in frames:
-            yield pd.DataFrame({"n": [len(word_hashes(text, known)) for text in frame["text"]]})
+            yield pd.DataFrame({"n": [min(len(word_hashes(text, known)), least_words) for text in frame["text"]]})
 
-    lengths = items.select("text").mapInPandas(run, "n int").filter((F.col("n") >= SHORTEST_ITEM) & (F.col("n") < len(MASKS[0])))
-    return MASKS + tuple("1" * row.n for row in lengths.distinct().orderBy("n").collect())
+    lengths = items.select("text").mapInPandas(run, "n int").filter(F.col("n") >= min(SHORTEST_ITEM, least_words))
+    masks: dict[str, set[int]] = {}
+    for row in lengths.distinct().orderBy("n").collect():
+        for mask in masks_hitting(row.n, least_words, share):
+            masks.setdefault(mask, set()).add(row.n)
+    return masks
 
 
-def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def benchmark_seeds(items: DataFrame, masks: dict[str, set[int]], least_words: int = LEAST_WORDS) -> DataFrame:
     """(seed, item_id, at) over all items."""
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -121,8 +143,8 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
         for frame in frames:
             for item_id, text in zip(frame["item_id"], frame["text"], strict=True):
                 words = word_hashes(text, known)
-                for mask, seeds in zip(masks, seeds_of(words, masks), strict=True):
-                    if len(mask) >= len(MASKS[0]) or len(mask) == len(words):
+                for lengths, seeds in zip(masks.values(), seeds_of(words, tuple(masks)), strict=True):
+                    if min(len(words), least_words) in lengths:
                         yield pd.DataFrame({"seed": seeds, "item_id": item_id, "at": np.arange(len(seeds), dtype=np.int32)})
 
     return items.mapInPandas(run, "seed long, item_id long, at int")
@@ -175,9 +197,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS,
     """(doc_id, spans) of the documents that hold a verified overlap with an item."""
     docs, items = texts(docs), items.select(F.col("item_id").cast("long").alias("item_id"),
                                             F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    masks = masks_for(items)
-    seeds = settled(benchmark_seeds(items, masks))
-    hits = document_hits(docs, seed_bitmap(seeds), masks)
+    masks = masks_for(items, least_words, share)
+    seeds = settled(benchmark_seeds(items, masks, least_words))
+    hits = document_hits(docs, seed_bitmap(seeds), tuple(masks))
     candidates = settled(hits.join(broadcast_if_small(seeds), "seed")
                          .groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("n")))
     per_doc = (candidates.join(items.withColumnRenamed("text", "item_text"), "item_id")

@@ -1,5 +1,6 @@
 """Decontamination, licences, toxicity, language and surrogates."""
 
+import itertools
 import re
 
 import numpy as np
@@ -39,6 +40,34 @@ def test_decontamination_finds_replaced_words_and_leaves_others(spark):
     assert not decontamination.mark(docs, items.limit(0)).filter("contaminated").count()
 
 
+def hit(masks, equal):
+    return any(all(equal[at + n] for n, bit in enumerate(mask) if bit == "1")
+               for mask in masks for at in range(len(equal) - len(mask) + 1))
+
+
+@pytest.mark.parametrize(("least", "share"), [(13, 0.8), (13, 0.9), (8, 0.7)])
+def test_masks_hit_every_accepted_overlap(least, share):
+    # Whole short items, and the stretches that every longer accepted overlap holds.
+    for length in range(decontamination.SHORTEST_ITEM, 21 if share >= 0.8 else 16):
+        masks = decontamination.masks_hitting(min(length, least), least, share)
+        replaced = int((1 - share) * length + 1e-9)
+        for gone in itertools.combinations(range(length), replaced):
+            assert hit(masks, [n not in gone for n in range(length)]), (length, gone)
+
+
+def test_decontamination_of_short_items_with_each_word_replaced(spark):
+    items = {n: [f"item{n}word{k}" for k in range(n)] for n in range(3, 13)} | {15: [f"long{k}" for k in range(15)]}
+    docs, want = [], {}
+    for n, words in items.items():
+        for count in range(4):
+            for gone in itertools.combinations(range(n), count):
+                want[len(docs)] = n - count >= 0.8 * n - 1e-9 or n == 15 and count <= 3
+                docs.append((len(docs), "a b " + " ".join("zz" if k in gone else w for k, w in enumerate(words)) + " c"))
+    got = decontamination.mark(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame([(n, " ".join(words)) for n, words in items.items()], "item_id long, text string"))
+    assert {r.doc_id: r.contaminated for r in got.collect()} == want
+
+
 def test_longest_stretch_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(300):
