@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontamination, exact_dedup, jaccard_join, language, licenses, packing, pii, substring_dedup, suffix_dedup, toxicity
+from shelfmark.llm import (decontamination, exact_dedup, jaccard_join, language, licenses, packing, periodic_runs, pii, substring_dedup,
+                           suffix_dedup, toxicity)
 
 
 def table(spark, folder, name):
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_license_scan": lambda spark, folder: licenses.op8_license_scan(table(spark, folder, "documents")),
     "op9_substring_dedup": lambda spark, folder: substring_dedup.op9_substring_dedup(table(spark, folder, "documents")),
     "op10_language_id": lambda spark, folder: language.op10_language_id(table(spark, folder, "documents")),
+    "op11_periodic_runs": lambda spark, folder: periodic_runs.op11_periodic_runs(table(spark, folder, "documents")),
 }
 
 ORACLE = {
