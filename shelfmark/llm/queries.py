@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import (decontamination, exact_dedup, jaccard_join, language, licenses, packing, periodic_runs, pii, substring_dedup,
-                           suffix_dedup, toxicity)
+from shelfmark.llm import (conversation_trie, decontamination, exact_dedup, jaccard_join, language, licenses, minhash_dedup, packing, periodic_runs,
+                           pii, substring_dedup, suffix_dedup, toxicity)
 
 
 def table(spark, folder, name):
@@ -24,8 +24,11 @@ QUERIES = {
     "op9_substring_dedup": lambda spark, folder: substring_dedup.op9_substring_dedup(table(spark, folder, "documents")),
     "op10_language_id": lambda spark, folder: language.op10_language_id(table(spark, folder, "documents")),
     "op11_periodic_runs": lambda spark, folder: periodic_runs.op11_periodic_runs(table(spark, folder, "documents")),
+    "op12_conversation_trie": lambda spark, folder: conversation_trie.op12_conversation_trie(table(spark, folder, "conversations")),
+    "op13_minhash_dedup": lambda spark, folder: minhash_dedup.op13_minhash_dedup(table(spark, folder, "documents")),
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
 }
