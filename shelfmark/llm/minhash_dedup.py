@@ -93,7 +93,7 @@ def band_keys(least: np.ndarray, band: int) -> np.ndarray:
 def packed(least: np.ndarray, bits: int) -> np.ndarray:
     """(sets, words): the lowest ``bits`` bits of each minimum, packed into 64-bit words."""
     each = 64 // bits
-    low = (mixed(least) & np.uint64((1 << bits) - 1)).reshape(len(least), -1, each)
+    low = (mixed(least) & np.uint64((1 << bits) - 1)).reshape(len(least), least.shape[1] // each, each)
     return np.bitwise_or.reduce(low << (np.arange(each, dtype=np.uint64) * np.uint64(bits)), axis=2).view(np.int64)
 
 
