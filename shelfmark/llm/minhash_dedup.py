@@ -8,8 +8,8 @@ only the lowest four bits are kept and packed, 64 bytes a set. Members of a buck
    counts, less the share of positions where unequal minima agree by chance. Pairs within five standard
    errors of the threshold are confirmed by exact overlap, and the links are joined to components.
 2. Buckets that still hold several components are compared in blocks: members outside the bucket's largest
-   component with all members, by longer signatures (1,024 minima of two bits, made for these sets only). What
-   passes is confirmed and joins components.
+   component with all members, by longer signatures (1,024 minima of two bits, made for these sets only) and, where
+   those leave it open, exactly. Only links that join components leave a block.
 
 So a link between different texts is lost only where no band agrees (at similarity 0.8 less than once
 in 10^7) or an estimate is off by more than five standard errors; no bucket is capped or sampled.
@@ -177,8 +177,8 @@ def texts_of(sids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(named, INVOLVED), "doc_id").select("sid", "text")
 
 
-def longer_signatures(texts: DataFrame, words: int) -> DataFrame:
-    """(sid, signature): 1,024 minima of two bits of each set, as bytes."""
+def payloads(texts: DataFrame, words: int) -> DataFrame:
+    """(sid, signature, block): 1,024 minima of two bits of each set, and its shingles as packed 64-bit hashes."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -188,11 +188,14 @@ def longer_signatures(texts: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingle_sets(found, words, known)
                 keep = set_ids(values, sizes) == np.array(sids, np.int64)
                 if keep.any():
-                    made = packed(minima(values[np.repeat(keep, sizes)], sizes[keep], MORE_MINIMA), MORE_BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.int64)[keep]), pa.array([row.tobytes() for row in made], pa.binary())],
-                                                     ["sid", "signature"])
+                    values, sizes = values[np.repeat(keep, sizes)], sizes[keep]
+                    ends = np.cumsum(sizes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(sids, np.int64)[keep]),
+                         pa.array([row.tobytes() for row in packed(minima(values, sizes, MORE_MINIMA), MORE_BITS)], pa.binary()),
+                         pa.array([values[end - size:end].tobytes() for end, size in zip(ends, sizes, strict=True)], pa.binary())], ["sid", "signature", "block"])
 
-    return texts.mapInArrow(run, "sid long, signature binary").dropDuplicates(["sid"])
+    return texts.mapInArrow(run, "sid long, signature binary, block binary").dropDuplicates(["sid"])
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -262,54 +265,70 @@ def hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             .select("a", F.col("sid").alias("b")).distinct())
 
 
-def crossing_pairs(members: DataFrame, state: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): members of one bucket in different components whose longer signatures are not clearly too unlike.
+def crossing_links(members: DataFrame, state: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join the components which buckets still hold, no more of them than joins.
 
-    Blocks hold at most about ``SIDE`` members on each side, whatever the size of a bucket.
+    The buckets with one largest component are taken together. Sets outside that component are compared with all sets, by their
+    longer signatures first and exactly where those are not clearly too unlike. A block holds at most about ``SIDE`` sets
+    on each side, and its sets travel with it, so no pair ever leaves a task but a link.
     """
     rows = stored(members.select("key", "sid").join(state, "sid"), "places")
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(sid))").alias("print"))
-    split = (parts.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"),
-                                      F.count("*").alias("comps"), F.expr("bit_xor(print)").alias("print")).filter("comps > 1"))
-    # Buckets with the same members are compared once.
-    chosen = settled(split.groupBy("print", "members").agg(F.min(F.struct("key", "major", "most")).alias("one"))
-                     .select("one.key", "one.major", "members", F.ceil((F.col("members") - F.col("one.most")) / SIDE).cast("int").alias("lefts"),
-                             F.ceil(F.col("members") / SIDE).cast("int").alias("rights")))
-    placed = settled(lookup_join(rows, chosen, ["key"], "members", "inner", salt_on=["sid"]))
-    signatures = stored(longer_signatures(texts_of(placed, docs, classes), words), "signatures")
-    there = placed.join(signatures, "sid")
-    one, many = F.xxhash64("sid"), lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    columns = ["key", "sid", "comp", "signature"]
-    minor = there.filter(F.col("comp") != F.col("major")).select(*columns, F.lit(0).alias("side"), F.pmod(one, F.col("lefts")).cast("int").alias("i"), many("rights").alias("j"))
-    every = there.select(*columns, F.lit(1).alias("side"), F.pmod(one, F.col("rights")).cast("int").alias("j"), many("lefts").alias("i"))
-    shards = max(8, placed.count() // SHARD)
-    dealt = minor.unionByName(every).withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int"))
-    least, full = least_agreement(percent, MORE_MINIMA, MORE_BITS), np.uint64(sum(1 << n for n in range(0, 64, MORE_BITS)))
+    split = (rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+             .groupBy("key").agg(F.sum("n").alias("members"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps"))
+             .filter("comps > 1").select("key", "members", "major"))
+    grouped = stored(lookup_join(rows, settled(split), ["key"], "members", "inner", salt_on=["sid"]).select("major", "sid", "comp").distinct(), "groups")
+    sizes = settled(grouped.groupBy("major").agg(F.count("*").alias("sets"), F.ceil(F.count_if(F.col("comp") != F.col("major")) / SIDE).cast("int").alias("lefts"),
+                                                 F.ceil(F.count("*") / SIDE).cast("int").alias("rights")))
+    carried = stored(payloads(texts_of(grouped, docs, classes), words), "payloads")
+    dealt = (lookup_join(grouped, sizes, ["major"], "sets", "inner", salt_on=["sid"])
+             .withColumn("left", F.when(F.col("comp") != F.col("major"), F.pmod(F.xxhash64("sid"), F.col("lefts")).cast("int")).otherwise(-1))
+             .withColumn("right", F.pmod(F.xxhash64("sid"), F.col("rights")).cast("int")))
+    # Row ``left`` of the blocks for a set outside of the largest component, column ``right`` for any set.
+    blocks = F.expr("""array_distinct(concat(
+        CASE WHEN left >= 0 THEN transform(sequence(0, rights - 1), j -> struct(left AS i, j AS j)) ELSE array() END,
+        transform(sequence(0, lefts - 1), i -> struct(i AS i, right AS j))))""")
+    placed = (dealt.select("major", "sid", "comp", "left", "right", F.explode(blocks).alias("at"))
+              .select("major", "sid", "comp", (F.col("left") == F.col("at.i")).alias("is_left"), (F.col("right") == F.col("at.j")).alias("is_right"), "at.i", "at.j"))
+    shards = max(8, grouped.count() // SHARD)
+    full = placed.join(carried, "sid").withColumn("shard", F.pmod(F.xxhash64("major", "i", "j"), F.lit(shards)).cast("int"))
+    least, ones = least_agreement(percent, MORE_MINIMA, MORE_BITS), np.uint64(sum(1 << n for n in range(0, 64, MORE_BITS)))
+
+    def links(block):
+        """Links within one block, each of which joins two components that nothing has joined before."""
+        above = {}
+
+        def root(comp):
+            while comp in above:
+                comp = above[comp]
+            return comp
+
+        sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [np.frombuffer(x, np.uint64) for x in block["block"]]
+        signatures = np.frombuffer(b"".join(block["signature"]), np.uint64).reshape(len(sids), -1)
+        numbers, rights = np.array([len(x) for x in sets]), np.flatnonzero(block["is_right"].to_numpy())
+        for n in np.flatnonzero(block["is_left"].to_numpy()).tolist():
+            apart = signatures[rights] ^ signatures[n]
+            step = 1
+            while step < MORE_BITS:
+                apart |= apart >> np.uint64(step)
+                step *= 2
+            agree = MORE_MINIMA - np.bitwise_count(apart & ones).sum(axis=1, dtype=np.int64)
+            near = (agree >= least) & (100 * np.minimum(numbers[rights], numbers[n]) >= percent * np.maximum(numbers[rights], numbers[n]))
+            # The likeliest first, so that one link spares the rest of its component.
+            for m in rights[near][np.argsort(-agree[near], kind="stable")].tolist():
+                one, two = root(comps[n]), root(comps[m])
+                if one != two:
+                    shared = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[n]) + len(sets[m]) - shared):
+                        above[max(one, two)] = min(one, two)
+                        yield sids[n], sids[m]
 
     def run(frame):
         import pandas as pd
 
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, block in frame.groupby(["key", "i", "j"], sort=False):
-            sides = [block[block["side"] == side] for side in (0, 1)]
-            if not len(sides[0]) or not len(sides[1]):
-                continue
-            (sid_a, comp_a, sig_a), (sid_b, comp_b, sig_b) = (
-                (s["sid"].to_numpy(), s["comp"].to_numpy(), np.frombuffer(b"".join(s["signature"]), np.uint64).reshape(len(s), -1)) for s in sides)
-            for n in range(len(sid_a)):
-                apart = sig_b ^ sig_a[n]
-                step = 1
-                while step < MORE_BITS:
-                    apart |= apart >> np.uint64(step)
-                    step *= 2
-                agree = MORE_MINIMA - np.bitwise_count(apart & full).sum(axis=1, dtype=np.int64)
-                hit = (agree >= least) & (comp_b != comp_a[n])
-                left.append(np.full(int(hit.sum()), sid_a[n]))
-                right.append(sid_b[hit])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return dealt.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+        found = [link for _, block in frame.groupby(["major", "i", "j"], sort=False) for link in links(block)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return full.groupBy("shard").applyInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -330,7 +349,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     first = settled(connected_components(settled(links), "a", "b"))
     state = settled(classes.select("sid").join(first.select(F.col("node").alias("sid"), "root"), "sid", "left")
                     .select("sid", F.coalesce("root", "sid").alias("comp")))
-    more = settled(confirmed(crossing_pairs(members, state, chosen, classes, words, percent), chosen, classes, words, percent))
+    more = settled(crossing_links(members, state, chosen, classes, words, percent))
     if not more.isEmpty():
         between = more.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
         above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
