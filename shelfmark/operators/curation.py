@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shelfmark import fixed_values as V
-from shelfmark.functions.text import (fold_case, fuzzy_bucket, game_key, is_blank,
+from shelfmark.functions.text import (fold_case, game_key, is_blank,
                                       sort_title, strip_any_number_prefix,
                                       strip_blanks, strip_rank_prefix,
-                                      strip_trailing_tags, title_numbers,
-                                      title_similarity)
+                                      strip_trailing_tags)
+from shelfmark.operators.fuzzy import fuzzy_title_pairs
 from shelfmark.operators.preference import elect_preferred
 from shelfmark.plans.components import connected_components
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
@@ -31,72 +31,6 @@ def _with_counts(games: DataFrame, files: DataFrame) -> DataFrame:
 
 # --- fuzzy title pairs -----------------------------------------------------
 
-def _segment_bounds(length, parts, index):
-    """Start (0-based) and length of segment ``index`` when a text is cut evenly."""
-    start = F.floor(length * index / parts)
-    return start, F.floor(length * (index + 1) / parts) - start
-
-
-def fuzzy_title_pairs(titles: DataFrame, min_similarity: float = V.FUZZY_MIN_SIMILARITY,
-                      max_bucket: int | None = None) -> DataFrame:
-    """Near-equal titles of one system: id_a, id_b, title_a, title_b, similarity.
-
-    ``titles``: system_key, id, normalised_title. Titles compare only inside
-    one (system, first letter, length band), and only with equal number runs.
-    Every bucket takes part; ``max_bucket`` leaves larger ones out where a caller asks for it.
-
-    No bucket is ever paired with itself. In a band whose longest title has M
-    characters at most d = (1 - min_similarity) * M edits are allowed, so of d + 1
-    segments of one title at least one appears unchanged in the other, shifted
-    by at most d. Titles meet on that segment, which is exact, and only the
-    pairs that meet are measured.
-    """
-    length = F.length("normalised_title")
-    rows = (titles.select("system_key", "id", "normalised_title")
-            .withColumn("bucket", fuzzy_bucket(F.col("normalised_title")))
-            .withColumn("numbers", F.array_join(title_numbers(F.col("normalised_title")), "|"))
-            .filter(length > 0))
-    if max_bucket is not None:
-        sizes = rows.groupBy("system_key", "bucket").agg(F.count("*").alias("n"))
-        rows = (lookup_join(rows, sizes, ["system_key", "bucket"], "n", "inner", salt_on=["id"])
-                .filter(F.col("n").between(2, max_bucket)).drop("n"))
-    longest = F.floor(length / 4) * 4 + 3
-    edits = F.floor(F.lit(1.0 - min_similarity + 1e-9) * longest).cast("int")
-    rows = rows.withColumn("len", length).withColumn("edits", edits).withColumn("parts", F.col("edits") + 1)
-    # Two different titles within 0 edits do not exist.
-    rows = rows.filter("edits > 0")
-
-    start, size = _segment_bounds(F.col("len"), F.col("parts"), F.col("segment"))
-    indexed = (rows.withColumn("segment", F.explode(F.expr("sequence(0, edits)")))
-               .select("system_key", "bucket", "numbers", "segment", F.col("len").alias("indexed_len"),
-                       F.substring("normalised_title", (start + 1).cast("int"), size.cast("int")).alias("piece"),
-                       F.col("id").alias("id_i"), F.col("normalised_title").alias("title_i")))
-
-    other_start, other_size = _segment_bounds(F.col("indexed_len"), F.col("parts"), F.col("segment"))
-    band = F.floor(F.col("len") / 4) * 4
-    probing = (rows
-               .withColumn("indexed_len", F.explode(F.sequence(F.greatest(band, F.lit(1)).cast("int"), F.col("len"))))
-               .withColumn("segment", F.explode(F.expr("sequence(0, edits)")))
-               .withColumn("shift", F.explode(F.expr("sequence(-edits, edits)")))
-               .withColumn("at", other_start + F.col("shift"))
-               .filter((F.col("at") >= 0) & (F.col("at") + other_size <= F.col("len")))
-               .select("system_key", "bucket", "numbers", "segment", "indexed_len",
-                       F.substring("normalised_title", (F.col("at") + 1).cast("int"),
-                                   other_size.cast("int")).alias("piece"),
-                       F.col("id").alias("id_p"), F.col("normalised_title").alias("title_p"))
-               .distinct())
-    met = indexed.join(probing, ["system_key", "bucket", "numbers", "segment", "indexed_len", "piece"])
-    same_length = F.length("title_i") == F.length("title_p")
-    pairs = (met.filter((F.col("title_i") != F.col("title_p")) & (~same_length | (F.col("id_i") < F.col("id_p"))))
-             .select("system_key",
-                     F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"),
-                     F.when(F.col("id_i") < F.col("id_p"), F.col("title_i")).otherwise(F.col("title_p")).alias("title_a"),
-                     F.when(F.col("id_i") < F.col("id_p"), F.col("title_p")).otherwise(F.col("title_i")).alias("title_b"))
-             .distinct())
-    return (pairs.withColumn("similarity", title_similarity(F.col("title_a"), F.col("title_b")))
-            .filter(F.col("similarity") >= min_similarity))
-
-
 def fuzzy_top(pairs: DataFrame, per_system: int = V.FUZZY_TOP, overall: int = V.FUZZY_TOP) -> DataFrame:
     """The report's best pairs: top per system, then top overall.
 

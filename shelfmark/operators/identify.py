@@ -117,6 +117,10 @@ def identify_with_archives(listing: DataFrame, entries: DataFrame, formats: Data
 
 
 def resolve_format(files: DataFrame, formats: DataFrame) -> DataFrame:
-    """Attach the format position for (system, extension, format name); it must exist."""
+    """Attach the format position for (system, extension, format name).
+
+    Every file stays. Where the format is not known, ``format_position`` is null and ``format_problem`` says so.
+    """
     wanted = formats.select("system_key", "extension", "format_name", "format_position")
-    return files.join(wanted, ["system_key", "extension", "format_name"], "inner")
+    found = files.join(wanted, ["system_key", "extension", "format_name"], "left")
+    return found.withColumn("format_problem", F.when(F.col("format_position").isNull(), "no such format of the system"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import fixed_values as V
 from shelfmark.functions.text import base_name, fold_case, normalise_extension, parent_of
+from shelfmark.plans.ordered import running_maximum
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
 from shelfmark.session import shared_folder
 
@@ -235,37 +236,39 @@ def collapse_packages(listing: DataFrame, marker: str = V.PACKAGE_MARKER, subfol
                       extension: str = V.PACKAGE_EXTENSION) -> DataFrame:
     """Folders that hold the marker become one row; the files below are folded in.
 
-    Sizes and times are first summed per folder with map-side combine; only
-    folders, not files, are matched to their package, by an equi-join on each
-    folder's ancestors. Where packages nest, the outermost one counts. The scan
-    root (``location``) itself is never a package.
+    A first pass sums the files of each folder. Folders and packages are then swept in the order of the tree,
+    where all that lies below a folder follows it without a gap: a package is open from its own place up to its end, the
+    outermost open one has the greatest end, so a running maximum names the package of every folder,
+    across the edges of the sorted ranges. A second pass keeps the files of folders outside packages.
+    The scan root (``location``) itself is never a package.
     """
-    parent = parent_of(F.col("path"))
-    markers = listing.filter(F.col("file_name") == marker).select(
-        parent.alias("holder"), F.col("path").alias("marker_path"), "location")
-    direct = markers.select(F.col("holder").alias("package"), F.lit(0).alias("rank"), "marker_path", "location")
-    nested = markers.filter(F.col("holder").endswith(f"/{subfolder}")).select(
-        parent_of(F.col("holder")).alias("package"), F.lit(1).alias("rank"), "marker_path", "location")
+    parent, slash = parent_of(F.col("path")), F.lit("\0")
+    shared_folder(listing.sparkSession)
+    folders = listing.groupBy(parent.alias("folder")).agg(
+        F.sum("size").alias("size"), F.max("modified").alias("modified"), F.count("*").alias("files"),
+        F.min(F.when(F.col("file_name") == marker, F.struct("location", "path"))).alias("marker")).checkpoint()
+    markers = folders.filter("marker IS NOT NULL").select("folder", F.col("marker.path").alias("marker_path"), F.col("marker.location").alias("location"))
+    direct = markers.select(F.col("folder").alias("package"), F.lit(0).alias("rank"), "marker_path", "location")
+    nested = markers.filter(F.col("folder").endswith(f"/{subfolder}")).select(
+        parent_of(F.col("folder")).alias("package"), F.lit(1).alias("rank"), "marker_path", "location")
     packages = (direct.unionByName(nested)
                 .filter(F.col("package").startswith(F.concat(F.rtrim("location", F.lit("/")), F.lit("/"))))
                 .groupBy("package").agg(F.min_by("marker_path", "rank").alias("marker_path"),
                                         F.min("location").alias("location")))
 
-    folders = listing.groupBy(parent.alias("folder")).agg(
-        F.sum("size").alias("size"), F.max("modified").alias("modified"), F.count("*").alias("files"))
-    steps = F.split("folder", "/", -1)
-    ancestors = folders.select("folder", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("package"))
-    # A high folder is an ancestor of very many: counted first, then joined as a weighted lookup.
-    weights = (ancestors.groupBy("package").agg(F.count("*").alias("below"))
-               .join(packages.select("package", F.lit(True).alias("is_package")), "package", "left"))
-    # The shortest ancestor that is a package is the outermost one, and a prefix of the folder.
-    owner = (lookup_join(ancestors, weights, ["package"], "below", "inner", salt_on=["folder"]).filter("is_package")
-             .groupBy("folder").agg(F.min(F.length("package")).alias("prefix"))
-             .select("folder", F.substring(F.col("folder"), F.lit(1), F.col("prefix")).alias("package")))
-    # One row per folder inside a package, stored once because the roll-up and the loose files both need it.
-    shared_folder(listing.sparkSession)
-    owned = folders.join(owner, "folder").checkpoint()
+    def place(name: str):
+        # No name holds a NUL, and it sorts before all else: what lies below a folder is between folder + NUL and folder + 1.
+        return F.concat(F.replace(F.col(name), F.lit("/"), slash), slash)
+
+    opening = packages.select(place("package").alias("place"), F.lit(0).alias("kind"), F.struct(
+        F.concat(F.replace(F.col("package"), F.lit("/"), slash), F.lit("\1")).alias("end"), "package").alias("opens"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in (("folder", "string"), ("size", "long"), ("files", "long"))],
+        F.lit(None).cast(folders.schema["modified"].dataType).alias("modified"))
+    inner = folders.select(place("folder").alias("place"), F.lit(1).alias("kind"),
+                           F.lit(None).cast(opening.schema["opens"].dataType).alias("opens"), "folder", F.col("size").cast("long").alias("size"), "files", "modified")
+    swept = running_maximum(opening.unionByName(inner), ["place", "kind"], "opens", "open")
+    owned = (swept.filter((F.col("kind") == 1) & (F.col("open.end") > F.col("place")))
+             .select("folder", F.col("open.package").alias("package"), "size", "modified", "files")).checkpoint()
     rolled = (owned.groupBy("package").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
               .join(packages, "package"))
     rows = rolled.select(

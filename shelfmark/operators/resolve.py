@@ -40,9 +40,9 @@ def resolve_games(games: DataFrame, files: DataFrame) -> DataFrame:
     row per key with map-side combine before anything is joined.
     """
     order = F.struct(fold_case(F.col("path")), F.col("path"))
-    found = (files.filter(F.col("game_key").isNotNull())
-             .groupBy("game_key", "system_key", "normalised_title")
-             .agg(F.min_by("title", order).alias("title")))
+    # Files that follow a merge bring titles of their own: still one game per key.
+    found = (files.filter(F.col("game_key").isNotNull()).groupBy("game_key")
+             .agg(F.min_by(F.struct("system_key", "normalised_title", "title"), order).alias("first")).select("game_key", "first.*"))
     fresh = found.join(games.select("game_key"), "game_key", "left_anti")
     added = fresh.select("game_key", "system_key", "title", sort_title(F.col("title")).alias("sort_title"),
                          "normalised_title", F.lit(False).alias("is_wanted"))

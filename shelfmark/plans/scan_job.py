@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import duplicates, identify, preference, reconcile, resolve
+from shelfmark.operators import aliases, duplicates, identify, preference, reconcile, resolve
 from shelfmark.session import shared_folder
 from shelfmark.sources import listing as files_on_disk
 
 
 @dataclass(frozen=True)
 class Library:
-    """The three tables a scan reads and replaces."""
+    """The three tables a scan reads and replaces, and what became of merged games, which it only reads."""
     files: DataFrame
     games: DataFrame
     hashes: DataFrame
+    merged: DataFrame | None = None
+
+
+_KINDS = {"size": "long", "created": "timestamp", "modified": "timestamp", "disc_number": "int", "track_number": "int",
+          "is_directory": "boolean", "confidence": "double", "catalog_verified_at": "timestamp", "is_preferred": "boolean",
+          "is_manual": "boolean", "is_excluded": "boolean", "preference_score": "int", "is_detection_manual": "boolean",
+          "last_seen": "timestamp"}
+
+
+def empty_library(spark: SparkSession) -> Library:
+    """What the first scan starts from."""
+    files = spark.createDataFrame([], ", ".join(f"{name} {_KINDS.get(name, 'string')}" for name in reconcile.FILE_COLUMNS))
+    games = spark.createDataFrame([], "game_key string, system_key string, title string, sort_title string, "
+                                      "normalised_title string, is_wanted boolean")
+    hashes = spark.createDataFrame([], "file_key string, algorithm string, hash string")
+    return Library(files, games, hashes, aliases.empty_aliases(games))
 
 
 def identify_listing(rows: DataFrame, formats: DataFrame, entries: DataFrame | None,
@@ -50,7 +66,11 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
     fresh = identify.supported_only(keyed.join(fresh_keys, "file_key", "left_semi"), formats)
     if failures is not None:
         fresh = fresh.join(failures.select("path"), "path", "left_anti")
-    known = identify_listing(fresh, formats, entries, titles).checkpoint()
+    known = identify_listing(fresh, formats, entries, titles)
+    if library.merged is not None:
+        # A changed file of a merged title belongs to the game that was kept.
+        known = aliases.follow_aliases(known, library.merged)
+    known = known.checkpoint()
 
     plain = known.filter(~F.col("is_directory")).select("path", "size")
     sampled = files_on_disk.quick_hash_files(files_on_disk.spread_by_bytes(plain, F.lit(1 << 20))).select("path", "quick_hash")
@@ -82,7 +102,7 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
         hashes.join(hashed.select("file_key"), "file_key", "left_semi")
         .filter(F.col("algorithm") == "SHA256").select(F.col("hash").alias("sha256")).distinct(), "sha256", "left_semi")
     marked = duplicates.mark_duplicates(files, newly)
-    return Library(preference.elect_preferred(marked), games, hashes), diff
+    return Library(preference.elect_preferred(marked), games, hashes, library.merged), diff
 
 
 def supported_flags(listing: DataFrame, formats: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import base_name, is_blank, normalise_extension, strip_blanks
 from shelfmark.model import CATALOG_ROW_SCHEMA
+from shelfmark.sources.catalog_chunks import CHUNK, parse_chunks, read_chunks
 
 #: Rows a reader hands over at a time.
 ROWS_PER_BATCH = 10_000
@@ -51,28 +52,41 @@ def _clean_hash(value: Column) -> Column:
 
 
 _ROM = "struct<_name:string,_size:string,_crc:string,_md5:string,_sha1:string,_sha256:string>"
-_GAME = (f"_name string, description string, rom array<{_ROM}>, disk array<{_ROM}>, "
-         f"part array<struct<dataarea:array<struct<rom:array<{_ROM}>>>,diskarea:array<struct<disk:array<{_ROM}>>>>>")
+# Children that are neither of these come as the text of what they hold.
+_GAME = f"_name string, description string, rom array<{_ROM}>, disk array<{_ROM}>, xs_any array<string>"
+# That text is written anew by the reader: one space before an attribute, double quotes around its plain value. A value ends at a quote
+# that the next attribute or the end of the tag follows.
+_VALUE = r'"(?:.*?)"(?= [\w:.-]+="|>)'
+_NESTED = rf'(?s)<(?:[\w.-]+:)?(?:rom|disk)((?: [\w:.-]+={_VALUE})*)>'
+
+
+def _nested_roms(held: Column) -> Column:
+    """The rom and disk elements at any depth of a text, in order."""
+    def attribute(tag: Column, name: str) -> Column:
+        # Null where the attribute is not there, which is not the same as an empty one.
+        return F.try_element_at(F.regexp_extract_all(F.concat(tag, F.lit(">")), F.lit(rf'(?s) {name}="(.*?)"(?= [\w:.-]+="|>)'), F.lit(1)), F.lit(1))
+
+    names = ("name", "size", "crc", "md5", "sha1", "sha256")
+    return F.transform(F.regexp_extract_all(held, F.lit(_NESTED), F.lit(1)),
+                       lambda tag: F.struct(*[attribute(tag, name).alias(f"_{name}") for name in names]))
 
 
 def read_catalog_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Logiqx-style XML catalogs → catalog rows. One distributed read per row tag."""
+    """Logiqx-style XML catalogs → catalog rows, with rom and disk elements at any depth of a game. One distributed read per row tag.
+
+    Below a game's direct children, an attribute value that itself holds a quote followed by what looks like
+    the end of a tag is cut there.
+    """
     parts = []
     for kind, tag in enumerate(("game", "machine", "software")):
-        rows = (spark.read.format("xml").option("rowTag", tag).schema(_GAME).load(path)
+        rows = (spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(_GAME).load(path)
                 .select("*", F.col("_metadata.file_path").alias("source_file"),
                         F.col("_metadata.file_block_start").alias("block"))
                 .withColumn("row", F.monotonically_increasing_id())
                 .withColumn("kind", F.lit(kind)))
         none = F.array().cast(f"array<{_ROM}>")
-        nested_roms = F.flatten(F.transform(F.coalesce("part", F.array().cast(
-            f"array<struct<dataarea:array<struct<rom:array<{_ROM}>>>,diskarea:array<struct<disk:array<{_ROM}>>>>>")),
-            lambda part: F.flatten(F.transform(part["dataarea"], lambda area: F.coalesce(area["rom"], none)))))
-        nested_disks = F.flatten(F.transform(F.coalesce("part", F.array().cast(
-            f"array<struct<dataarea:array<struct<rom:array<{_ROM}>>>,diskarea:array<struct<disk:array<{_ROM}>>>>>")),
-            lambda part: F.flatten(F.transform(part["diskarea"], lambda area: F.coalesce(area["disk"], none)))))
-        roms = F.concat(F.coalesce("rom", none), F.coalesce("disk", none),
-                        F.coalesce(nested_roms, none), F.coalesce(nested_disks, none))
+        nested = F.flatten(F.transform(F.coalesce("xs_any", F.array().cast("array<string>")), _nested_roms))
+        roms = F.concat(F.coalesce("rom", none), F.coalesce("disk", none), F.coalesce(nested, none))
         name = F.coalesce("_name", "description", F.lit("Unknown"))
         parts.append(rows.select("source_file", "kind", "block", "row", name.alias("name"),
                                  F.posexplode(roms).alias("place", "rom")))
@@ -155,10 +169,12 @@ def parse_catalog_text(texts: DataFrame) -> DataFrame:
                       *[_clean_hash(F.col(name)).alias(name) for name in ("crc32", "md5", "sha1", "sha256")])
 
 
-def read_catalog_text(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).select(
-        base_name(F.col("_metadata.file_path")).alias("source_file"), "value")
-    return parse_catalog_text(texts)
+def read_catalog_text(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """The text catalogs below ``path``, in chunks of about ``chunk`` characters: a file of any size is read by many tasks."""
+    raw = parse_chunks(read_chunks(spark, path, chunk)).withColumnRenamed("crc", "crc32")
+    return raw.select("source_file", "position", "name", "rom_name",
+                      F.coalesce(strip_blanks(F.col("size")).try_cast("long"), F.lit(0)).alias("size"),
+                      *[_clean_hash(F.col(name)).alias(name) for name in ("crc32", "md5", "sha1", "sha256")])
 
 
 def read_catalogs(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import io
 import math
-import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as V
 from shelfmark.functions.hashing import header_skip, quick_hash
 from shelfmark.functions.text import base_name, extension_of
+from shelfmark.sources.paths import is_remote, local_path
+from shelfmark.sources.tree import list_trees
 
 #: What a reader hands over at a time, so that member contents never pile up in a task.
 ROWS_PER_BATCH = 10_000
@@ -28,9 +29,13 @@ BYTES_PER_BATCH = 64 << 20
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """One row per file below ``root``. Only metadata is read, never content.
 
-    Spark reports no creation time, so ``created`` is null. Files that vanish
-    while listing are skipped.
+    ``created`` is null, as neither Spark nor Python reports it everywhere. Files that vanish while listing are
+    skipped; ``tree.list_trees`` also names what could not be read. A store that is not mounted
+    is listed by Spark's reader, which keeps the list on the driver and leaves out hidden files.
     """
+    if not is_remote(root):
+        locations = spark.createDataFrame([(root, recursive)], "location string, recursive boolean")
+        return list_trees(locations).files
     rows = (spark.read.format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
             .option("ignoreMissingFiles", "true").load(root))
@@ -80,15 +85,6 @@ def spread_by_bytes(files: DataFrame, size="size", each: int = BYTES_PER_TASK) -
     return files.repartition(max(1, math.ceil(total / each)), "path")
 
 
-def local_path(path: str) -> str:
-    """The path as Python opens it; a store that Python cannot open is an error, not an unreadable file."""
-    if path.startswith("file:"):
-        return re.sub("^file:/*", "/", path)
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+://", path):
-        raise ValueError(f"content can be read from mounted folders only: {path}")
-    return path
-
-
 def _ends(path: str, size: int, sample: int) -> tuple[bytes | None, bytes | None]:
     path = local_path(path)
     try:

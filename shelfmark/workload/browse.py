@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import artwork_key
-from shelfmark.operators import duplicates, preference, reconcile, views
+from shelfmark.operators import duplicates, paging, preference, reconcile, views
 from shelfmark.sources import sinks
 from shelfmark.session import scratch_path
 from shelfmark.workload.base import Tables, query, with_ctes
@@ -150,6 +150,15 @@ def p1(t: Tables):
     return page.withColumn("position", F.col("position").cast("long"))
 
 
+@query("P1_page_of_index", _summary("""SELECT * EXCLUDE (sort_title, n), n - 10000 AS position,
+    (SELECT count(*) FROM summary) > 10500 AS has_more
+    FROM (SELECT *, row_number() OVER (ORDER BY sort_title, game_key) AS n FROM summary) x
+    WHERE n > 10000 AND n <= 10500"""))
+def p1_index(t: Tables):
+    page = paging.index_page(paging.page_index(t.games, t.files), t.files, t.systems, 10_000, 500)
+    return page.withColumn("position", F.col("position").cast("long"))
+
+
 @query("P2_search_unbounded", _summary("""SELECT * FROM summary
     WHERE worst_status = 'Missing' AND (lower(title) LIKE '%high%' OR game_key IN (
         SELECT game_key FROM files WHERE lower(file_name) LIKE '%high%' OR lower(path) LIKE '%high%'))"""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from shelfmark import model
 from shelfmark.functions import text
-from shelfmark.operators import curation, identify, reconcile, resolve
+from shelfmark.operators import aliases, curation, identify, reconcile, resolve
+from shelfmark.plans import scan_job
 from shelfmark.session import scratch_path
-from shelfmark.sources import catalogs, listing as disk
+from shelfmark.sources import catalogs, listing as disk, tree
+from shelfmark.sources.paths import local_path
 from shelfmark.workload.base import Tables, choose, query, with_ctes
 from shelfmark.workload.naming import PARSE_CTES, parsed_names
 
@@ -193,6 +196,28 @@ def j4(t: Tables):
     return resolve.resolve_games(_known_games(t), parsed_names(t)).select("game_key", "system_key", "title")
 
 
+# Two runs of merges, then files of the merged games change: parts of one brand and name go to the first of their type, then those
+# that are left to the first of their size.
+@query("J4_changed_files_of_merged_games", with_ctes("files", """SELECT file_key, coalesce(s.keep_key, f.keep_key, part_key) AS game_key
+    FROM files LEFT JOIN one f ON f.game_key = part_key LEFT JOIN two s ON s.game_key = coalesce(f.keep_key, part_key)""", {
+    "firsts": "SELECT p_partkey, p_brand, p_name, p_size, min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_type) AS keep_key FROM part",
+    "one": "SELECT p_partkey AS game_key, keep_key FROM firsts WHERE keep_key <> p_partkey",
+    "two": """SELECT * FROM (SELECT p_partkey AS game_key, min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_size) AS keep_key
+        FROM firsts WHERE keep_key = p_partkey) a WHERE keep_key <> game_key"""}))
+def j4_aliases(t: Tables):
+    parts = t.part.select(F.col("p_partkey").alias("game_key"), "p_brand", "p_name", "p_type", "p_size")
+
+    def first_of(rows, column: str):
+        keep = rows.groupBy("p_brand", "p_name", column).agg(F.min("game_key").alias("keep_key"))
+        return rows.join(keep, ["p_brand", "p_name", column]).filter("game_key <> keep_key").select("game_key", "keep_key")
+
+    one = first_of(parts, "p_type")
+    table = aliases.record_merges(aliases.empty_aliases(t.part_games), one)
+    left = parts.join(one, "game_key", "left_anti")
+    table = aliases.record_merges(table, first_of(left, "p_size"))
+    return aliases.follow_aliases(t.part_files.select("file_key", "game_key"), table)
+
+
 @query("J6_resolve_file_group", with_ctes("names", r"""SELECT part_key, CASE WHEN path LIKE '%.cue'
     OR track_number IS NOT NULL OR path LIKE '%.bin' THEN coalesce(CAST(disc_number AS STRING), '-') || '|'
     || CASE WHEN disc_number IS NOT NULL THEN 'Disc ' || CAST(disc_number AS STRING) ELSE title END END AS file_group
@@ -372,12 +397,98 @@ def s1(t: Tables):
     root = scratch_path(t.spark, "listing")
     (t.documents.select("lang", "source", F.translate("text", "\n", " ").alias("value"))
      .write.partitionBy("lang", "source").text(root))
-    rows = disk.list_files(t.spark, root)
+    # Spark's own marks and checksums lie beside the texts.
+    rows = disk.list_files(t.spark, root).filter("extension = '.txt'")
     return (rows.groupBy(F.regexp_extract("path", r"lang=([^/]*)/", 1).alias("lang"),
                          F.regexp_extract("path", r"source=([^/]*)/", 1).alias("source"))
             .agg(F.sum("size").alias("size"), F.min("extension").alias("extension")))
 
 
+def _write_tree(documents, root: str, body: str, unreadable: str = "false", gone: str = "false"):
+    """Documents as files ``root/source/NES/<doc_id % 7>/Doc <doc_id> (USA).nes``, written in the tasks; returns how many rows were dealt with.
+
+    ``unreadable`` rows become links to themselves, which nothing can open; ``gone`` ones are removed; a null body leaves a file as it is.
+    """
+    root = local_path(root)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, source, text_body, loop, drop in batch.itertuples(index=False):
+                folder = os.path.join(root, source, "NES", str(doc % 7))
+                os.makedirs(folder, exist_ok=True)
+                path = os.path.join(folder, f"Doc {doc} (USA).nes")
+                if loop and not os.path.islink(path):
+                    os.symlink(path, path)
+                elif drop and os.path.exists(path):
+                    os.remove(path)
+                elif not loop and not drop and text_body is not None:
+                    with open(path, "wb") as stream:
+                        stream.write(text_body.encode())
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    rows = documents.select("doc_id", "source", F.expr(body).alias("body"), F.expr(unreadable).alias("unreadable"), F.expr(gone).alias("gone"))
+    return rows.mapInPandas(write, "rows long").agg(F.sum("rows")).first()[0]
+
+
+def _tree_locations(documents, root: str):
+    return documents.select(F.concat(F.lit(f"{root}/"), "source").alias("location")).distinct().withColumn("recursive", F.lit(True))
+
+
+# Documents below one folder per source; every tenth cannot be read, and one location is not there.
+@query("S3_unreadable_paths", """SELECT source AS location, count(*) FILTER (WHERE doc_id % 10 <> 0) AS files,
+    CAST(coalesce(sum(strlen(text)) FILTER (WHERE doc_id % 10 <> 0), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE doc_id % 10 = 0) AS error_count,
+    count(*) FILTER (WHERE doc_id % 10 = 0) = 0 AS complete FROM documents GROUP BY source
+    UNION ALL SELECT 'nowhere', 0, 0, 1, false""")
+def s3_unreadable(t: Tables):
+    root = scratch_path(t.spark, "tree")
+    _write_tree(t.documents, root, "text", unreadable="doc_id % 10 = 0")
+    nowhere = t.spark.createDataFrame([(f"{root}/nowhere", True)], "location string, recursive boolean")
+    locations = _tree_locations(t.documents, root).unionByName(nowhere)
+    found = tree.list_trees(locations)
+    sums = found.files.groupBy("location").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    zero = F.lit(0).cast("long")
+    return (reconcile.listing_health(locations.select("location"), found.problems).join(sums, "location", "left")
+            .select(F.substring_index("location", "/", -1).alias("location"), F.coalesce("files", zero).alias("files"),
+                    F.coalesce("bytes", zero).alias("bytes"), "error_count", "complete"))
+
+
+def _scan_tree(t: Tables, library: scan_job.Library, root: str, started: str) -> scan_job.Library:
+    locations = _tree_locations(t.documents, root)
+    found = tree.list_trees(locations)
+    runs = reconcile.listing_health(locations.select("location"), found.problems).withColumn("started", F.lit(started).cast("timestamp"))
+    return scan_job.scan(library, reconcile.collapse_packages(found.files), t.formats, runs)[0]
+
+
+# Two whole scans of a tree of documents. Between them some files change, some vanish, some come; one source cannot be read in full.
+_COPY, _NEW, _CHANGED, _GONE = "doc_id % 13 = 0", "doc_id % 5 = 4", "doc_id % 6 = 1", "doc_id % 11 = 3"
+_BODY = f"CASE WHEN {_COPY} THEN 'one text' ELSE concat(doc_id, ' ', text) END"
+
+
+@query("U1_whole_scan", f"""WITH d AS (SELECT doc_id, source, {_COPY} AS copy, NOT {_COPY} AND {_NEW} AS new, NOT {_COPY} AND {_CHANGED} AS changed,
+        NOT {_COPY} AND NOT {_NEW} AND {_GONE} AS gone, strlen(text) + length(CAST(doc_id AS VARCHAR)) + 1 AS bytes,
+        source = (SELECT min(source) FROM documents) AS unreadable FROM documents)
+    SELECT 'Doc ' || CAST(doc_id AS VARCHAR) || ' (USA).nes' AS file_name, CASE WHEN copy THEN 8 WHEN changed AND NOT gone THEN bytes + 1 ELSE bytes END AS size,
+      CASE WHEN copy AND (SELECT count(*) FROM d WHERE copy) > 1 THEN 'Duplicate' WHEN gone AND NOT unreadable THEN 'Missing' ELSE 'Normal' END AS status,
+      'NES' AS system_key, 'NES:doc' || CAST(doc_id AS VARCHAR) AS game_key, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, NOT (gone AND NOT unreadable) AS is_preferred,
+      CASE WHEN copy AND (SELECT count(*) FROM d WHERE copy) > 1 THEN upper(sha256('one text')) END AS sha256,
+      CASE WHEN gone THEN 2030 ELSE 2031 END AS seen FROM d""")
+def u1_whole(t: Tables):
+    root = scratch_path(t.spark, "tree")
+    documents = t.documents
+    first = documents.select(F.min("source").alias("first"))
+    _write_tree(documents.filter(f"({_COPY}) OR NOT ({_NEW})"), root, _BODY)
+    library = _scan_tree(t, scan_job.empty_library(t.spark), root, "2030-01-01")
+    # The second state of the tree; a file that nothing can read appears in the first source.
+    changes = f"CASE WHEN NOT ({_COPY}) AND ({_CHANGED}) THEN concat({_BODY}, '!') WHEN NOT ({_COPY}) AND ({_NEW}) THEN {_BODY} END"
+    _write_tree(documents, root, changes, gone=f"NOT ({_COPY}) AND NOT ({_NEW}) AND ({_GONE})")
+    _write_tree(first.select(F.lit(-1).alias("doc_id"), F.col("first").alias("source")), root, "CAST(NULL AS STRING)", unreadable="true")
+    library = _scan_tree(t, library, root, "2031-01-01")
+    sums = library.hashes.filter("algorithm = 'SHA256'").select("file_key", F.col("hash").alias("sha256"))
+    titles = library.games.select("game_key", "title")
+    return (library.files.join(sums, "file_key", "left").join(titles, "game_key")
+            .select("file_name", "size", "status", "system_key", "game_key", "title", "is_preferred", "sha256", F.year("last_seen").alias("seen")))
+
+
 # Orders as folders: filled ones carry the marker at their root, open ones in the subfolder.
 PACKAGE_LISTING = """
 SELECT '/pkg/' || CAST(l_orderkey AS STRING) || '/' || CASE WHEN l_linenumber > 3 THEN 'USRDIR/data/' ELSE 'PS3_GAME/' END
@@ -455,6 +566,23 @@ def s5(t: Tables):
     return catalogs.read_catalog_xml(t.spark, path).select("name", "rom_name", "size", "sha1", "md5")
 
 
+# The same element directly in its game, in an unknown one, and four levels down in one of another namespace, with signs that XML escapes.
+@query("S5_catalog_at_any_depth", """SELECT 'Game & ' || p_name AS name, depth, p_type || CASE depth WHEN 2 THEN ' > "x" <' ELSE '' END AS rom_name,
+    p_partkey + depth AS size, '00' || upper(md5(p_name)) AS md5 FROM part, (SELECT unnest([0, 1, 2]) AS depth) d""")
+def s5_depths(t: Tables):
+    def rom(tag: str, depth: int, more: str = "") -> str:
+        return f"""concat('<{tag} name="', p_type, '{more}" md5="00', md5(p_name), '" size="', p_partkey + {depth}, '" crc="{depth}"/>')"""
+    line = f"""concat('<software name="Game &amp; ', p_name, '">', {rom('disk', 0)}, '<note rom="no"><!-- rom > -->', {rom('rom', 1)}, '</note>',
+        '<a><b><c xmlns:q="u"><q:part>', {rom('q:rom', 2, ' &gt; &quot;x&quot; &lt;')}, '</q:part></c></b></a></software>')"""
+    files = (t.part.select(F.floor(F.col("p_partkey") / 500).alias("chunk"), F.expr(line).alias("line"))
+             .groupBy("chunk").agg(F.array_join(F.collect_list("line"), " ").alias("body")))
+    path = scratch_path(t.spark, "catalog-xml")
+    (files.select(F.concat(F.lit('<?xml version="1.0"?><datafile>'), "body", F.lit("</datafile>")).alias("value"))
+     .write.option("maxRecordsPerFile", 1).text(path))
+    found = catalogs.read_catalog_xml(t.spark, path)
+    return found.select("name", F.col("crc32").cast("int").alias("depth"), "rom_name", "size", "md5")
+
+
 @query("S6_ingest_catalog_text", """SELECT CAST(p_partkey AS STRING) || '.dat' AS source_file, position,
     p_name || ' "' || p_type || '"' AS name, p_brand || CASE position WHEN 0 THEN '' ELSE '-b' END AS rom_name,
     CASE position WHEN 0 THEN p_partkey ELSE 0 END AS size,
@@ -469,6 +597,24 @@ def s6(t: Tables):
     return catalogs.parse_catalog_text(texts).select("source_file", "position", "name", "rom_name", "size", "sha1", "md5")
 
 
+# One catalog file with a game per part and brackets, quotes and line breaks in its texts, read in small chunks.
+@query("S6_catalog_in_chunks", """SELECT 'all.dat' AS source_file, 2 * (row_number() OVER (ORDER BY p_partkey) - 1) + n AS position,
+    p_name || ' (' || p_type || ') "' || p_brand || '"' AS name, CASE n WHEN 0 THEN p_brand || ' )' ELSE p_name || ' (' || p_type || ') "' || p_brand || '"' END AS rom_name,
+    CASE n WHEN 0 THEN p_partkey ELSE 0 END AS size, CASE n WHEN 1 THEN upper(sha1(p_name)) END AS sha1
+    FROM (SELECT *, 0 AS n FROM part) a WHERE n = 0 UNION ALL
+    SELECT 'all.dat', 2 * (row_number() OVER (ORDER BY p_partkey) - 1) + 1, p_name || ' (' || p_type || ') "' || p_brand || '"',
+    p_name || ' (' || p_type || ') "' || p_brand || '"', 0, upper(sha1(p_name)) FROM part""")
+def s6_chunks(t: Tables):
+    body = r"""concat('game (\n rom ( name "', p_brand, ' )" size ', p_partkey, ' )\n note ( rom ( name no ) )\n name "', p_name, ' (', p_type, ') \\"', p_brand,
+        '\\""\n disk ( size none sha1 ', sha1(p_name), ' )\n)')"""
+    path = scratch_path(t.spark, "catalog")
+    # One file on purpose, in order of the parts.
+    lines = t.part.select("p_partkey", F.expr(body).alias("value")).coalesce(1).sortWithinPartitions("p_partkey").select("value")
+    lines.write.text(path)
+    found = catalogs.read_catalog_text(t.spark, path, chunk=2000)
+    return found.select(F.lit("all.dat").alias("source_file"), "position", "name", "rom_name", "size", "sha1")
+
+
 def zipped_documents(t: Tables):
     """Every document as a zip of its text and its source name; derived by Spark, one archive per row."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
