@@ -6,19 +6,18 @@ H + 1 segments, H being the largest symmetric difference that a linked pair of t
 can have, so at least one segment of a linked pair is equal (pigeonhole). The hash
 of each segment's subset is a signature; sets that share one are candidates.
 
-Allocation by cost: a subset of at most ``thin`` shingles is shared by many unlinked
-sets, so it is not indexed. In its stead the next segment is indexed with its
+Allocation by cost: what a signature costs is the number of sets on its list, and a subset is on a list no shorter than
+that of its rarest shingle. A first pass over all texts counts the shingles that many sets have. A subset with nothing but such shingles, or with
+hardly any, is not indexed: its list would be longer than a neighbourhood. In its stead the next segment is indexed with its
 one-deletion neighbourhood (the subset and all subsets that lack one shingle),
-which finds that segment at a difference of one. A thin segment that is equal in
-both sets shifts the same unit of difference to the same next segment in both, so the
-pigeonhole count, and with it exactness, holds.
-
-Candidates of a hot signature are not paired with each other: each bucket links its
-members to one centre; these pairs are verified by exact set overlap and joined to
-components; only members of one bucket that are still in different components, and whose
-shingles that other such members hold too are enough for a link, are paired afterwards and verified as well:
-first with the member that has the fewest shingles of its own, then what is still apart with each other. So every candidate pair is either verified or
-already in one component, and no link between different sets is lost.
+which finds that segment at a difference of one. Whether a subset is left out depends on the subset alone, so a segment
+that is equal in both sets shifts the same unit of difference to the same next segment in both, and the
+pigeonhole count, and with it exactness, holds whatever was counted.
+
+Each bucket links its members to one centre; these pairs are confirmed on the full sets and joined to components. Where
+the candidates of a centre are still in several components, those outside the largest one are compared with all of them in blocks: an index
+of the block's shingles gives all overlaps at once, and only links that join components leave the block. So every candidate pair
+is either verified or already in one component, and no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -29,57 +28,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import settled, shards_for
+from shelfmark.llm.common import settled, shards_for, stored
+from shelfmark.llm.shingle_sets import (Joined, WordHashes, confirmed, crossing_links, full_sets, mixed, rounds, set_ids, shingle_sets,
+                                        texts_of)
 from shelfmark.plans.components import connected_components
-from shelfmark.plans.skew import broadcast_if_small
+from shelfmark.plans.skew import broadcast_if_small, lookup_join
 
 #: Words in a shingle and percent of similarity of the operator's own contract.
 WORDS, PERCENT = 4, 85
 #: Subsets up to this size are not indexed by themselves.
 THIN = 1
+#: Sets with a shingle from which on it counts as frequent, in a round of one task and in all; frequent shingles that are told to the tasks (8 bytes each).
+SEEN, LIST, FREQUENT = 3, 12, 200_000
 #: Bytes of text for each shard of signatures; entries a task packs at a time; sets a task remembers.
-SHARD_BYTES, ENTRIES, REMEMBERED = 16 << 20, 2_000_000, 500_000
-#: Rows of doc_ids that may be broadcast (16 bytes each).
-INVOLVED = 1_000_000
-PAIR, NEED, BUCKETS = 0, 1, 2
+SHARD_BYTES, ENTRIES, REMEMBERED = 16 << 20, 500_000, 500_000
 _ENTRY = 17
 
 
-class WordHashes(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
-def shingles(text: bytes, words: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; of all words together if there are fewer than ``words``."""
-    found = text.lower().split()
-    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    if not len(found):
-        return hashes
-    length = min(words, len(found))
-    value = np.full(len(found) - length + 1, length, np.uint64)
-    for at in range(length):
-        value = mixed(value + hashes[at:at + len(value)]) + np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(value)
-
-
-def set_id(members: np.ndarray) -> np.int64:
-    """One 64-bit hash of a set."""
-    total = int(mixed(members).sum(dtype=np.uint64)) + len(members) * 0xD6E8FEB86659FD93
-    return mixed(np.array([total % 2**64], np.uint64)).view(np.int64)[0]
-
-
 def bands(percent: int, largest: int) -> np.ndarray:
     """Lower bounds of the size bands, such that a linked partner is at most one band away."""
     bounds = [1]
@@ -94,46 +59,98 @@ def segments(bounds: np.ndarray, band: int, percent: int) -> int:
     return (100 - percent) * (smaller + smaller * 100 // percent) // (100 + percent) + 1
 
 
-def signatures(members: np.ndarray, config: int, count: int, thin: int) -> np.ndarray:
-    """Signatures of one set under the ``count`` segments of a pair of bands."""
-    segment = (members >> np.uint64(20)) % np.uint64(count)
-    values = mixed(members)
-    order = np.argsort(segment, kind="stable")
-    sizes = np.bincount(segment.astype(np.int64), minlength=count)
-    sums = np.zeros(count, np.uint64)
-    begins = np.cumsum(sizes) - sizes
-    full = sizes > 0
-    sums[full] = np.add.reduceat(values[order], begins[full])
-    tags = mixed(np.arange(count, dtype=np.uint64) + np.uint64(config << 40))
-    plain = sizes > thin
-    out = [mixed(sums[plain] + tags[plain])]
-    for target in (np.flatnonzero(~plain) + 1) % count:
-        subset = values[order[begins[target]:begins[target] + sizes[target]]]
-        out.append(mixed(np.append(sums[target], sums[target] - subset) + tags[target] + np.uint64(0x632BE59BD9B4E019)))
-    return np.concatenate(out)
-
-
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sid, n): the hash and size of each document's set."""
-    def run(frames: Iterator) -> Iterator:
+def segment_counts(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lower bounds of the size bands, segments of each pair of bands), for sets of any size."""
+    bounds = bands(percent, 1 << 40) if percent < 100 else np.array([1, 1 << 41, 1 << 42])
+    return bounds, np.array([segments(bounds, band, percent) for band in range(len(bounds) - 1)], np.int64)
+
+
+def signatures(values: np.ndarray, sizes: np.ndarray, config: np.ndarray, counts: np.ndarray, thin: int, frequent: np.ndarray):
+    """(signature, number of the set) of many sets, each under the segments of its pair of bands ``config``.
+
+    ``values``: the sets' shingles one after the other, ``sizes`` of them each; ``frequent``: sorted shingles of long lists.
+    """
+    count = counts[config]
+    base = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    slot = base[owner] + ((values >> np.uint64(20)) % count[owner].astype(np.uint64)).astype(np.int64)
+    total = int(count.sum())
+    order = np.argsort(slot, kind="stable")
+    hashed = mixed(values)[order]
+    held = np.bincount(slot, minlength=total)
+    begins = np.cumsum(held) - held
+    sums = np.zeros(total, np.uint64)
+    full = held > 0
+    if len(hashed):
+        sums[full] = np.add.reduceat(hashed, begins[full])
+    rare = np.ones(len(values), bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        rare = frequent[at] != values
+    plain = (held > thin) & (np.bincount(slot[rare], minlength=total) > 0)
+    of_set = np.repeat(np.arange(len(sizes)), count)
+    segment = np.arange(total) - base[of_set]
+    tags = mixed(segment.astype(np.uint64) + (config[of_set].astype(np.uint64) << np.uint64(40)))
+    left_out = np.flatnonzero(~plain)
+    target = base[of_set[left_out]] + (segment[left_out] + 1) % count[of_set[left_out]]
+    more = held[target]
+    element = np.repeat(begins[target], more) + np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    salt = np.uint64(0x632BE59BD9B4E019)
+    out = [mixed(sums[plain] + tags[plain]), mixed(sums[target] + tags[target] + salt),
+           mixed(np.repeat(sums[target] + tags[target], more) - hashed[element] + salt)]
+    return np.concatenate(out), np.concatenate([of_set[plain], of_set[target], np.repeat(of_set[target], more)])
+
+
+def measured_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sid, n, block): the hash and size of each document's set; rows with ``block`` hold shingles that several sets of a round have, and how many."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known, seen = WordHashes(), set()
+        for batch in batches:
+            for ids, texts in rounds(batch):
+                values, sizes = shingle_sets(texts, words, known)
+                sids = set_ids(values, sizes)
+                fresh = np.zeros(len(sids), bool)
+                for n, sid in enumerate(sids.tolist()):
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    fresh[n] = sid not in seen
+                    seen.add(sid)
+                shingle, times = np.unique(values[np.repeat(fresh, sizes)], return_counts=True)
+                several = times >= SEEN
+                block = shingle[several].tobytes() + times[several].astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.int64()), pa.array([*sids.tolist(), 0], pa.int64()), pa.array([*sizes.tolist(), 0], pa.int64()),
+                                                  pa.array([*[None] * len(ids), block], pa.binary())], ["doc_id", "sid", "n", "block"])
+
+    return docs.mapInArrow(run, "doc_id long, sid long, n long, block binary")
+
+
+def frequent_shingles(measured: DataFrame) -> np.ndarray:
+    """Sorted shingles that at least ``LIST`` sets have, as far as rounds told; the ``FREQUENT`` most frequent ones at most.
+
+    They only say which lists would be long, so what is left out here costs time and no link.
+    """
+    def unpack(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        known = WordHashes()
         for frame in frames:
-            made = [shingles(text, words, known) for text in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "sid": np.array([set_id(m) for m in made], np.int64),
-                                "n": [len(m) for m in made]})
+            for block in frame["block"]:
+                half = len(block) // 2
+                yield pd.DataFrame({"shingle": np.frombuffer(block[:half], np.int64), "times": np.frombuffer(block[half:], np.int64)})
 
-    return docs.mapInPandas(run, "doc_id long, sid long, n long")
+    told = (measured.filter("block IS NOT NULL").select("block").mapInPandas(unpack, "shingle long, times long")
+            .groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= LIST).orderBy(F.desc("times"), "shingle").limit(FREQUENT))
+    return np.sort(np.array([row.shingle for row in told.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def packed_signatures(docs: DataFrame, words: int, percent: int, thin: int, shards: int, largest: int) -> DataFrame:
+def packed_signatures(docs: DataFrame, words: int, percent: int, thin: int, shards: int, frequent: np.ndarray) -> DataFrame:
     """(shard, block): signatures with the set they belong to and its role (0 lower band, 1 upper band)."""
-    bounds = bands(percent, largest)
-    counts = [segments(bounds, band, percent) for band in range(len(bounds) - 1)]
+    bounds, counts = segment_counts(percent)
 
-    def run(frames: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
+        import pyarrow as pa
 
         known, seen, held, total = WordHashes(), set(), [], 0
 
@@ -144,36 +161,37 @@ def packed_signatures(docs: DataFrame, words: int, percent: int, thin: int, shar
             order = np.argsort(shard, kind="stable")
             sig, sid, role, shard = sig[order], sid[order], role[order], shard[order]
             edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            return pd.DataFrame([(int(shard[i]), sig[i:j].tobytes() + sid[i:j].tobytes() + role[i:j].tobytes())
-                                 for i, j in zip(edges[:-1], edges[1:], strict=True)], columns=["shard", "block"])
-
-        for frame in frames:
-            for text in frame["text"]:
-                members = shingles(text, words, known)
-                if not len(members):
-                    continue
-                sid = set_id(members)
-                if sid in seen:  # a copy in the same task has sent the same signatures
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(sid)
-                band = int(np.searchsorted(bounds, len(members), side="right")) - 1
+            return pa.RecordBatch.from_pandas(pd.DataFrame(
+                [(int(shard[i]), sig[i:j].tobytes() + sid[i:j].tobytes() + role[i:j].tobytes())
+                 for i, j in zip(edges[:-1], edges[1:], strict=True)], columns=["shard", "block"]).astype({"shard": "int32"}), preserve_index=False)
+
+        for batch in batches:
+            for _, texts in rounds(batch):
+                values, sizes = shingle_sets(texts, words, known)
+                sids = set_ids(values, sizes)
+                keep = np.zeros(len(sids), bool)
+                for n, sid in enumerate(sids.tolist()):
+                    # A copy in the same task has sent the same signatures.
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    keep[n] = sizes[n] > 0 and sid not in seen
+                    seen.add(sid)
+                values, sizes, sids = values[np.repeat(keep, sizes)], sizes[keep], sids[keep]
+                band = np.searchsorted(bounds, sizes, side="right") - 1
                 for config, role in ((band, 0), (band - 1, 1)):
-                    if config >= 0 and counts[config] > 1:  # one segment: only equal sets are linked
-                        found = signatures(members, config, counts[config], thin)
-                        held.append((found, np.full(len(found), sid), np.full(len(found), role, np.uint8)))
-                        total += len(found)
+                    # One segment: only equal sets are linked.
+                    use = (config >= 0) & (counts[np.maximum(config, 0)] > 1)
+                    if use.any():
+                        sig, number = signatures(values[np.repeat(use, sizes)], sizes[use], config[use], counts, thin, frequent)
+                        held.append((sig, sids[use][number], np.full(len(sig), role, np.uint8)))
+                        total += len(sig)
                 if total >= ENTRIES:
                     total = 0
                     yield flush()
         if held:
             yield flush()
 
-    return docs.select("text").mapInPandas(run, "shard int, block binary")
-
-
-FOUND = "kind int, shard int, a long, b long, block binary"
+    return docs.select(F.lit(0).alias("none"), "text").mapInArrow(run, "shard int, block binary")
 
 
 def _buckets(blocks):
@@ -209,198 +227,86 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def centre_pairs(packed: DataFrame) -> DataFrame:
-    """Per shard: pairs of each bucket's centre with its members; buckets of three and more, packed; sets they hold."""
+    """(a, b): each bucket's centre with its members, once per shard."""
     def run(frame):
         import pandas as pd
 
-        shard = int(frame["shard"].iloc[0])
-        sid, role, group, opens = _buckets(list(frame["block"]))
-        a, b = distinct_pairs(sid[opens][group][~opens], sid[~opens])
-        rows = [pd.DataFrame({"kind": PAIR, "shard": shard, "a": a, "b": b, "block": None})]
-        if len(sid):
-            sizes = np.bincount(group)
-            # Buckets with the same members need to be kept once.
-            named = np.add.reduceat(mixed(sid.view(np.uint64)), np.flatnonzero(opens)) + sizes.astype(np.uint64)
-            first = np.zeros(len(sizes), bool)
-            first[np.unique(named, return_index=True)[1]] = True
-            keep = (first & (sizes > 2))[group]
-            if keep.any():
-                sid, role, group = sid[keep], role[keep], np.cumsum(opens[keep])
-                block = sid.tobytes() + group.astype(np.int64).tobytes() + role.tobytes()
-                rows += [pd.DataFrame({"kind": NEED, "shard": shard, "a": np.unique(sid), "b": 0, "block": None}),
-                         pd.DataFrame({"kind": BUCKETS, "shard": shard, "a": 0, "b": 0, "block": [block]})]
-        return pd.concat(rows).astype({"kind": "int32", "shard": "int32"})
-
-    return packed.groupBy("shard").applyInPandas(run, FOUND)
-
-
-def _by_bucket(found: DataFrame, state: DataFrame, run, schema: str) -> DataFrame:
-    """Each shard's buckets together with what ``state`` says of the sets they hold."""
-    needs = found.filter(F.col("kind") == NEED).select(
-        F.col("shard").alias("place"), F.col("a").alias("sid")).join(state, "sid")
-    blocks = found.filter(F.col("kind") == BUCKETS).select(F.col("shard").alias("home"), "block")
-    return blocks.groupBy("home").cogroup(needs.groupBy("place")).applyInPandas(run, schema)
-
-
-def _split_buckets(buckets, known):
-    """(sid, role, row in ``known``, low, high) of each bucket that holds several components."""
-    ids, comps = known["sid"].to_numpy(), known["comp"].to_numpy()
-    for block in buckets["block"]:
-        count = len(block) // _ENTRY
-        sid, group = np.frombuffer(block, np.int64, count), np.frombuffer(block, np.int64, count, 8 * count)
-        role = np.frombuffer(block, np.uint8, count, 16 * count)
-        # A bucket's sets of which ``known`` says nothing cannot be linked any more.
-        at = np.minimum(np.searchsorted(ids, sid), max(0, len(ids) - 1))
-        there = ids[at] == sid if len(ids) else np.zeros(count, bool)
-        sid, group, role, at = sid[there], group[there], role[there], at[there]
-        if not len(sid):
-            continue
-        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        several = np.minimum.reduceat(comps[at], edges[:-1]) != np.maximum.reduceat(comps[at], edges[:-1])
-        for low, high in zip(edges[:-1][several], edges[1:][several], strict=True):
-            yield sid, role, at, low, high
-
-
-def split_members(found: DataFrame, state: DataFrame) -> DataFrame:
-    """(sid): sets of buckets that hold several components."""
-    def run(buckets, known):
-        import pandas as pd
-
-        parts = [sid[low:high] for sid, _, _, low, high in _split_buckets(buckets, known.sort_values("sid"))]
-        return pd.DataFrame({"sid": np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)})
-
-    return _by_bucket(found, state, run, "sid long").distinct()
-
-
-def shared_sizes(members: DataFrame, state: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``state`` of the members with ``v``: how many of a set's shingles stand in another member's set too.
-
-    Two members share at most the smaller ``v``, which is an exact bound: copies with many changes
-    of their own drop out here, before anything is paired.
-    """
-    texts = docs.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id")), INVOLVED), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    named = texts.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id"), "sid"), INVOLVED), "doc_id").select("text", "sid")
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        known = WordHashes()
-        for frame in frames:
-            for text, sid in zip(frame["text"], frame["sid"], strict=True):
-                yield pd.DataFrame({"shingle": shingles(text, words, known).view(np.int64), "sid": sid})
-
-    alone = (named.mapInPandas(run, "shingle long, sid long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("sid").alias("sid"))
-             .filter("times = 1").groupBy("sid").agg(F.count("*").alias("alone")))
-    return (members.select("sid").join(state, "sid").join(alone, "sid", "left")
-            .select("sid", "comp", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("v")))
-
-
-def cross_pairs(found: DataFrame, state: DataFrame, percent: int, by_centre: bool) -> DataFrame:
-    """(a, b): members of one bucket in different components that the bounds do not rule out. ``state``: sid, comp, n, v.
-
-    ``by_centre``: only with the member that has the fewest shingles of its own, as a family's origin has.
-    """
-    def run(buckets, known):
-        import pandas as pd
-
-        known = known.sort_values("sid")
-        comps, sizes, shared = (known[c].to_numpy() for c in ("comp", "n", "v"))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for sid, role, at, low, high in _split_buckets(buckets, known):
-            if by_centre:
-                lower = np.flatnonzero(role[low:high] == 0) + low
-                if not len(lower):
-                    continue
-                centre = lower[np.lexsort((sid[lower], (sizes - shared)[at[lower]]))[0]]
-            for i in [centre] if by_centre else range(low, high - 1):
-                rest = slice(low if by_centre else i + 1, high)
-                most = np.minimum(np.minimum(shared[at[i]], shared[at[rest]]), np.minimum(sizes[at[i]], sizes[at[rest]]))
-                yes = np.flatnonzero((comps[at[rest]] != comps[at[i]]) & (role[i] + role[rest] < 2)
-                                     & (100 * most >= percent * (sizes[at[i]] + sizes[at[rest]] - most))) + rest.start
-                left.append(np.full(len(yes), sid[i]))
-                right.append(sid[yes])
-        a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
-        return pd.DataFrame({"a": a, "b": b})
-
-    # A set whose shared part is too small for any partner goes first.
-    able = state.filter(100 * F.col("v") >= percent * F.col("n"))
-    return _by_bucket(found, able, run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of sets that are linked, by their texts: (a, b). Only texts that occur in a pair are shuffled."""
-    one = classes.select(F.col("sid").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"))
-    two = classes.select(F.col("sid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"))
-    named = settled(pairs.join(one, "a").join(two, "b")
-                    .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                    .select("a", "b", "doc_a", "doc_b"))
-    involved = settled(named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct())
-    texts = docs.join(broadcast_if_small(involved, INVOLVED), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    side = lambda name: texts.select(F.col("doc_id").alias(f"doc_{name}"), F.col("text").alias(f"text_{name}"))
-    both = named.join(side("a"), "doc_a").join(side("b"), "doc_b").select("a", "b", "text_a", "text_b")
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        known = WordHashes()
-        for frame in frames:
-            sets, keep = {}, []
-            for a, b, text_a, text_b in zip(*(frame[c] for c in frame.columns), strict=True):
-                if len(sets) > 200:
-                    sets.clear()
-                for sid, text in ((a, text_a), (b, text_b)):
-                    if sid not in sets:
-                        sets[sid] = shingles(text, words, known)
-                shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                keep.append(100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared))
-            yield frame.loc[np.array(keep, bool), ["a", "b"]]
-
-    return both.mapInPandas(run, "a long, b long")
+        sid, _, group, opens = _buckets(list(frame["block"]))
+        a, b = sid[opens][group][~opens], sid[~opens]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        return pd.DataFrame({"a": a[fresh], "b": b[fresh]})
+
+    return packed.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+
+
+def overlap_links(percent: int):
+    """Links within one block by an index of its shingles; for ``crossing_links``."""
+    def links(block):
+        joined = Joined()
+        sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [np.frombuffer(x, np.uint64) for x in block["block"]]
+        rights = np.flatnonzero(block["is_right"].to_numpy())
+        sizes = np.array([len(sets[m]) for m in rights])
+        shingle = np.concatenate([sets[m] for m in rights])
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], np.repeat(np.arange(len(rights)), sizes)[order]
+        for n in np.flatnonzero(block["is_left"].to_numpy()).tolist():
+            low = np.searchsorted(shingle, sets[n], "left")
+            many = np.searchsorted(shingle, sets[n], "right") - low
+            at = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            shared = np.bincount(owner[at], minlength=len(rights))
+            for m in np.flatnonzero(100 * shared >= percent * (sizes + len(sets[n]) - shared)).tolist():
+                one, two = joined.root(comps[n]), joined.root(comps[rights[m]])
+                if one != two:
+                    joined.join(one, two)
+                    yield sids[n], sids[rights[m]]
+
+    return links
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin: int = THIN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     A null or empty text has no shingles and is linked with nothing, not even with another
-    empty one. Equal sets are one class and linked. Rows that repeat a doc_id are one node,
+    empty one. Equal sets are one class and linked. Rows that repeat a doc_id are
     judged each by its own text. A row with a null doc_id has component_id null and links nothing.
     No rows give no rows; further columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = shards_for(total, SHARD_BYTES)
-    sets = settled(sets_of(plain, words))
-    classes = settled(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")))
-    largest = sets.agg(F.max("n")).first()[0] or 0
+    measured = stored(measured_sets(plain, words), "measured")
+    sets = measured.filter("block IS NULL").select("doc_id", "sid", "n")
+    classes = settled(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("copies")))
     chosen = plain.filter("doc_id IS NOT NULL")
-    found = settled(centre_pairs(packed_signatures(chosen, words, percent, thin, shards, largest)))
-    centred = found.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    links = settled(verified(centred, chosen, classes, words, percent))
+    packed = packed_signatures(chosen, words, percent, thin, shards_for(total, SHARD_BYTES), frequent_shingles(measured))
+    pairs = settled(centre_pairs(packed))
+    links = settled(confirmed(pairs, chosen, classes, words, percent))
     first = settled(connected_components(links, "a", "b"))
-    state = settled(classes.join(first.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "sid", F.coalesce("root", "sid").alias("comp"), "n"))
-    members = settled(split_members(found, state).join(classes.select("sid", "doc"), "sid"))
-    bounded = settled(shared_sizes(members, state, chosen, words))
-    for by_centre in (True, False):
-        more = settled(verified(cross_pairs(found, bounded, percent, by_centre), chosen, classes, words, percent))
-        if not more.isEmpty():
-            # Only the links between components need another round.
-            comp = lambda name, state=state: state.select(F.col("sid").alias(name), F.col("comp").alias(f"comp_{name}"))
-            between = more.join(comp("a"), "a").join(comp("b"), "b").filter("comp_a <> comp_b")
-            above = settled(connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), F.col("root").alias("top")))
-            raised = lambda rows, above=above: (rows.join(above, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"))
-            state, bounded = settled(raised(state)), settled(raised(bounded))
-    member = classes.join(state.select("sid", F.col("comp").alias("root")), "sid")
-    named = settled(member.join(member.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("sid", "component_id"))
-    linked = sets.join(named, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return linked
+    state = settled(classes.select("sid").join(first.select(F.col("node").alias("sid"), "root"), "sid", "left")
+                    .select("sid", F.coalesce("root", "sid").alias("comp")))
+    # All candidates of a centre, itself included.
+    members = pairs.select(F.col("a").alias("key"), F.col("b").alias("sid")).unionByName(pairs.select(F.col("a").alias("key"), F.col("a").alias("sid")).distinct())
+    more = settled(crossing_links(members, state, lambda sids: full_sets(texts_of(sids, chosen, classes), words), overlap_links(percent)))
+    if not more.isEmpty():
+        between = more.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
+        above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
+        state = settled(state.join(above, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
+    member = classes.select("sid", "doc", "copies").join(state, "sid")
+    smallest = settled(member.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets")))
+    named = lookup_join(member, smallest, ["comp"], "sets", "inner", salt_on=["sid"]).select("sid", "component_id", "copies")
+    linked = lookup_join(sets, named, ["sid"], "copies", "left", salt_on=["doc_id"])
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+                         .otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    gone = settled(components(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct())
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Rows that repeat a doc_id with different texts all stay if one of them does, so no text without a copy is lost.
+    """
+    gone = settled(components(docs, words, percent).filter("doc_id IS NOT NULL").groupBy("doc_id")
+                   .agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("all_gone")).filter("all_gone = 1").select("doc_id"))
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
 
 

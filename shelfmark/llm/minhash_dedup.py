@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import settled, stored
-from shelfmark.llm.jaccard_join import WordHashes, mixed
+from shelfmark.llm.shingle_sets import Joined, WordHashes, confirmed, crossing_links, mixed, rounds, set_ids, shingle_sets, texts_of
 from shelfmark.plans.components import connected_components
-from shelfmark.plans.skew import broadcast_if_small, lookup_join
+from shelfmark.plans.skew import lookup_join
 
 #: Words in a shingle and percent of similarity of the operator's own contract.
 WORDS, PERCENT = 4, 80
@@ -35,41 +35,8 @@ MINIMA, BAND, BITS = 128, 4, 4
 MORE_MINIMA, MORE_BITS = 1024, 2
 #: Standard errors by which an estimate may fall short of the threshold.
 MARGIN = 5.0
-#: Words in one round of array work; sets a task remembers; members on each side of a block of comparisons; rows in a shard of blocks.
-ROUND, REMEMBERED, SIDE, SHARD = 1 << 18, 500_000, 4096, 20_000
-#: Rows of (doc_id, set) that may be broadcast (16 bytes each); pairs of one set that meet in one group.
-INVOLVED, SALT = 1_000_000, 2000
-
-
-def shingle_sets(texts: list[bytes], words: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sizes): the sorted distinct shingles of each text, one after the other; all words as one where there are fewer."""
-    found = [text.lower().split() for text in texts]
-    counts = np.array([len(f) for f in found], np.int64)
-    hashes = np.fromiter((known[word] for f in found for word in f), np.uint64, int(counts.sum()))
-    length = np.minimum(counts, words)
-    made = np.where(counts > 0, counts - length + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), made)
-    at = np.arange(len(owner)) + np.repeat((np.cumsum(counts) - counts) - (np.cumsum(made) - made), made)
-    size = length[owner]
-    value = size.astype(np.uint64)
-    for step in range(words):
-        there = size > step
-        value[there] = mixed(value[there] + hashes[at[there] + step]) + np.uint64(0x9E3779B97F4A7C15)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]) if len(value) else np.zeros(0, bool)
-    return value[fresh], np.bincount(owner[fresh], minlength=len(texts)).astype(np.int64)
-
-
-def set_ids(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of each set; 0 for an empty one."""
-    sums = np.zeros(len(sizes) + 1, np.uint64)
-    full = np.flatnonzero(sizes)
-    begins = np.cumsum(sizes) - sizes
-    if len(full):
-        sums[full] = np.add.reduceat(mixed(values), begins[full])
-    out = mixed(sums[:-1] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-    return np.where(sizes > 0, out, 0)
+#: Sets a task remembers; members on each side of a block of comparisons.
+REMEMBERED, SIDE = 500_000, 4096
 
 
 def minima(values: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
@@ -123,21 +90,6 @@ def agreement(one: str, two: str, count: int, bits: int) -> Column:
     return total
 
 
-def _rounds(batch) -> Iterator[tuple[list, list[bytes]]]:
-    """(first column, texts) of a batch in rounds of bounded size, a longer text in a round of its own."""
-    firsts, texts, held = [], [], 0
-    for first, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        text = text.as_py()
-        if texts and held + len(text) > 6 * ROUND:
-            yield firsts, texts
-            firsts, texts, held = [], [], 0
-        firsts.append(first)
-        texts.append(text)
-        held += len(text)
-    if texts:
-        yield firsts, texts
-
-
 def _lists(rows: np.ndarray, present: np.ndarray):
     """A list column: the rows of a matrix where ``present``, empty lists elsewhere."""
     import pyarrow as pa
@@ -153,7 +105,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
         known, seen = WordHashes(), set()
         for batch in batches:
-            for ids, texts in _rounds(batch):
+            for ids, texts in rounds(batch):
                 values, sizes = shingle_sets(texts, words, known)
                 sids = set_ids(values, sizes)
                 fresh = np.zeros(len(sids), bool)
@@ -171,12 +123,6 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, n long, keys array<long>, signature array<long>")
 
 
-def texts_of(sids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sid, text) of one document of each set; a repeated doc_id may bring other texts along, which their readers tell by the hash."""
-    named = settled(sids.select("sid").distinct().join(classes.select("sid", F.col("doc").alias("doc_id")), "sid"))
-    return docs.join(broadcast_if_small(named, INVOLVED), "doc_id").select("sid", "text")
-
-
 def payloads(texts: DataFrame, words: int) -> DataFrame:
     """(sid, signature, block): 1,024 minima of two bits of each set, and its shingles as packed 64-bit hashes."""
     def run(batches: Iterator) -> Iterator:
@@ -184,7 +130,7 @@ def payloads(texts: DataFrame, words: int) -> DataFrame:
 
         known = WordHashes()
         for batch in batches:
-            for sids, found in _rounds(batch):
+            for sids, found in rounds(batch):
                 values, sizes = shingle_sets(found, words, known)
                 keep = set_ids(values, sizes) == np.array(sids, np.int64)
                 if keep.any():
@@ -198,53 +144,6 @@ def payloads(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "sid long, signature binary, block binary").dropDuplicates(["sid"])
 
 
-def full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(sid, block): each set's shingles as packed 64-bit hashes."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        known = WordHashes()
-        for batch in batches:
-            for sids, found in _rounds(batch):
-                values, sizes = shingle_sets(found, words, known)
-                keep = np.flatnonzero(set_ids(values, sizes) == np.array(sids, np.int64))
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.int64)[keep]),
-                                                  pa.array([values[ends[n] - sizes[n]:ends[n]].tobytes() for n in keep], pa.binary())], ["sid", "block"])
-
-    return texts.mapInArrow(run, "sid long, block binary").dropDuplicates(["sid"])
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough. A set with many pairs is sent once for each ``SALT`` of them, not with each."""
-    sizes = classes.select("sid", "n")
-    pairs = settled(pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-                    .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"))
-    sets = stored(full_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, classes), words), "sets")
-    hubs = settled(pairs.groupBy("a").agg((1 + F.count("*") / SALT).cast("int").alias("salts"), F.count("*").alias("times")))
-    left = (hubs.join(sets, hubs["a"] == sets["sid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                                                             F.lit(0).cast("long").alias("b"), F.lit(0).alias("member"), "block"))
-    dealt = lookup_join(pairs, hubs, ["a"], "times", "inner", salt_on=["a", "b"])
-    right = (dealt.join(sets.withColumnRenamed("sid", "b"), "b")
-             .select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.lit(1).alias("member"), "block"))
-    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-
-    def run(frames: Iterator) -> Iterator:
-        known = np.zeros(0, np.uint64)
-        for frame in frames:
-            keep = np.zeros(len(frame), bool)
-            for n, (member, block) in enumerate(zip(frame["member"], frame["block"], strict=True)):
-                other = np.frombuffer(block, np.uint64)
-                if not member:
-                    known = other
-                else:
-                    shared = len(np.intersect1d(known, other, assume_unique=True))
-                    keep[n] = 100 * shared >= percent * (len(known) + len(other) - shared)
-            yield frame.loc[keep, ["a", "b"]]
-
-    return rows.mapInPandas(run, "a long, b long")
-
-
 def bucket_members(classes: DataFrame) -> DataFrame:
     """(key, sid, members) of the buckets that hold several sets."""
     entries = classes.select("sid", F.explode("keys").alias("key"))
@@ -265,43 +164,12 @@ def hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             .select("a", F.col("sid").alias("b")).distinct())
 
 
-def crossing_links(members: DataFrame, state: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): confirmed links that join the components which buckets still hold, no more of them than joins.
-
-    The buckets with one largest component are taken together. Sets outside that component are compared with all sets, by their
-    longer signatures first and exactly where those are not clearly too unlike. A block holds at most about ``SIDE`` sets
-    on each side, and its sets travel with it, so no pair ever leaves a task but a link.
-    """
-    rows = stored(members.select("key", "sid").join(state, "sid"), "places")
-    split = (rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-             .groupBy("key").agg(F.sum("n").alias("members"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps"))
-             .filter("comps > 1").select("key", "members", "major"))
-    grouped = stored(lookup_join(rows, settled(split), ["key"], "members", "inner", salt_on=["sid"]).select("major", "sid", "comp").distinct(), "groups")
-    sizes = settled(grouped.groupBy("major").agg(F.count("*").alias("sets"), F.ceil(F.count_if(F.col("comp") != F.col("major")) / SIDE).cast("int").alias("lefts"),
-                                                 F.ceil(F.count("*") / SIDE).cast("int").alias("rights")))
-    carried = stored(payloads(texts_of(grouped, docs, classes), words), "payloads")
-    dealt = (lookup_join(grouped, sizes, ["major"], "sets", "inner", salt_on=["sid"])
-             .withColumn("left", F.when(F.col("comp") != F.col("major"), F.pmod(F.xxhash64("sid"), F.col("lefts")).cast("int")).otherwise(-1))
-             .withColumn("right", F.pmod(F.xxhash64("sid"), F.col("rights")).cast("int")))
-    # Row ``left`` of the blocks for a set outside of the largest component, column ``right`` for any set.
-    blocks = F.expr("""array_distinct(concat(
-        CASE WHEN left >= 0 THEN transform(sequence(0, rights - 1), j -> struct(left AS i, j AS j)) ELSE array() END,
-        transform(sequence(0, lefts - 1), i -> struct(i AS i, right AS j))))""")
-    placed = (dealt.select("major", "sid", "comp", "left", "right", F.explode(blocks).alias("at"))
-              .select("major", "sid", "comp", (F.col("left") == F.col("at.i")).alias("is_left"), (F.col("right") == F.col("at.j")).alias("is_right"), "at.i", "at.j"))
-    shards = max(8, grouped.count() // SHARD)
-    full = placed.join(carried, "sid").withColumn("shard", F.pmod(F.xxhash64("major", "i", "j"), F.lit(shards)).cast("int"))
+def crossing(members: DataFrame, state: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``crossing_links`` by the longer signatures, and exactly where those are not clearly too unlike."""
     least, ones = least_agreement(percent, MORE_MINIMA, MORE_BITS), np.uint64(sum(1 << n for n in range(0, 64, MORE_BITS)))
 
     def links(block):
-        """Links within one block, each of which joins two components that nothing has joined before."""
-        above = {}
-
-        def root(comp):
-            while comp in above:
-                comp = above[comp]
-            return comp
-
+        joined = Joined()
         sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [np.frombuffer(x, np.uint64) for x in block["block"]]
         signatures = np.frombuffer(b"".join(block["signature"]), np.uint64).reshape(len(sids), -1)
         numbers, rights = np.array([len(x) for x in sets]), np.flatnonzero(block["is_right"].to_numpy())
@@ -315,20 +183,14 @@ def crossing_links(members: DataFrame, state: DataFrame, docs: DataFrame, classe
             near = (agree >= least) & (100 * np.minimum(numbers[rights], numbers[n]) >= percent * np.maximum(numbers[rights], numbers[n]))
             # The likeliest first, so that one link spares the rest of its component.
             for m in rights[near][np.argsort(-agree[near], kind="stable")].tolist():
-                one, two = root(comps[n]), root(comps[m])
+                one, two = joined.root(comps[n]), joined.root(comps[m])
                 if one != two:
                     shared = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
                     if 100 * shared >= percent * (len(sets[n]) + len(sets[m]) - shared):
-                        above[max(one, two)] = min(one, two)
+                        joined.join(one, two)
                         yield sids[n], sids[m]
 
-    def run(frame):
-        import pandas as pd
-
-        found = [link for _, block in frame.groupby(["major", "i", "j"], sort=False) for link in links(block)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return full.groupBy("shard").applyInPandas(run, "a long, b long")
+    return crossing_links(members, state, lambda sids: payloads(texts_of(sids, docs, classes), words), links, SIDE)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,7 +211,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     first = settled(connected_components(settled(links), "a", "b"))
     state = settled(classes.select("sid").join(first.select(F.col("node").alias("sid"), "root"), "sid", "left")
                     .select("sid", F.coalesce("root", "sid").alias("comp")))
-    more = settled(crossing_links(members, state, chosen, classes, words, percent))
+    more = settled(crossing(members, state, chosen, classes, words, percent))
     if not more.isEmpty():
         between = more.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
         above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import jaccard_join
@@ -70,3 +71,37 @@ def test_keep_one_and_empty(spark):
                                  "doc_id long, text string, component_id int")
     assert sorted(jaccard_join.keep_one(docs).collect(), key=str) == sorted(docs.filter("doc_id is null or doc_id <> 2").collect(), key=str)
     assert jaccard_join.components(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_id_with_another_text_loses_no_link(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (5, "quite another text that is here now"), (5, "a b c d e f g"), (9, "quite another text that is here now")],
+                                 "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect())
+    assert got == [(1, 4, 1), (5, 4, 1), (5, 4, 5), (9, 4, 5)]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, 4, 85).collect()) == [1, 5, 5]
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.5, 1.0])
+def test_linked_sets_share_a_signature_whatever_counts_as_frequent(frequent):
+    """Exactness does not hang on the counts: any shingles may be held for frequent."""
+    rng = np.random.default_rng(3)
+    bounds, counts = jaccard_join.segment_counts(80)
+    for trial in range(150):
+        size = int(rng.integers(2, 120))
+        one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        edits = int(rng.integers(0, max(1, size // 8) + 1))
+        two = np.unique(np.concatenate([one[edits:], rng.integers(0, 2**63, int(rng.integers(0, edits + 1))).astype(np.uint64)]))
+        shared = len(np.intersect1d(one, two))
+        if 100 * shared < 80 * (len(one) + len(two) - shared):
+            continue
+        often = np.sort(rng.choice(np.union1d(one, two), int(frequent * len(np.union1d(one, two))), replace=False))
+        found = []
+        for members in (one, two):
+            band = int(np.searchsorted(bounds, len(members), side="right")) - 1
+            mine = set()
+            for config in (band, band - 1):
+                if config >= 0:
+                    sig, _ = jaccard_join.signatures(members, np.array([len(members)]), np.array([config]), counts, 1, often)
+                    mine |= set(sig.tolist())
+            found.append(mine)
+        assert found[0] & found[1], (trial, len(one), len(two), shared)
