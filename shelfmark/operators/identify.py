@@ -21,24 +21,26 @@ def supported_only(listing: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def candidates_by_extension(formats: DataFrame) -> DataFrame:
-    """One row per extension with its claimants in platform order."""
+    """One row per extension with its claimants in platform order, and what to look for in a path, made up once."""
+    key = F.upper("system_key")
     claimant = F.struct("system_position", "format_position", "system_key", "system_name",
-                        "format_name", "format_type", "priority", "is_multi_file")
+                        "format_name", "format_type", "priority", "is_multi_file",
+                        F.concat(F.lit("/"), key, F.lit("/")).alias("folder"), F.concat(F.lit(" "), key, F.lit(" ")).alias("word"),
+                        F.upper("system_name").alias("folded_name"))
     return (formats.groupBy(F.col("extension").alias("claimed_extension"))
             .agg(F.sort_array(F.collect_list(claimant)).alias("claimants")))
 
 
-def _score(claimant: Column, hints: Column, single: Column) -> Column:
-    key = F.upper(claimant["system_key"])
-    by_path = (F.when(F.contains(hints["folded"], F.concat(F.lit("/"), key, F.lit("/"))), V.SCORE_PATH_SEGMENT)
-               .when(F.contains(hints["words"], F.concat(F.lit(" "), key, F.lit(" "))), V.SCORE_KEY_TOKEN)
+def _score(claimant: Column, hints: Column) -> Column:
+    by_path = (F.when(F.contains(hints["folded"], claimant["folder"]), V.SCORE_PATH_SEGMENT)
+               .when(F.contains(hints["words"], claimant["word"]), V.SCORE_KEY_TOKEN)
                .otherwise(0))
-    by_name = F.when(F.contains(hints["folded"], F.upper(claimant["system_name"])), V.SCORE_SYSTEM_NAME).otherwise(0)
-    return claimant["priority"] + by_path + by_name + F.when(single, V.SCORE_SINGLE_CANDIDATE).otherwise(0)
+    by_name = F.when(F.contains(hints["folded"], claimant["folded_name"]), V.SCORE_SYSTEM_NAME).otherwise(0)
+    return claimant["priority"] + by_path + by_name
 
 
 def score_candidates(listing: DataFrame, formats: DataFrame) -> DataFrame:
-    """Adds ``ranked``: every claimant of the extension with its score, best first.
+    """Adds ``claimants`` of the extension in platform order, and ``ranked``: (order, at), their scores and places, best first.
 
     The platform table is joined once, as one row per extension, and scored
     inside the row. It is broadcast after a check of its rows, so the listing stays
@@ -46,17 +48,15 @@ def score_candidates(listing: DataFrame, formats: DataFrame) -> DataFrame:
     """
     joined = listing.join(broadcast_if_small(candidates_by_extension(formats)),
                           normalise_extension(listing["extension"]) == F.col("claimed_extension"), "left")
-    folded = fold_case(F.translate("path", "\\", "/"))
+    # Paths that no format claims are not looked at.
+    folded = F.when(F.col("claimants").isNotNull(), fold_case(F.translate("path", "\\", "/")))
     words = F.concat(F.lit(" "), F.regexp_replace(folded, WORD_BREAKS, " "), F.lit(" "))
-    single = F.size("claimants") == 1
+    bonus = F.when(F.size("claimants") == 1, V.SCORE_SINGLE_CANDIDATE).otherwise(0)
     # A one-element array binds the path hints once per row instead of per claimant.
-    ranked = F.transform(F.array(F.struct(folded.alias("folded"), words.alias("words"))), lambda hints: F.transform(
-        F.col("claimants"), lambda c: F.struct(
-            (-_score(c, hints, single)).alias("order"), c["system_position"].alias("system_position"),
-            c["format_position"].alias("format_position"), c["system_key"].alias("system_key"),
-            c["system_name"].alias("system_name"), c["format_name"].alias("format_name"),
-            c["format_type"].alias("format_type"), c["is_multi_file"].alias("is_multi_file"))))[0]
-    return joined.withColumn("ranked", F.sort_array(ranked)).drop("claimed_extension", "claimants")
+    hints = F.array(F.struct(folded.alias("folded"), words.alias("words"), bonus.alias("bonus")))
+    ranked = F.transform(hints, lambda h: F.transform(
+        F.col("claimants"), lambda c, at: F.struct((-_score(c, h) - h["bonus"]).alias("order"), at.alias("at"))))[0]
+    return joined.withColumn("ranked", F.sort_array(ranked)).drop("claimed_extension")
 
 
 def best_format(scored: DataFrame) -> DataFrame:
@@ -69,11 +69,11 @@ def best_format(scored: DataFrame) -> DataFrame:
     reason = (F.when(F.col("ranked").isNull(), "Unsupported extension")
               .when(F.col("confidence") <= 0.5, "Ambiguous extension; selected highest-priority format")
               .otherwise("Extension and path hints"))
-    return (scored.withColumn("best", best).withColumn("confidence", confidence).withColumn("reason", reason)
+    return (scored.withColumn("best", F.try_element_at("claimants", best["at"] + 1)).withColumn("confidence", confidence).withColumn("reason", reason)
             .withColumns({name: F.col(f"best.{name}") for name in
                           ["system_key", "system_name", "format_name", "format_type", "is_multi_file"]})
-            .withColumn("score", -F.col("best.order"))
-            .drop("ranked", "best"))
+            .withColumn("score", -best["order"])
+            .drop("ranked", "best", "claimants"))
 
 
 def identify_format(listing: DataFrame, formats: DataFrame) -> DataFrame:

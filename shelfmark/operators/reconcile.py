@@ -22,10 +22,30 @@ FILE_COLUMNS = ["file_key", *SCANNED, "file_group", "status", "catalog_status",
 
 
 def with_file_key(listing: DataFrame) -> DataFrame:
-    """Adds the case-folded key and keeps one row per key, that of the first raw path."""
+    """Adds the case-folded key and keeps one row per key, that of the first raw path.
+
+    Only keys that several rows may share are gathered; hashes of the keys find them, so all other rows stay where they are.
+    """
     names = listing.columns
-    return (listing.withColumn("file_key", fold_case(F.col("path"))).groupBy("file_key")
-            .agg(F.min_by(F.struct(*names), F.col("path")).alias("__row")).select("file_key", "__row.*"))
+    keyed = listing.withColumn("file_key", fold_case(F.col("path")))
+    shared = (keyed.groupBy(F.xxhash64("file_key").alias("__hash")).agg(F.count("*").alias("__rows")).filter("__rows > 1").select("__hash"))
+    marked = keyed.withColumn("__hash", F.xxhash64("file_key")).join(
+        broadcast_if_small(shared.withColumn("__shared", F.lit(True))), "__hash", "left")
+    first = (marked.filter("__shared").groupBy("file_key").agg(F.min_by(F.struct(*names), F.col("path")).alias("__row"))
+             .select("file_key", "__row.*"))
+    return marked.filter("__shared IS NULL").select("file_key", *names).unionByName(first)
+
+
+def fresh_only(keyed: DataFrame, previous: DataFrame, described: tuple[str, ...] = ("path", "file_name", "extension")) -> DataFrame:
+    """``keyed`` rows with the ``described`` columns null where the previous table has the same size and time.
+
+    What is worked out from those columns then costs nothing for unchanged files, while all rows stay
+    dealt by their key for the join that follows.
+    """
+    old = previous.select("file_key", F.struct("size", "modified").alias("__old"))
+    same = F.col("__old").isNotNull() & F.col("size").eqNullSafe(F.col("__old.size")) & F.col("modified").eqNullSafe(F.col("__old.modified"))
+    joined = keyed.join(old, "file_key", "left").withColumn("__same", same)
+    return joined.withColumns({name: F.when(~F.col("__same"), F.col(name)) for name in described}).drop("__old", "__same")
 
 
 def path_clashes(listing: DataFrame) -> DataFrame:
@@ -107,7 +127,7 @@ def scan_counters(diff: DataFrame, supported: DataFrame | None = None, runs: Dat
 
 def unsupported_histogram(listing: DataFrame, formats: DataFrame) -> DataFrame:
     """Files per extension that no format claims, most frequent first."""
-    known = formats.select(F.col("extension").alias("known_extension")).distinct()
+    known = broadcast_if_small(formats.select(F.col("extension").alias("known_extension")).distinct())
     rows = listing.join(known, normalise_extension(listing["extension"]) == F.col("known_extension"), "left_anti")
     return (rows.groupBy(F.lower("extension").alias("extension")).agg(F.count("*").alias("files"))
             .orderBy(F.desc("files"), "extension"))
@@ -117,14 +137,15 @@ def apply_scan(previous: DataFrame, scanned: DataFrame, runs: DataFrame) -> Data
     """The next version of the file table.
 
     ``scanned``: listing rows with the SCANNED columns, ``file_group``,
-    ``supported`` and ``failed``; ``runs``: location, started, complete.
+    ``supported`` and ``failed``, and ``file_key`` if they are one row per key already;
+    ``runs``: location, started, complete.
 
     New and changed files take all scanned fields and lose catalog state and
     flags, but keep manual choice, exclusion and, lacking a new one, their
     group. Everything else that was listed is touched. Known files of a
     complete run that were not listed become Missing; rows are never deleted.
     """
-    keyed = with_file_key(scanned)
+    keyed = scanned if "file_key" in scanned.columns else with_file_key(scanned)
     old = previous.select("file_key", F.struct(*FILE_COLUMNS[1:]).alias("old"))
     new = keyed.select("file_key", F.struct(*SCANNED, "file_group", "supported", "failed").alias("new"))
     rows = (old.join(new, "file_key", "full_outer")

@@ -84,7 +84,7 @@ def scan(library: Library, listing: DataFrame, formats: DataFrame, runs: DataFra
     scanned = (keyed.drop("marker_path")
                .join(hashed.select("file_key", *details).withColumn("supported", F.lit(True)), "file_key", "left")
                .withColumn("supported", F.coalesce("supported", F.lit(False)))
-               .withColumn("failed", F.col("supported") & F.col("quick_hash").isNull()).drop("file_key"))
+               .withColumn("failed", F.col("supported") & F.col("quick_hash").isNull()))
     hashed = hashed.filter(F.col("quick_hash").isNotNull())
     files = reconcile.apply_scan(library.files, scanned, runs).checkpoint()
     games = resolve.resolve_games(library.games, hashed)

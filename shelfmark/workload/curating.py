@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import hashing
-from shelfmark.operators import curation, duplicates, preference
+from shelfmark.operators import curation, duplicate_counts, duplicates, preference
+from shelfmark.plans.skew import lookup_join
+from shelfmark.session import scratch_path
+from shelfmark.sources.state import create_state
 from shelfmark.workload.base import Tables, query, with_ctes
 from shelfmark.workload.naming import NUMBER_SQL, RANK_SQL, SAMPLE, SCORE_SQL, strip_tags_sql
 
@@ -370,3 +373,36 @@ def u15(t: Tables):
 def u15_games(t: Tables):
     games, _ = assigned(t)
     return games.select("game_key", "system_key", "title")
+
+
+# --- state that follows from run to run ------------------------------------------------------------
+
+# Files with a content of their part and size; those shipped late are new in the second run, which has lost the returned ones.
+_CONTENT = "md5(concat(CAST(part_key AS STRING), '-', CAST(size % 3 AS STRING)))"
+
+
+@query("U4_duplicate_counts", with_ctes("files", """SELECT file_key, CASE WHEN count(*) OVER (PARTITION BY sha256) > 1 THEN 'Duplicate' ELSE 'Normal' END AS status
+    FROM (SELECT file_key, md5(CAST(part_key AS STRING) || '-' || CAST(size % 3 AS STRING)) AS sha256, modified, status FROM files) a
+    WHERE modified >= TIMESTAMP '1998-06-01 00:00:00' OR status <> 'Duplicate'"""))
+def u4_counts(t: Tables):
+    files = t.files.select("file_key", F.expr(_CONTENT).alias("sha256"), (F.col("modified") >= F.lit("1998-06-01").cast("timestamp_ntz")).alias("late"),
+                           (F.col("status") == "Duplicate").alias("returned"))
+    first, gained, lost = files.filter("NOT late"), files.filter("late"), files.filter("NOT late AND returned")
+    state = duplicate_counts.start_counts(first, scratch_path(t.spark, "counts"), 16)
+    before = lookup_join(first.select("file_key", "sha256"), duplicate_counts.count_copies(first), ["sha256"], "copies", "inner").select(
+        "file_key", F.when(F.col("copies") > 1, "Duplicate").otherwise("Normal").alias("status"))
+    present = files.filter("late OR NOT returned")
+    changed = duplicate_counts.follow_run(state, 0, gained, lost, present)
+    kept = present.select("file_key").join(before, "file_key", "left").join(changed.withColumnRenamed("status", "new"), "file_key", "left")
+    return kept.select("file_key", F.coalesce("new", "status").alias("status"))
+
+
+@query("U2_state_in_buckets", with_ctes("files", """SELECT file_key, CASE WHEN game_key % 50 = 0 THEN size + 1 ELSE size END AS size,
+    CASE WHEN game_key % 50 = 0 THEN 'Touched' ELSE status END AS status FROM files WHERE game_key % 70 <> 7"""))
+def u2_buckets(t: Tables):
+    """A table of files, a run that changes some, and one that removes some."""
+    state = create_state(t.files.select("file_key", "size", "status"), scratch_path(t.spark, "files"), "file_key", 16)
+    changed = t.files.filter("game_key % 50 = 0").select("file_key", (F.col("size") + 1).alias("size"), F.lit("Touched").alias("status"))
+    state.merge(0, changed)
+    state.merge(1, removed=t.files.filter("game_key % 70 = 7").select("file_key"))
+    return state.read(2)

@@ -280,6 +280,15 @@ def a5(t: Tables):
     return reconcile.unsupported_histogram(rows, known)
 
 
+# All formats claim their extensions here; a third of the files has one that none claims.
+@query("A5_listing_extensions", with_ctes("formats", """SELECT extension, count(*) AS files FROM (
+    SELECT CASE WHEN order_key % 3 = 0 THEN '.hot' ELSE extension END AS extension FROM listing) a
+    WHERE extension NOT IN (SELECT extension FROM formats) GROUP BY extension""", {"listing": _LISTING_SQL}))
+def a5_listing(t: Tables):
+    extension = F.when(F.col("order_key") % 3 == 0, ".HOT").otherwise(F.col("extension"))
+    return reconcile.unsupported_histogram(_listing(t).select(extension.alias("extension")), t.formats)
+
+
 def _full_previous(t: Tables):
     rows = _previous(t)
     blanks = {name: F.lit(None).cast("string") for name in
@@ -299,7 +308,8 @@ def _runs(t: Tables, complete: bool = True):
 
 
 def _scanned(t: Tables):
-    found = identify.identify_format(_listing(t), t.formats)
+    fresh = reconcile.fresh_only(reconcile.with_file_key(_listing(t)), _previous(t))
+    found = identify.identify_format(fresh, t.formats)
     parsed = resolve.parse_titles(found)
     rows = parsed.withColumn("file_group", F.lit(None).cast("string")).withColumn("quick_hash", F.lit("Q"))
     return (rows.withColumn("supported", F.col("system_key").isNotNull()).withColumn("failed", F.lit(False))

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fuzzy_bucket, title_numbers, title_similarity
-from shelfmark.operators import aliases, fuzzy, paging, views
+from shelfmark.operators import aliases, duplicate_counts, fuzzy, paging, views
 from shelfmark.sources import catalogs
+from shelfmark.sources.state import create_state
 
 
 def test_titles_with_one_prefix_equal_brute_force(spark):
@@ -88,3 +89,39 @@ def test_catalogs_in_chunks_equal_whole_ones(spark, tmp_path):
         assert got.columns == whole.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
     assert whole.count() > 50
+
+
+def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    rows = spark.range(0, 2000).selectExpr("CAST(id AS STRING) AS file_key", "id AS size")
+    state = create_state(rows, str(tmp_path / "state"), "file_key", 32)
+    want = {str(n): n for n in range(2000)}
+    changed = spark.createDataFrame([("7", 70), ("new", 1)], "file_key string, size long")
+    touched = state.merge(0, changed)
+    assert len(touched) <= 2 and {p.name for p in (tmp_path / "state/data/1").iterdir() if p.is_dir()} == {f"bucket={b}" for b in touched}
+    after = want | {"7": 70, "new": 1}
+    assert {r.file_key: r.size for r in state.read(1).collect()} == after
+    state.merge(1, removed=spark.createDataFrame([("new",), ("12",), ("none",)], "file_key string"))
+    # A run that is repeated gives the same version again, and older ones stay.
+    state.merge(1, removed=spark.createDataFrame([("new",), ("12",), ("none",)], "file_key string"))
+    assert {r.file_key: r.size for r in state.read(2).collect()} == {k: v for k, v in after.items() if k not in ("new", "12")}
+    assert {r.file_key: r.size for r in state.read(0).collect()} == want
+    empty = create_state(rows.limit(0), str(tmp_path / "empty"), "file_key", 4)
+    assert empty.read(0).count() == 0 and empty.merge(0, changed) and empty.read(1).count() == 2
+    empty.merge(1, removed=changed.select("file_key"))
+    assert empty.read(2).count() == 0
+
+
+def test_duplicates_follow_the_runs(spark, tmp_path):
+    rng = random.Random(5)
+    present = {f"f{n}": f"s{rng.randint(0, 40)}" for n in range(60)}
+    table = lambda rows: spark.createDataFrame(sorted(rows.items()), "file_key string, sha256 string")
+    whole = lambda rows: {k: "Duplicate" if sum(v == s for s in rows.values()) > 1 else "Normal" for k, v in rows.items()}
+    state = duplicate_counts.start_counts(table(present), str(tmp_path / "counts"), 8)
+    status = whole(present)
+    for run in range(4):
+        lost = {k: present[k] for k in rng.sample(sorted(present), 15)}
+        gained = {f"r{run}n{n}": f"s{rng.randint(0, 45)}" for n in range(12)} | {k: "changed" for k in list(lost)[:3]}
+        present = {k: v for k, v in present.items() if k not in lost} | gained
+        changes = {r.file_key: r.status for r in duplicate_counts.follow_run(state, run, table(gained), table(lost), table(present)).collect()}
+        status = {k: changes.get(k, status.get(k)) for k in present}
+        assert status == whole(present)
