@@ -14,9 +14,10 @@ which finds that segment at a difference of one. Whether a subset is left out de
 that is equal in both sets shifts the same unit of difference to the same next segment in both, and the
 pigeonhole count, and with it exactness, holds whatever was counted.
 
-Each bucket links its members to one centre; these pairs are confirmed on the full sets and joined to components. Where
-the candidates of a centre are still in several components, those outside the largest one are compared with all of them in blocks: an index
-of the block's shingles gives all overlaps at once, and only links that join components leave the block. So every candidate pair
+Each bucket names its members to one centre, and the candidates of a centre are compared in blocks: an index of the block's
+shingles gives all overlaps at once. Sets travel as three bytes of each hash, by which an overlap can only come out too
+large, and only pairs that join components leave the block; these are confirmed on the whole hashes, and should one fail, its blocks are
+compared again by those. A centre with more candidates than a block holds is linked with them first. So every candidate pair
 is either verified or already in one component, and no link between different sets is lost.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import settled, shards_for, stored
-from shelfmark.llm.shingle_sets import (Joined, WordHashes, confirmed, crossing_links, full_sets, mixed, rounds, set_ids, shingle_sets,
+from shelfmark.llm.shingle_sets import (SIDE, Joined, WordHashes, confirmed, crossing_links, full_sets, mixed, rounds, set_ids, shingle_sets,
                                         texts_of)
 from shelfmark.plans.components import connected_components
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
@@ -241,22 +242,59 @@ def centre_pairs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
 
-def overlap_links(percent: int):
-    """Links within one block by an index of its shingles; for ``crossing_links``."""
+def short_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(sid, block): each set's shingles as the lowest three bytes of their hashes, sorted, repeats kept."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = WordHashes()
+        for batch in batches:
+            for sids, found in rounds(batch):
+                values, sizes = shingle_sets(found, words, known)
+                keep = np.flatnonzero(set_ids(values, sizes) == np.array(sids, np.int64))
+                ends, short = np.cumsum(sizes), (values & np.uint64(0xFFFFFF)).astype("<u4")
+                blocks = [np.sort(short[ends[n] - sizes[n]:ends[n]]).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for n in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.int64)[keep]), pa.array(blocks, pa.binary())], ["sid", "block"])
+
+    return texts.mapInArrow(run, "sid long, block binary").dropDuplicates(["sid"])
+
+
+def _hashes(block: bytes, short: bool) -> np.ndarray:
+    if not short:
+        return np.frombuffer(block, np.uint64)
+    wide = np.zeros((len(block) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(block, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").reshape(-1)
+
+
+def overlap_links(percent: int, short: bool):
+    """Links within one block by an index of its shingles; for ``crossing_links``.
+
+    With ``short`` hashes an overlap can only come out too large, so no link is missed, but what is found has to be confirmed.
+    """
     def links(block):
         joined = Joined()
-        sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [np.frombuffer(x, np.uint64) for x in block["block"]]
-        rights = np.flatnonzero(block["is_right"].to_numpy())
+        sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [_hashes(x, short) for x in block["block"]]
+        is_left, is_right = block["is_left"].to_numpy(), block["is_right"].to_numpy()
+        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(is_right)
         sizes = np.array([len(sets[m]) for m in rights])
         shingle = np.concatenate([sets[m] for m in rights])
         order = np.argsort(shingle, kind="stable")
         shingle, owner = shingle[order], np.repeat(np.arange(len(rights)), sizes)[order]
-        for n in np.flatnonzero(block["is_left"].to_numpy()).tolist():
+        # Where every left set is a right one too, a pair is tested by either end, so one component need not test its members.
+        mutual, others = bool(is_right[lefts].all()), {comps[m] for m in np.flatnonzero(is_right & ~is_left).tolist()}
+        main, most = None, 1
+        for n in lefts.tolist():
+            if mutual and main is not None and joined.root(comps[n]) == joined.root(main) and all(joined.root(c) == joined.root(main) for c in others):
+                continue
             low = np.searchsorted(shingle, sets[n], "left")
             many = np.searchsorted(shingle, sets[n], "right") - low
             at = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             shared = np.bincount(owner[at], minlength=len(rights))
-            for m in np.flatnonzero(100 * shared >= percent * (sizes + len(sets[n]) - shared)).tolist():
+            near = np.flatnonzero(100 * shared >= percent * (sizes + len(sets[n]) - shared)).tolist()
+            if len(near) > most:
+                main, most = comps[n], len(near)
+            for m in near:
                 one, two = joined.root(comps[n]), joined.root(comps[rights[m]])
                 if one != two:
                     joined.join(one, two)
@@ -265,6 +303,13 @@ def overlap_links(percent: int):
     return links
 
 
+def with_links(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (sid, comp) after its components are joined by ``links`` (a, b)."""
+    between = links.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
+    above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
+    return settled(state.join(above, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin: int = THIN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -281,17 +326,21 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
     chosen = plain.filter("doc_id IS NOT NULL")
     packed = packed_signatures(chosen, words, percent, thin, shards_for(total, SHARD_BYTES), frequent_shingles(measured))
     pairs = settled(centre_pairs(packed))
-    links = settled(confirmed(pairs, chosen, classes, words, percent))
-    first = settled(connected_components(links, "a", "b"))
-    state = settled(classes.select("sid").join(first.select(F.col("node").alias("sid"), "root"), "sid", "left")
-                    .select("sid", F.coalesce("root", "sid").alias("comp")))
     # All candidates of a centre, itself included.
     members = pairs.select(F.col("a").alias("key"), F.col("b").alias("sid")).unionByName(pairs.select(F.col("a").alias("key"), F.col("a").alias("sid")).distinct())
-    more = settled(crossing_links(members, state, lambda sids: full_sets(texts_of(sids, chosen, classes), words), overlap_links(percent)))
-    if not more.isEmpty():
-        between = more.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
-        above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
-        state = settled(state.join(above, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
+    state = classes.select("sid", F.col("sid").alias("comp"))
+    # A centre with more candidates than a block holds is linked with them first, so that few of them are left to compare.
+    large = settled(pairs.groupBy("a").agg(F.count("*").alias("times")).filter(F.col("times") > SIDE))
+    links = settled(confirmed(lookup_join(pairs, large, ["a"], "times", "inner", salt_on=["b"]).select("a", "b"), chosen, classes, words, percent))
+    if not links.isEmpty():
+        state = with_links(state, links)
+    found = settled(crossing_links(members, state, lambda sids: short_sets(texts_of(sids, chosen, classes), words), overlap_links(percent, True)))
+    right = settled(confirmed(found, chosen, classes, words, percent))
+    state = with_links(state, right)
+    if found.count() > right.count():
+        # Short hashes took a pair for a link that is none: what it kept apart is compared again by the whole hashes.
+        state = with_links(state, settled(crossing_links(members, state, lambda sids: full_sets(texts_of(sids, chosen, classes), words),
+                                                         overlap_links(percent, False))))
     member = classes.select("sid", "doc", "copies").join(state, "sid")
     smallest = settled(member.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets")))
     named = lookup_join(member, smallest, ["comp"], "sets", "inner", salt_on=["sid"]).select("sid", "component_id", "copies")

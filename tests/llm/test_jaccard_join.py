@@ -105,3 +105,21 @@ def test_linked_sets_share_a_signature_whatever_counts_as_frequent(frequent):
                     mine |= set(sig.tolist())
             found.append(mine)
         assert found[0] & found[1], (trial, len(one), len(two), shared)
+
+
+def test_large_groups_and_wrong_short_hashes(spark, monkeypatch):
+    """Blocks of a few sets, and short hashes so few that unlike sets look alike: the same components."""
+    rows = near_copies()
+    want = brute(rows, 4, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "SIDE", 6)
+    seen = []
+    first = jaccard_join.overlap_links
+
+    def doubtful(percent, short):
+        seen.append(short)
+        return first(percent - 25 if short else percent, short)
+
+    monkeypatch.setattr(jaccard_join, "overlap_links", doubtful)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()}
+    assert got == want and seen == [True, False]
