@@ -334,13 +334,16 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
     links = settled(confirmed(lookup_join(pairs, large, ["a"], "times", "inner", salt_on=["b"]).select("a", "b"), chosen, classes, words, percent))
     if not links.isEmpty():
         state = with_links(state, links)
-    found = settled(crossing_links(members, state, lambda sids: short_sets(texts_of(sids, chosen, classes), words), overlap_links(percent, True)))
-    right = settled(confirmed(found, chosen, classes, words, percent))
+    named, groups = crossing_links(members, state, lambda sids: short_sets(texts_of(sids, chosen, classes), words), overlap_links(percent, True))
+    named = settled(named)
+    right = settled(confirmed(named.select("a", "b").distinct(), chosen, classes, words, percent))
     state = with_links(state, right)
-    if found.count() > right.count():
-        # Short hashes took a pair for a link that is none: what it kept apart is compared again by the whole hashes.
-        state = with_links(state, settled(crossing_links(members, state, lambda sids: full_sets(texts_of(sids, chosen, classes), words),
-                                                         overlap_links(percent, False))))
+    wrong = settled(named.join(right, ["a", "b"], "left_anti").select("key").distinct())
+    if not wrong.isEmpty():
+        # Short hashes took a pair for a link that is none: the groups it stands in are compared again by the whole hashes.
+        again, _ = crossing_links(groups.join(wrong, "key", "left_semi"), state, lambda sids: full_sets(texts_of(sids, chosen, classes), words),
+                                  overlap_links(percent, False))
+        state = with_links(state, settled(again.select("a", "b")))
     member = classes.select("sid", "doc", "copies").join(state, "sid")
     smallest = settled(member.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets")))
     named = lookup_join(member, smallest, ["comp"], "sets", "inner", salt_on=["sid"]).select("sid", "component_id", "copies")

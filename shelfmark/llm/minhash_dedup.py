@@ -190,7 +190,7 @@ def crossing(members: DataFrame, state: DataFrame, docs: DataFrame, classes: Dat
                         joined.join(one, two)
                         yield sids[n], sids[m]
 
-    return crossing_links(members, state, lambda sids: payloads(texts_of(sids, docs, classes), words), links, SIDE)
+    return crossing_links(members, state, lambda sids: payloads(texts_of(sids, docs, classes), words), links, SIDE)[0].select("a", "b")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

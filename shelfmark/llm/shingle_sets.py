@@ -132,8 +132,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return rows.mapInPandas(run, "a long, b long")
 
 
-def crossing_links(members: DataFrame, state: DataFrame, carry: Callable[[DataFrame], DataFrame], links: Callable, side: int = SIDE) -> DataFrame:
-    """(a, b): links that join components which groups of candidates still hold. ``members``: key, sid; ``state``: sid, comp.
+def crossing_links(members: DataFrame, state: DataFrame, carry: Callable[[DataFrame], DataFrame], links: Callable,
+                   side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """(a, b, key): links that join components which groups of candidates still hold; and the groups (key, sid) that were compared.
+
+    ``members``: key, sid; ``state``: sid, comp.
 
     The groups with one largest component are taken together. Sets outside that component are compared with all sets, by
     ``links``, which is given a block (sid, comp, is_left, is_right and what ``carry`` adds to the sets' sid) and yields confirmed links. A
@@ -162,10 +165,10 @@ def crossing_links(members: DataFrame, state: DataFrame, carry: Callable[[DataFr
     def run(frame):
         import pandas as pd
 
-        found = [link for _, block in frame.groupby(["major", "i", "j"], sort=False) for link in links(block)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        found = [(*link, at[0]) for at, block in frame.groupby(["major", "i", "j"], sort=False) for link in links(block)]
+        return pd.DataFrame(found, columns=["a", "b", "key"]).astype("int64")
 
-    return full.groupBy("shard").applyInPandas(run, "a long, b long")
+    return full.groupBy("shard").applyInPandas(run, "a long, b long, key long"), grouped.select(F.col("major").alias("key"), "sid")
 
 
 class Joined:
