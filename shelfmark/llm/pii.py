@@ -122,7 +122,8 @@ def _person(entity: Column, key: str, attempt: Column) -> Column:
         title.rlike(rf"^({TITLES['f'].replace(' ', '|')})\.?$"), "f").otherwise("x")
     rest = F.array_join(words, " ")
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    family = _seed(key, F.concat(F.lit("family:"), F.element_at(words, -1)), attempt)
+    # A name that has to move takes another given name, so that its family stays that of the other mentions; only a lone family name moves itself.
+    family = _seed(key, F.concat(F.lit("family:"), F.element_at(words, -1)), F.when(F.size(words) > 1, F.lit(0)).otherwise(attempt))
     first = _seed(key, F.concat(F.lit("given:"), words[0]), attempt)
 
     def choose(options):
@@ -135,7 +136,10 @@ def _person(entity: Column, key: str, attempt: Column) -> Column:
         F.element_at(F.array(*map(F.lit, SYLLABLES[s].split())), _number(family, n, 16) + 1) for n in range(4)]))) for s in SYLLABLES])
     given = choose([((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, GIVEN[s][g].split())), _number(first, 0, 8) + 1))
                     for s in GIVEN for g in "mfx"])
-    return F.concat_ws(" ", title, F.when(F.size(words) > 1, given), surname)
+    # Later attempts draw given names from a space of 8 x 16^3, so one family may have any usual number of members.
+    longer = choose([(script == s, F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s].split())), _number(first, n, 16) + 1) for n in (1, 2, 3)]))
+                     for s in SYLLABLES])
+    return F.concat_ws(" ", title, F.when(F.size(words) > 1, F.when(attempt > 0, F.concat(given, longer)).otherwise(given)), surname)
 
 
 def surrogate(entity: Column, attempt: Column, key: str = KEY) -> Column:

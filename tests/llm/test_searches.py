@@ -228,3 +228,13 @@ def test_ordinal_fit_orders_grades(grade_cut):
     columns = np.zeros(len(rows), np.int64)
     weights, thresholds = toxicity.fit_ordinal(rows, columns, np.ones(len(rows)), np.zeros(600), severity, 1)
     assert weights[0] > grade_cut and thresholds[0] < thresholds[1]
+
+
+def test_one_family_name_with_many_members(spark):
+    """More members than there are given names: all stay distinct, and all mentions of the family keep one name."""
+    rows = [(n, f"Mr A{'bcdfghjklm'[n % 10]}{'aeiou'[n // 10 % 5]}{'lmnrst'[n // 50 % 6]} Lee and Mr Lee") for n in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = [r.text for r in pii.replace(docs).collect()]
+    assert len({text.split(" and ")[0] for text in texts}) == 250
+    families = {word for text in texts for word in (text.split(" and ")[0].split()[-1], text.split()[-1])}
+    assert len(families) == 1 and "Lee" not in families
