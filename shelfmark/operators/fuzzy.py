@@ -122,7 +122,7 @@ def fuzzy_title_pairs(titles: DataFrame, min_similarity: float = V.FUZZY_MIN_SIM
     ``titles``: system_key, id, normalised_title. Titles compare only inside
     one (system, first letter, length band), and only with equal number runs.
     Every bucket takes part; ``max_bucket`` leaves larger ones out where a caller asks for it.
-    Only titles that meet by ``title_meetings`` are measured.
+    Only titles that meet by ``title_meetings`` are measured, each distinct text once, however many rows have it.
     """
     rows = titles.select("system_key", "id", "normalised_title")
     if max_bucket is not None:
@@ -130,13 +130,23 @@ def fuzzy_title_pairs(titles: DataFrame, min_similarity: float = V.FUZZY_MIN_SIM
         sizes = bucketed.groupBy("system_key", "bucket").agg(F.count("*").alias("n"))
         rows = (lookup_join(bucketed, sizes, ["system_key", "bucket"], "n", "inner", salt_on=["id"])
                 .filter(F.col("n").between(2, max_bucket)).drop("n", "bucket"))
-    met = title_meetings(rows, min_similarity, hot_titles)
+    # Texts are compared, not rows: copies of a title are one row until its pairs are known. Few titles are dealt out too, as each is exploded into many pieces.
+    keys = ["system_key", "normalised_title"]
+    shared_folder(titles.sparkSession)
+    tasks = titles.sparkSession.sparkContext.defaultParallelism
+    texts = rows.select(*keys, F.lit(0).alias("id")).distinct().repartition(tasks, *keys).checkpoint()
+    met = title_meetings(texts, min_similarity, hot_titles)
     same_length = F.length("title_i") == F.length("title_p")
-    pairs = (met.filter((F.col("title_i") != F.col("title_p")) & (~same_length | (F.col("id_i") < F.col("id_p"))))
-             .select("system_key",
-                     F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"),
-                     F.when(F.col("id_i") < F.col("id_p"), F.col("title_i")).otherwise(F.col("title_p")).alias("title_a"),
-                     F.when(F.col("id_i") < F.col("id_p"), F.col("title_p")).otherwise(F.col("title_i")).alias("title_b"))
-             .distinct())
-    return (pairs.withColumn("similarity", title_similarity(F.col("title_a"), F.col("title_b")))
-            .filter(F.col("similarity") >= min_similarity))
+    # Of different lengths title_i is the shorter one; titles of one length meet both ways.
+    near = (met.filter((F.col("title_i") != F.col("title_p")) & (~same_length | (F.col("title_i") < F.col("title_p"))))
+            .select("system_key", "title_i", "title_p").distinct()
+            .withColumn("similarity", title_similarity(F.col("title_i"), F.col("title_p"))).filter(F.col("similarity") >= min_similarity))
+    # Back to ids: each pair of texts stands for all pairs of their rows.
+    members = rows.distinct()
+    ends = (near.join(members.select("system_key", F.col("normalised_title").alias("title_i"), F.col("id").alias("id_i")), ["system_key", "title_i"])
+            .join(members.select("system_key", F.col("normalised_title").alias("title_p"), F.col("id").alias("id_p")), ["system_key", "title_p"])
+            .filter(~same_length | (F.col("id_i") != F.col("id_p"))))
+    return ends.select("system_key",
+                       F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"),
+                       F.when(F.col("id_i") < F.col("id_p"), F.col("title_i")).otherwise(F.col("title_p")).alias("title_a"),
+                       F.when(F.col("id_i") < F.col("id_p"), F.col("title_p")).otherwise(F.col("title_i")).alias("title_b"), "similarity")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fuzzy_bucket, title_numbers, title_similarity
-from shelfmark.operators import curation
+from shelfmark.operators import curation, fuzzy
 from shelfmark.plans.components import connected_components
 from shelfmark.plans.skew import lookup_join
 
@@ -77,3 +77,17 @@ def test_fuzzy_examples(spark):
     frame = spark.createDataFrame([("s", n, t) for n, t in enumerate(titles)], "system_key string, id long, normalised_title string")
     pairs = curation.fuzzy_title_pairs(frame).collect()
     assert {(p.id_a, p.id_b) for p in pairs} == {(0, 1), (1, 8)} and all(p.similarity > 0.9 for p in pairs)
+
+
+def test_copies_of_a_title_are_compared_once(spark, monkeypatch):
+    titles = ["lanternofthemarsh", "lantirnofthemarsh", "lanternsofthemarsh", "ninequietharbours"]
+    frame = spark.createDataFrame([("s", 10 * copy + n, t) for copy in range(9) for n, t in enumerate(titles)],
+                                  "system_key string, id long, normalised_title string")
+    seen, meet = [], fuzzy.title_meetings
+    def counted(rows, *more):
+        seen.append(rows.count())
+        return meet(rows, *more)
+    monkeypatch.setattr(fuzzy, "title_meetings", counted)
+    pairs = [(p.id_a, p.id_b) for p in fuzzy.fuzzy_title_pairs(frame).collect()]
+    assert seen == [len(titles)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_force(frame, None) and len(pairs) >= 81
