@@ -12,7 +12,7 @@ from shelfmark.functions.text import (fold_case, game_key, is_blank,
                                       strip_blanks, strip_rank_prefix,
                                       strip_trailing_tags)
 from shelfmark.operators.fuzzy import fuzzy_title_pairs
-from shelfmark.operators.preference import elect_preferred
+from shelfmark.operators.preference import best_units, is_winner, with_old_score
 from shelfmark.plans.components import connected_components
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
 from shelfmark.session import shared_folder
@@ -139,18 +139,29 @@ def apply_merges(games: DataFrame, files: DataFrame, decisions: DataFrame,
     groups move whole.
     """
     kept_games = games.join(decisions.select("game_key"), "game_key", "left_anti")
-    touched = (decisions.select(F.col("keep_key").alias("game_key")).distinct()
-               .withColumn("__touched", F.lit(True)))
-    moved = files.join(decisions, "game_key", "left")
-    moved = (moved
-             .withColumn("file_group", F.when(F.col("keep_key").isNotNull() & F.col("file_group").isNotNull(),
-                                              F.concat_ws("@", "file_group", F.col("game_key").cast("string")))
-                         .otherwise(F.col("file_group")))
-             .withColumn("game_key", F.coalesce("keep_key", "game_key")).drop("keep_key"))
+    new_group = F.when(F.col("file_group").isNotNull(), F.concat_ws("@", "file_group", F.col("game_key").cast("string")))
+
+    def move(rows: DataFrame, is_moved) -> DataFrame:
+        return (rows.withColumn("file_group", F.when(is_moved, new_group).otherwise(F.col("file_group")))
+                .withColumn("game_key", F.coalesce("keep_key", "game_key")).drop("keep_key"))
     if not elect:
-        return kept_games, moved
-    flagged = moved.join(touched, "game_key", "left")
-    return kept_games, elect_preferred(flagged, F.col("__touched").isNotNull()).drop("__touched")
+        return kept_games, move(files.join(decisions, "game_key", "left"), F.col("keep_key").isNotNull())
+    # Where the files of every touched game go: of those that are kept, nowhere else.
+    keepers = (decisions.select(F.col("keep_key").alias("game_key")).distinct()
+               .join(decisions.select("game_key"), "game_key", "left_anti"))
+    homes = (decisions.select("game_key", "keep_key", F.lit(True).alias("__moved"))
+             .unionByName(keepers.select("game_key", F.col("game_key").alias("keep_key"), F.lit(False).alias("__moved"))))
+    # A score does not depend on the game, so it is worked out before the files of touched games travel to their pick,
+    # and all files meet once what was decided for their game.
+    scored = with_old_score(files)
+    winners = best_units(move(scored.join(homes, "game_key"), F.col("__moved"))).select(
+        F.col("game_key").alias("keep_key"), F.col("unit_key").alias("__winner"))
+    decided = homes.join(winners, "keep_key", "left")
+    touched = F.col("__moved").isNotNull()
+    joined = move(scored.join(decided, "game_key", "left"), F.col("__moved"))
+    return kept_games, (joined.withColumn("is_preferred", F.when(touched, is_winner("__winner")).otherwise(F.col("is_preferred")))
+                        .withColumn("preference_score", F.when(touched, F.col("preference_score")).otherwise(F.col("__old_score")))
+                        .drop("__old_score", "__moved", "__winner"))
 
 
 # --- title clean-up --------------------------------------------------------

@@ -10,11 +10,15 @@ from shelfmark.functions.text import fold_case
 from shelfmark.plans.skew import lookup_join
 
 
-def score_files(files: DataFrame) -> DataFrame:
-    return files.withColumn("preference_score", preference_score(
+def _score(excluded: Column, manual: Column) -> Column:
+    return preference_score(
         status=F.col("status"), catalog_status=F.col("catalog_status"), catalog_name=F.col("catalog_name"),
         file_name=F.col("file_name"), revision=F.col("revision"), extension=F.col("extension"),
-        excluded=F.col("is_excluded"), manual=F.col("is_manual")))
+        excluded=excluded, manual=manual)
+
+
+def score_files(files: DataFrame) -> DataFrame:
+    return files.withColumn("preference_score", _score(F.col("is_excluded"), F.col("is_manual")))
 
 
 def _unit_key():
@@ -36,58 +40,74 @@ def preference_units(files: DataFrame) -> DataFrame:
         F.count("*").alias("unit_files"))
 
 
-def _best_units(files: DataFrame) -> DataFrame:
-    """(game_key, unit_key, winner_files): the best eligible unit of each game.
+def best_units(scored: DataFrame) -> DataFrame:
+    """(game_key, unit_key, game_files): the best eligible unit of each game, null where none is, and the game's number of files.
 
-    One pass: the single files of a game collapse to their best one while its
-    multi-file groups are summed up, both with map-side combine. What reaches
-    the pick per game is one row per group and one for all single files, so no
-    game, however large, is ever sorted in one task.
+    ``scored``: files with their ``preference_score`` worked out. One pass: the
+    single files of a game collapse to their best one while its multi-file
+    groups are summed up, both with map-side combine. What reaches the pick per
+    game is one row per group and one for all single files, so no game, however
+    large, is ever sorted in one task.
     """
     eligible = ~F.col("is_excluded") & (F.col("status") != "Missing")
     place = F.struct(fold_case(F.col("path")).alias("folded"), F.col("path").alias("path"))
     single = F.struct((-F.col("preference_score")).alias("order"), place.alias("first"),
-                      F.concat(F.lit("F"), "file_key").alias("unit_key"), F.lit(1).cast("long").alias("unit_files"))
+                      F.concat(F.lit("F"), "file_key").alias("unit_key"))
     is_single = F.col("file_group").isNull()
-    summed = score_files(files.filter(F.col("game_key").isNotNull())).groupBy("game_key", "file_group").agg(
+    summed = scored.filter(F.col("game_key").isNotNull()).groupBy("game_key", "file_group").agg(
         F.min(F.when(is_single & eligible, single)).alias("single"),
         F.bool_and(eligible).alias("eligible"), F.max("preference_score").alias("score"),
         F.min(F.when(~is_single, place)).alias("first"), F.count("*").alias("n"))
-    group = F.struct((-F.col("score")).alias("order"), F.col("first"),
-                     F.concat(F.lit("G"), "file_group").alias("unit_key"), F.col("n").alias("unit_files"))
+    group = F.struct((-F.col("score")).alias("order"), F.col("first"), F.concat(F.lit("G"), "file_group").alias("unit_key"))
     choice = F.when(is_single, F.col("single")).when(F.col("eligible"), group)
-    return (summed.groupBy("game_key").agg(F.min(choice).alias("best")).filter("best is not null")
-            .select("game_key", F.col("best.unit_key").alias("unit_key"), F.col("best.unit_files").alias("winner_files")))
+    return (summed.groupBy("game_key").agg(F.min(choice).alias("best"), F.sum("n").alias("game_files"))
+            .select("game_key", F.col("best.unit_key").alias("unit_key"), "game_files"))
 
 
-def elect_preferred(files: DataFrame, scope: Column | None = None) -> DataFrame:
-    """Sets ``preference_score`` and ``is_preferred`` on every file that has a game.
+def is_winner(winner: str) -> Column:
+    """Whether a file belongs to the unit that the column names."""
+    return F.coalesce(F.col(winner) == _unit_key(), F.lit(False))
 
-    With ``scope`` only the rows it holds for take part; all others keep both
-    values. The winners come back by a join that spreads a hot unit.
-    """
+
+def with_old_score(files: DataFrame) -> DataFrame:
+    """Scored files that remember the score they had; what only the score reads is not carried any further."""
     old_score = F.col("preference_score") if "preference_score" in files.columns else F.lit(0)
-    taking_part = F.col("game_key").isNotNull() & (F.lit(True) if scope is None else scope)
-    rows = files.withColumn("__old_score", old_score).withColumn("__part", taking_part)
-    scored = score_files(rows).withColumn("unit_key", F.when(F.col("__part"), _unit_key()))
-    joined = lookup_join(scored, _best_units(rows.filter("__part")), ["game_key", "unit_key"], "winner_files",
-                         salt_on=["file_key"])
-    return (joined.withColumn("is_preferred", F.when(F.col("__part"), F.col("winner_files").isNotNull())
-                              .otherwise(F.col("is_preferred")))
-            .withColumn("preference_score", F.when(F.col("__part"), F.col("preference_score"))
-                        .otherwise(F.col("__old_score")))
-            .drop("__old_score", "__part", "unit_key", "winner_files"))
+    return score_files(files.withColumn("__old_score", old_score))
 
 
-def _rerun_touched(files: DataFrame) -> DataFrame:
-    """Elect again among rows flagged in ``__touched``; others keep their flags."""
-    return elect_preferred(files, F.col("__touched")).drop("__touched")
+def elect_preferred(files: DataFrame) -> DataFrame:
+    """Sets ``preference_score`` and ``is_preferred`` on every file that has a game; all others keep both values.
+
+    The winners come back by game, in a join that spreads a hot one.
+    """
+    scored = with_old_score(files)
+    winners = best_units(scored).withColumnRenamed("unit_key", "__winner")
+    joined = lookup_join(scored, winners, ["game_key"], "game_files", salt_on=["file_key"])
+    part = F.col("game_key").isNotNull()
+    return (joined.withColumn("is_preferred", F.when(part, is_winner("__winner")).otherwise(F.col("is_preferred")))
+            .withColumn("preference_score", F.when(part, F.col("preference_score")).otherwise(F.col("__old_score")))
+            .drop("__old_score", "__winner", "game_files"))
 
 
-def _flag_games(files: DataFrame, game_keys: DataFrame) -> DataFrame:
-    wanted = game_keys.select("game_key").distinct().withColumn("__touched", F.lit(True))
-    return (files.join(wanted, "game_key", "left")
-            .withColumn("__touched", F.coalesce("__touched", F.lit(False))))
+def _elect_in_games(files: DataFrame, game_keys: DataFrame, scope: Column, changes: dict[str, Column]) -> DataFrame:
+    """Where ``scope`` holds in the given games, set the columns of ``changes`` and elect again; other rows keep their values.
+
+    The score a file would have is worked out before it is known whether its game is among them, so only keys,
+    scores and flags travel: to the pick the files in scope of these games, and all files once, to what was decided for their game.
+    """
+    kept = {name: f"__kept_{name}" for name in changes}
+    rows = files.withColumns({"__scope": F.col("game_key").isNotNull() & scope, **{kept[name]: F.col(name) for name in changes}})
+    scored = with_old_score(rows.withColumns(changes))
+    wanted = game_keys.select("game_key").distinct()
+    winners = best_units(scored.filter("__scope").join(wanted, "game_key", "left_semi")).withColumnRenamed("unit_key", "__winner")
+    decided = (wanted.join(winners, "game_key", "left").withColumn("__touched", F.lit(True))
+               .withColumn("game_files", F.coalesce("game_files", F.lit(0).cast("long"))))
+    part = F.coalesce("__touched", F.lit(False)) & F.col("__scope")
+    joined = lookup_join(scored, decided, ["game_key"], "game_files", salt_on=["file_key"])
+    return (joined.withColumns({"is_preferred": F.when(part, is_winner("__winner")).otherwise(F.col("is_preferred")),
+                                "preference_score": F.when(part, F.col("preference_score")).otherwise(F.col("__old_score")),
+                                **{name: F.when(part, F.col(name)).otherwise(F.col(kept[name])) for name in changes}})
+            .drop("__scope", "__old_score", "__winner", "game_files", "__touched", *kept.values()))
 
 
 def set_copy_preference(files: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -101,19 +121,27 @@ def set_copy_preference(files: DataFrame, overrides: DataFrame) -> DataFrame:
              .join(overrides.select("file_key", "manual", "excluded"), "file_key"))
     chosen = (known.filter(F.col("game_key").isNotNull()).groupBy("game_key")
               .agg(F.max(F.when(F.col("manual"), F.col("file_key"))).alias("chosen")))
-    rows = (files.join(overrides.select("file_key", "manual", "excluded"), "file_key", "left")
-            .join(chosen.withColumn("__touched", F.lit(True)), "game_key", "left"))
+    # All scores a file may come to have, worked out before its flags are known: what only a score reads does not travel.
+    yes, no = F.lit(True), F.lit(False)
+    old_score = F.col("preference_score") if "preference_score" in files.columns else F.lit(0)
+    rows = files.withColumns({"__old_score": old_score, "__out": _score(yes, no), "__by_hand": _score(no, yes), "__plain": _score(no, no)})
     named = F.col("manual").isNotNull()
+    scored = (rows.join(overrides.select("file_key", "manual", "excluded"), "file_key", "left")
+              .withColumn("is_preferred", F.when(named & F.col("excluded"), False).otherwise(F.col("is_preferred")))
+              .withColumn("is_excluded", F.when(named, F.col("excluded")).otherwise(F.col("is_excluded")))
+              .withColumn("is_manual", F.when(named & F.col("excluded"), False).when(named, F.col("manual")).otherwise(F.col("is_manual")))
+              .drop("manual", "excluded"))
     sibling = F.col("chosen").isNotNull() & (F.col("chosen") != F.col("file_key"))
-    rows = (rows
-            .withColumn("is_excluded", F.when(named, F.col("excluded")).otherwise(F.col("is_excluded")))
-            .withColumn("is_manual", F.when(named & F.col("excluded"), False).when(sibling, False)
-                        .when(named, F.col("manual")).otherwise(F.col("is_manual")))
-            .withColumn("is_preferred", F.when(sibling | (named & F.col("excluded")), False)
-                        .otherwise(F.col("is_preferred")))
-            .withColumn("__touched", F.coalesce("__touched", F.lit(False)))
-            .drop("manual", "excluded", "chosen"))
-    return _rerun_touched(rows)
+    score = (F.when(F.col("is_excluded"), F.col("__out")).when(~sibling & F.col("is_manual"), F.col("__by_hand"))
+             .otherwise(F.col("__plain")))
+    winners = best_units(scored.join(chosen, "game_key").withColumn("preference_score", score)).withColumnRenamed("unit_key", "__winner")
+    decided = chosen.join(winners, "game_key").withColumn("__touched", F.lit(True))
+    part = F.coalesce("__touched", F.lit(False))
+    return (lookup_join(scored, decided, ["game_key"], "game_files", salt_on=["file_key"])
+            .withColumns({"is_manual": F.when(sibling, False).otherwise(F.col("is_manual")),
+                          "is_preferred": F.when(part, is_winner("__winner")).otherwise(F.col("is_preferred")),
+                          "preference_score": F.when(part, score).otherwise(F.col("__old_score"))})
+            .drop("__old_score", "__out", "__by_hand", "__plain", "chosen", "__winner", "game_files", "__touched"))
 
 
 def exclude_non_preferred(files: DataFrame, game_keys: DataFrame) -> DataFrame:
@@ -121,19 +149,13 @@ def exclude_non_preferred(files: DataFrame, game_keys: DataFrame) -> DataFrame:
 
     Missing files are left out of both steps and keep their flags.
     """
-    flagged = _flag_games(files, game_keys).withColumn(
-        "__touched", F.col("__touched") & (F.col("status") != "Missing"))
-    rows = flagged.withColumn("is_excluded", F.when(F.col("__touched") & ~F.col("is_preferred"), True)
-                              .otherwise(F.col("is_excluded")))
-    return _rerun_touched(rows)
+    excluded = F.when(~F.col("is_preferred"), True).otherwise(F.col("is_excluded"))
+    return _elect_in_games(files, game_keys, F.col("status") != "Missing", {"is_excluded": excluded})
 
 
 def clear_overrides(files: DataFrame, game_keys: DataFrame) -> DataFrame:
     """Drop manual choices and exclusions in the given games, then elect again."""
-    flagged = _flag_games(files, game_keys)
-    rows = (flagged.withColumn("is_manual", F.col("is_manual") & ~F.col("__touched"))
-            .withColumn("is_excluded", F.col("is_excluded") & ~F.col("__touched")))
-    return _rerun_touched(rows)
+    return _elect_in_games(files, game_keys, F.lit(True), {"is_manual": F.lit(False), "is_excluded": F.lit(False)})
 
 
 def set_wanted(games: DataFrame, game_keys: DataFrame, wanted: bool) -> DataFrame:

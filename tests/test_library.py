@@ -198,3 +198,37 @@ def test_csv_quotes_everything(library, spark, tmp_path):
     assert text.splitlines()[0] == '"SHA-256","System","Game Title","File Name","Full Path","Size Bytes"'
     assert '"AB","S","say ""hi"", ok","f","p' in text and text.rstrip().endswith('"3"')
     assert sinks.read_report_csv(spark, str(tmp_path / "out")).first()["Full Path"] == "p\nq"
+
+
+def _names_shuffled(frame, name):
+    """Whether a column of files is dealt out in any exchange of a plan."""
+    stack, hit = [frame._jdf.queryExecution().executedPlan().initialPlan()], False
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "Exchange":
+            hit = hit or any(node.output().apply(n).name() == name for n in range(node.output().size()))
+        stack += [node.children().apply(n) for n in range(node.children().size())]
+    return hit
+
+
+def test_what_only_a_score_reads_does_not_travel(spark):
+    """The names a score is worked out from stay where they are; in the old plans they went through each join."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.range(40).selectExpr(
+            "CAST(id AS STRING) AS file_key", "concat('/r/', id) AS path", "concat(id, ' (USA).nes') AS file_name", "'.nes' AS extension",
+            "id % 7 AS game_key", "CASE WHEN id % 3 = 0 THEN 'Disc 1' END AS file_group", "'Normal' AS status", "'Unknown' AS catalog_status",
+            "CAST(NULL AS STRING) AS catalog_name", "'' AS revision", "id % 5 = 0 AS is_preferred", "id % 4 = 0 AS is_manual",
+            "id % 6 = 0 AS is_excluded", "7 AS preference_score")
+        keys = spark.range(3).selectExpr("id AS game_key")
+        overrides = spark.range(5).selectExpr("CAST(id AS STRING) AS file_key", "id % 2 = 0 AS manual", "id % 2 = 1 AS excluded")
+        games = spark.range(7).selectExpr("id AS game_key")
+        decisions = spark.createDataFrame([(1, 0), (2, 0), (5, 4)], "game_key long, keep_key long")
+        for done in (preference.exclude_non_preferred(files, keys), preference.clear_overrides(files, keys),
+                     preference.set_copy_preference(files, overrides), curation.apply_merges(games, files, decisions)[1]):
+            flags = done.select("file_key", "game_key", "is_preferred", "is_manual", "is_excluded", "preference_score")
+            assert flags.count() == 40
+            assert not _names_shuffled(flags, "file_name") and not _names_shuffled(flags, "catalog_name")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
