@@ -131,7 +131,8 @@ def set_copy_preference(files: DataFrame, overrides: DataFrame) -> DataFrame:
               .withColumn("is_excluded", F.when(named, F.col("excluded")).otherwise(F.col("is_excluded")))
               .withColumn("is_manual", F.when(named & F.col("excluded"), False).when(named, F.col("manual")).otherwise(F.col("is_manual")))
               .drop("manual", "excluded"))
-    sibling = F.col("chosen").isNotNull() & (F.col("chosen") != F.col("file_key"))
+    # A file without a key is nobody's sibling.
+    sibling = F.coalesce(F.col("chosen") != F.col("file_key"), F.lit(False))
     score = (F.when(F.col("is_excluded"), F.col("__out")).when(~sibling & F.col("is_manual"), F.col("__by_hand"))
              .otherwise(F.col("__plain")))
     winners = best_units(scored.join(chosen, "game_key").withColumn("preference_score", score)).withColumnRenamed("unit_key", "__winner")
