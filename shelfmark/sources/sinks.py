@@ -30,19 +30,22 @@ def _report_text(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(text(name, kind), F.lit("")).alias(name) for name, kind in rows.dtypes])
 
 
-def _write_csv(rows: DataFrame, path: str) -> None:
+def _write_csv(rows: DataFrame, path: str, compression: str) -> None:
     (_report_text(rows).write.mode("errorifexists")
      .option("header", "true").option("quoteAll", "true").option("escape", '"').option("emptyValue", "")
-     .option("encoding", "UTF-8").csv(path))
+     .option("encoding", "UTF-8").option("compression", compression).csv(path))
 
 
-def write_inventory_csv(inventory: DataFrame, path: str) -> None:
-    """The 23-column report, every value quoted. Spark writes no byte-order mark."""
-    _write_csv(inventory.toDF(*INVENTORY_HEADER), path)
+def write_inventory_csv(inventory: DataFrame, path: str, compression: str = "none") -> None:
+    """The 23-column report, every value quoted. Spark writes no byte-order mark.
+
+    Large reports take a ``compression`` such as gzip; ``read_report_csv`` tells it from the files' names.
+    """
+    _write_csv(inventory.toDF(*INVENTORY_HEADER), path, compression)
 
 
-def write_duplicate_csv(report: DataFrame, path: str) -> None:
-    _write_csv(report.select("sha256", "system", "game_title", "file_name", "path", "size").toDF(*DUPLICATE_HEADER), path)
+def write_duplicate_csv(report: DataFrame, path: str, compression: str = "none") -> None:
+    _write_csv(report.select("sha256", "system", "game_title", "file_name", "path", "size").toDF(*DUPLICATE_HEADER), path, compression)
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -267,7 +267,7 @@ def j15(t: Tables):
     sha1 AS "SHA-1" FROM inventory""", {"hashes": _HASHES_SQL, "inventory": _INVENTORY_SQL}))
 def s9(t: Tables):
     path = scratch_path(t.spark, "inventory-csv")
-    sinks.write_inventory_csv(_inventory(t), path)
+    sinks.write_inventory_csv(_inventory(t), path, "gzip")
     return sinks.read_report_csv(t.spark, path)
 
 
@@ -276,7 +276,7 @@ def s9(t: Tables):
     FROM report""", {"hashes": _HASHES_SQL, "report": _DUPLICATES_SQL}))
 def s10(t: Tables):
     path = scratch_path(t.spark, "duplicate-csv")
-    sinks.write_duplicate_csv(_duplicate_report(t), path)
+    sinks.write_duplicate_csv(_duplicate_report(t), path, "gzip")
     return sinks.read_report_csv(t.spark, path)
 
 

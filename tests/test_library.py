@@ -232,3 +232,23 @@ def test_what_only_a_score_reads_does_not_travel(spark):
             assert not _names_shuffled(flags, "file_name") and not _names_shuffled(flags, "catalog_name")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_a_compressed_report_reads_back_the_same(spark, tmp_path):
+    rows = spark.range(200).select(F.lit("AB").alias("sha256"), F.lit('S "q", r').alias("system"),
+                                   F.concat(F.lit("Title "), F.col("id").cast("string")).alias("game_title"),
+                                   F.concat(F.col("id").cast("string"), F.lit(".nes")).alias("file_name"), F.lit("/r").alias("path"), F.col("id").alias("size"))
+    sinks.write_duplicate_csv(rows, str(tmp_path / "plain"))
+    sinks.write_duplicate_csv(rows, str(tmp_path / "small"), "gzip")
+    plain, small = (sorted(map(tuple, sinks.read_report_csv(spark, str(tmp_path / n)).collect())) for n in ("plain", "small"))
+    assert plain == small and len(plain) == 200
+    size = {n: sum(p.stat().st_size for p in (tmp_path / n).glob("part-*")) for n in ("plain", "small")}
+    assert size["small"] < size["plain"] / 2 and all(p.suffix == ".gz" for p in (tmp_path / "small").glob("part-*"))
+
+
+def test_a_manual_file_without_a_key_keeps_its_score(spark, library):
+    files, _ = library([dict(path="/r/a.nes"), dict(path="/r/b.nes", is_manual=True)])
+    files = files.withColumn("file_key", F.when(F.col("path") == "/r/a.nes", F.col("file_key")))
+    overrides = spark.createDataFrame([("/R/A.NES", True, False)], "file_key string, manual boolean, excluded boolean")
+    rows = {r.path: r for r in preference.set_copy_preference(files, overrides).collect()}
+    assert rows["/r/b.nes"].is_manual and rows["/r/a.nes"].preference_score == rows["/r/b.nes"].preference_score
