@@ -125,3 +125,22 @@ def test_duplicates_follow_the_runs(spark, tmp_path):
         changes = {r.file_key: r.status for r in duplicate_counts.follow_run(state, run, table(gained), table(lost), table(present)).collect()}
         status = {k: changes.get(k, status.get(k)) for k in present}
         assert status == whole(present)
+
+
+def test_rows_that_no_change_names_stay_where_they_are(spark, tmp_path):
+    rows = spark.range(0, 3000).selectExpr("CASE WHEN id < 2 THEN NULL WHEN id < 4 THEN 'twice' ELSE CAST(id AS STRING) END AS file_key", "id AS size")
+    state = create_state(rows, str(tmp_path / "state"), "file_key", 4)
+    named = spark.createDataFrame([("7",), ("twice",), (None,)], "file_key string")
+    clear, may = state._parted(state.read(0), named)
+    assert {r.file_key for r in may.collect()} >= {"7", "twice"} and may.count() < 30 and clear.count() + may.count() == 3000
+    assert not {r.file_key for r in clear.collect()} & {"7", "twice"}
+    # Rows without a key are never replaced, nor are changed rows merged; a key in both tables is replaced.
+    changed = spark.createDataFrame([("7", 70), ("7", 71), (None, 5)], "file_key string, size long")
+    state.merge(0, changed, named)
+    got = sorted((r.file_key or "", r.size) for r in state.read(1).collect())
+    assert got == sorted([("", 0), ("", 1), ("", 5), ("7", 70), ("7", 71)] + [(str(n), n) for n in range(4, 3000) if n != 7])
+    # So it is where most rows are named and all are dealt anew.
+    most = spark.range(4, 2500).selectExpr("CAST(id AS STRING) AS file_key")
+    state.merge(1, changed, most)
+    got = sorted((r.file_key or "", r.size) for r in state.read(2).collect())
+    assert got == sorted([("", 0), ("", 1), ("", 5), ("", 5), ("7", 70), ("7", 71)] + [(str(n), n) for n in range(2500, 3000)])
