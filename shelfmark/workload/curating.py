@@ -388,11 +388,13 @@ def u4_counts(t: Tables):
     files = t.files.select("file_key", F.expr(_CONTENT).alias("sha256"), (F.col("modified") >= F.lit("1998-06-01").cast("timestamp_ntz")).alias("late"),
                            (F.col("status") == "Duplicate").alias("returned"))
     first, gained, lost = files.filter("NOT late"), files.filter("late"), files.filter("NOT late AND returned")
-    state = duplicate_counts.start_counts(first, scratch_path(t.spark, "counts"), 16)
-    before = lookup_join(first.select("file_key", "sha256"), duplicate_counts.count_copies(first), ["sha256"], "copies", "inner").select(
+    path = scratch_path(t.spark, "counts")
+    counts = duplicate_counts.count_copies(first).checkpoint()
+    state = duplicate_counts.start_counts(first, path, 16, counts)
+    before = lookup_join(first.select("file_key", "sha256"), counts, ["sha256"], "copies", "inner").select(
         "file_key", F.when(F.col("copies") > 1, "Duplicate").otherwise("Normal").alias("status"))
     present = files.filter("late OR NOT returned")
-    changed = duplicate_counts.follow_run(state, 0, gained, lost, present)
+    changed = duplicate_counts.follow_run(state, 0, gained, lost, present, flag="late")
     kept = present.select("file_key").join(before, "file_key", "left").join(changed.withColumnRenamed("status", "new"), "file_key", "left")
     return kept.select("file_key", F.coalesce("new", "status").alias("status"))
 

@@ -144,3 +144,17 @@ def test_rows_that_no_change_names_stay_where_they_are(spark, tmp_path):
     state.merge(1, changed, most)
     got = sorted((r.file_key or "", r.size) for r in state.read(2).collect())
     assert got == sorted([("", 0), ("", 1), ("", 5), ("", 5), ("7", 70), ("7", 71)] + [(str(n), n) for n in range(2500, 3000)])
+
+
+def test_files_meet_the_changes_once_where_they_tell_which_are_gained(spark, tmp_path):
+    rows = [("a", "s", False), ("b", "s", True), ("c", "t", False), ("c", "t", False), ("d", "u", True), ("e", None, True), (None, "v", True), ("f", "w", None)]
+    present = spark.createDataFrame(rows, "file_key string, sha256 string, late boolean")
+    first, gained = present.filter("NOT late"), present.filter("late")
+    gone = spark.createDataFrame([("x", "t")], "file_key string, sha256 string")
+    path = str(tmp_path / "state")
+    one = duplicate_counts.start_counts(first.unionByName(gone, allowMissingColumns=True), path, 4)
+    want = sorted(map(tuple, duplicate_counts.follow_run(one, 0, gained, gone, present).collect()), key=str)
+    assert want == sorted(map(tuple, duplicate_counts.follow_run(one, 0, gained, gone, present, flag="late").collect()), key=str) and len(want) == 4
+    counts = duplicate_counts.count_copies(first)
+    two = duplicate_counts.start_counts(first, str(tmp_path / "two"), 4, counts)
+    assert sorted(map(tuple, two.read(0).collect())) == sorted(map(tuple, counts.collect()))
