@@ -12,7 +12,7 @@ tokens or inside a quoted text, at some depth of open blocks:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,8 +22,8 @@ from shelfmark.functions.text import base_name
 from shelfmark.plans.skew import lookup_join
 from shelfmark.session import scratch_path
 
-#: Characters of a chunk, about.
-CHUNK = 1 << 20
+#: Characters of a chunk, about; records and fields of games that a task hands on at a time, at least.
+CHUNK, ROWS = 1 << 20, 10_000
 #: A quoted text (with \" for a quote) and its end, a bracket, or a bare word; the rest of a quoted text.
 TOKEN = re.compile(r'"((?:\\"|[^"])*)("|\Z)|([()])|([^\s()"][^\s()]*)')
 REST_OF_QUOTE = re.compile(r'((?:\\"|[^"])*)("|\Z)')
@@ -75,13 +75,13 @@ def tokens(text: str, quoted: bool) -> Iterator[tuple[str, str, int, bool]]:
             yield "text", value, found.end(), not end
 
 
-def walk(text: str, quoted: bool, depth: int) -> tuple[bool, int, int, int]:
-    """(ends inside a quoted text, depth at the end, games opened, lowest depth) of a chunk that begins in a given state.
+def walk(found: Iterable[tuple[str, str, int, bool]], depth: int) -> tuple[bool, int, int, int]:
+    """(ends inside a quoted text, depth at the end, games opened, lowest depth) of a chunk's ``tokens`` that begin at a given depth.
 
     A block opens behind a word, outside of blocks only behind the word of a game.
     """
     word, opened, lowest, inside = None, 0, depth, False
-    for kind, value, _, inside in tokens(text, quoted):
+    for kind, value, _, inside in found:
         before, word = word, None
         if kind == "(":
             if before is not None and (depth or before in GAMES):
@@ -99,13 +99,13 @@ def walk(text: str, quoted: bool, depth: int) -> tuple[bool, int, int, int]:
 def reports(text: str) -> list[tuple[bool, int, bool, int, int]]:
     """(quoted, depth, quoted at the end, depth at the end, games opened) for start depths from 0 up to the first from which 0 is not reached.
 
-    All deeper starts behave like the last one, shifted.
+    All deeper starts behave like the last one, shifted. The tokens do not depend on the depth, so each text is cut twice only.
     """
     out = []
     for quoted in (False, True):
-        depth = 0
+        found, depth = list(tokens(text, quoted)), 0
         while True:
-            inside, end, opened, lowest = walk(text, quoted, depth)
+            inside, end, opened, lowest = walk(found, depth)
             out.append((quoted, depth, inside, end, opened))
             if depth and lowest:
                 break
@@ -240,10 +240,14 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["source_file", "block", "number", "game", "at", "kind", *FIELDS, "description"]
         for batch in batches:
+            rows = []
             for source, block, number, text, depth, games in batch.itertuples(index=False):
-                rows = [(source, block, number, games + opened, at, kind, *[fields.get(name) for name in (*FIELDS, "description")])
-                        for at, (opened, kind, fields) in enumerate(events(text, depth))]
-                yield pd.DataFrame(rows, columns=columns)
+                rows += [(source, block, number, games + opened, at, kind, *[fields.get(name) for name in (*FIELDS, "description")])
+                         for at, (opened, kind, fields) in enumerate(events(text, depth))]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     kinds = ", ".join(f"{name} string" for name in (*FIELDS, "description"))
     found = whole.select("source_file", "home.block", "home.number", "text", "depth", "games").mapInPandas(
@@ -270,4 +274,4 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
 def _depth_at(text: str, quoted: bool, depth: int) -> int:
     """The depth behind the beginning of a chunk that ends at its split point."""
-    return walk(text, quoted, depth)[1]
+    return walk(tokens(text, quoted), depth)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fuzzy_bucket, title_numbers, title_similarity
 from shelfmark.operators import aliases, duplicate_counts, fuzzy, paging, views
-from shelfmark.sources import catalogs
+from shelfmark.sources import catalog_chunks, catalogs
 from shelfmark.sources.state import create_state
 
 
@@ -158,3 +158,14 @@ def test_files_meet_the_changes_once_where_they_tell_which_are_gained(spark, tmp
     counts = duplicate_counts.count_copies(first)
     two = duplicate_counts.start_counts(first, str(tmp_path / "two"), 4, counts)
     assert sorted(map(tuple, two.read(0).collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_a_chunk_is_cut_into_tokens_once_for_each_way_to_begin(monkeypatch):
+    cut, calls = catalog_chunks.tokens, []
+    monkeypatch.setattr(catalog_chunks, "tokens", lambda text, quoted: calls.append(quoted) or cut(text, quoted))
+    text = 'a ( b ( c "x)" ) ) ) ) game ( rom ( name "y'
+    found = catalog_chunks.reports(text)
+    assert calls == [False, True] and len(found) > 4
+    for quoted, depth, *end in found:
+        inside, at, opened, _ = catalog_chunks.walk(cut(text, quoted), depth)
+        assert end == [inside, at, opened]
