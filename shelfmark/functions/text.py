@@ -59,11 +59,12 @@ def normalise_extension(extension: Column) -> Column:
 
 
 def parent_of(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*\z", "")
+    """What stands before the last slash; a path without one as it is."""
+    return F.when(F.contains(path, F.lit("/")), F.left(path, F.length(path) - F.length(base_name(path)) - 1)).otherwise(path)
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)\z", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def name_stem(name: Column) -> Column:

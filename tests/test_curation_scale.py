@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import fuzzy_bucket, title_numbers, title_similarity
+from shelfmark.functions.text import base_name, fuzzy_bucket, parent_of, title_numbers, title_similarity
 from shelfmark.operators import aliases, duplicate_counts, fuzzy, paging, views
 from shelfmark.sources import catalog_chunks, catalogs
 from shelfmark.sources.state import create_state
@@ -169,3 +169,10 @@ def test_a_chunk_is_cut_into_tokens_once_for_each_way_to_begin(monkeypatch):
     for quoted, depth, *end in found:
         inside, at, opened, _ = catalog_chunks.walk(cut(text, quoted), depth)
         assert end == [inside, at, opened]
+
+
+def test_places_in_a_path_are_found_without_patterns(spark, texts):
+    paths = ["/a/b/c.bin", "/a", "a", "", "/", "a/", "//", "é/ü\n/x", None]
+    assert texts(paths, parent_of) == ["/a/b", "", "a", "", "", "a", "/", "é/ü\n", None]
+    assert texts(paths, base_name) == ["c.bin", "a", "a", "", "", "", "", "x", None]
+    assert "regexp" not in str(parent_of(F.col("x"))) + str(base_name(F.col("x")))
