@@ -14,16 +14,17 @@ which finds that segment at a difference of one. Whether a subset is left out de
 that is equal in both sets shifts the same unit of difference to the same next segment in both, and the
 pigeonhole count, and with it exactness, holds whatever was counted.
 
-Each bucket names its members to one centre, and the candidates of a centre are compared in blocks: an index of the block's
-shingles gives all overlaps at once. Sets travel as three bytes of each hash, by which an overlap can only come out too
-large, and only pairs that join components leave the block; these are confirmed on the whole hashes, and should one fail, its blocks are
-compared again by those. A centre with more candidates than a block holds is linked with them first. So every candidate pair
-is either verified or already in one component, and no link between different sets is lost.
+Each bucket names its members to one centre, and the candidates of a centre are compared in blocks. There a set is a bitmap of a few bits for
+each shingle, which says whether an odd number of its shingles fall on a bit: a shingle that only one of two sets has turns one bit, so
+the bits in which two sets differ are never more than their symmetric difference, and no link is missed. Only pairs that join components leave the
+block; these are confirmed on the whole hashes, and where one fails, its groups are compared again by an index of three bytes
+of each hash, by which an overlap can only come out too large; should one fail even then, by the whole hashes. A centre with more candidates than
+a block holds is linked with them first. So every candidate pair is either verified or already in one component, and no link between different sets is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +44,8 @@ THIN = 1
 SEEN, LIST, FREQUENT = 3, 12, 200_000
 #: Bytes of text for each shard of signatures; entries a task packs at a time; sets a task remembers.
 SHARD_BYTES, ENTRIES, REMEMBERED = 16 << 20, 500_000, 500_000
+#: Bits of a bitmap for each shingle, at least.
+SPARSE = 2
 _ENTRY = 17
 
 
@@ -242,6 +245,38 @@ def centre_pairs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
 
+def parity_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(sid, block): a bitmap of each set, at least ``SPARSE`` bits (a power of two) for a shingle; a bit is set where an odd number of shingles fall on it."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = WordHashes()
+        for batch in batches:
+            for sids, found in rounds(batch):
+                values, sizes = shingle_sets(found, words, known)
+                keep = np.flatnonzero(set_ids(values, sizes) == np.array(sids, np.int64))
+                ends = np.cumsum(sizes)
+                blocks = [parities(values[ends[n] - sizes[n]:ends[n]]).tobytes() for n in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.int64)[keep]), pa.array(sizes[keep]), pa.array(blocks, pa.binary())], ["sid", "n", "block"])
+
+    return texts.mapInArrow(run, "sid long, n long, block binary").dropDuplicates(["sid"])
+
+
+def parities(values: np.ndarray) -> np.ndarray:
+    """The bitmap of one set as 64-bit words."""
+    bits = 1 << max(6, (SPARSE * len(values) - 1).bit_length())
+    odd = (np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one a row) as they would be with fewer bits."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
 def short_sets(texts: DataFrame, words: int) -> DataFrame:
     """(sid, block): each set's shingles as the lowest three bytes of their hashes, sorted, repeats kept."""
     def run(batches: Iterator) -> Iterator:
@@ -267,38 +302,80 @@ def _hashes(block: bytes, short: bool) -> np.ndarray:
     return wide.view("<u4").reshape(-1)
 
 
+def joining(block, near: Callable[[int], list[int]], rights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that join components of a block; ``near`` gives the places in ``rights`` of the sets that are linked with a left one."""
+    joined = Joined()
+    sids, comps = block["sid"].tolist(), block["comp"].tolist()
+    is_left, is_right = block["is_left"].to_numpy(), block["is_right"].to_numpy()
+    lefts = np.flatnonzero(is_left)
+    # Where every left set is a right one too, a pair is tested by either end, so one component need not test its members.
+    mutual, others = bool(is_right[lefts].all()), {comps[m] for m in np.flatnonzero(is_right & ~is_left).tolist()}
+    main, most = None, 1
+    for n in lefts.tolist():
+        if mutual and main is not None and joined.root(comps[n]) == joined.root(main) and all(joined.root(c) == joined.root(main) for c in others):
+            continue
+        found = near(n)
+        if len(found) > most:
+            main, most = comps[n], len(found)
+        for m in found:
+            one, two = joined.root(comps[n]), joined.root(comps[rights[m]])
+            if one != two:
+                joined.join(one, two)
+                yield sids[n], sids[rights[m]]
+
+
+def parity_links(percent: int):
+    """Links within one block by the bitmaps of ``parity_sets``, to be confirmed; for ``crossing_links``."""
+    def links(block):
+        bitmaps, sizes = [np.frombuffer(x, np.uint64) for x in block["block"]], block["n"].to_numpy()
+        rights = np.flatnonzero(block["is_right"].to_numpy())
+        lengths = np.array([len(bitmaps[m]) for m in rights])
+        # Bitmaps of one length together, and how they look with fewer bits, made when first asked for.
+        places = {int(words): np.flatnonzero(lengths == words) for words in np.unique(lengths)}
+        whole = {words: np.stack([bitmaps[rights[m]] for m in at]) for words, at in places.items()}
+        shorter = {}
+
+        def near(n):
+            out = []
+            for words, at in places.items():
+                size = sizes[rights[at]]
+                # As alike in size as a link has to be.
+                alike = 100 * np.minimum(size, sizes[n]) >= percent * np.maximum(size, sizes[n])
+                if not alike.any():
+                    continue
+                width = min(words, len(bitmaps[n]))
+                if (words, width) not in shorter:
+                    shorter[words, width] = folded(whole[words], width)
+                apart = np.bitwise_count(shorter[words, width] ^ folded(bitmaps[n][None], width)).sum(axis=1, dtype=np.int64)
+                out.append(at[alike & ((100 + percent) * apart <= (100 - percent) * (size + sizes[n]))])
+            return np.concatenate(out).tolist() if out else []
+
+        yield from joining(block, near, rights)
+
+    return links
+
+
 def overlap_links(percent: int, short: bool):
     """Links within one block by an index of its shingles; for ``crossing_links``.
 
     With ``short`` hashes an overlap can only come out too large, so no link is missed, but what is found has to be confirmed.
     """
     def links(block):
-        joined = Joined()
-        sids, comps, sets = block["sid"].tolist(), block["comp"].tolist(), [_hashes(x, short) for x in block["block"]]
-        is_left, is_right = block["is_left"].to_numpy(), block["is_right"].to_numpy()
-        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        sets = [_hashes(x, short) for x in block["block"]]
+        rights = np.flatnonzero(block["is_right"].to_numpy())
         sizes = np.array([len(sets[m]) for m in rights])
         shingle = np.concatenate([sets[m] for m in rights])
         order = np.argsort(shingle, kind="stable")
         shingle, owner = shingle[order], np.repeat(np.arange(len(rights)), sizes)[order]
-        # Where every left set is a right one too, a pair is tested by either end, so one component need not test its members.
-        mutual, others = bool(is_right[lefts].all()), {comps[m] for m in np.flatnonzero(is_right & ~is_left).tolist()}
-        main, most = None, 1
-        for n in lefts.tolist():
-            if mutual and main is not None and joined.root(comps[n]) == joined.root(main) and all(joined.root(c) == joined.root(main) for c in others):
-                continue
+
+        def near(n):
             low = np.searchsorted(shingle, sets[n], "left")
             many = np.searchsorted(shingle, sets[n], "right") - low
             at = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             shared = np.bincount(owner[at], minlength=len(rights))
-            near = np.flatnonzero(100 * shared >= percent * (sizes + len(sets[n]) - shared)).tolist()
-            if len(near) > most:
-                main, most = comps[n], len(near)
-            for m in near:
-                one, two = joined.root(comps[n]), joined.root(comps[rights[m]])
-                if one != two:
-                    joined.join(one, two)
-                    yield sids[n], sids[rights[m]]
+            return np.flatnonzero(100 * shared >= percent * (sizes + len(sets[n]) - shared)).tolist()
+
+        yield from joining(block, near, rights)
 
     return links
 
@@ -334,16 +411,20 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
     links = settled(confirmed(lookup_join(pairs, large, ["a"], "times", "inner", salt_on=["b"]).select("a", "b"), chosen, classes, words, percent))
     if not links.isEmpty():
         state = with_links(state, links)
-    named, groups = crossing_links(members, state, lambda sids: short_sets(texts_of(sids, chosen, classes), words), overlap_links(percent, True))
-    named = settled(named)
-    right = settled(confirmed(named.select("a", "b").distinct(), chosen, classes, words, percent))
-    state = with_links(state, right)
-    wrong = settled(named.join(right, ["a", "b"], "left_anti").select("key").distinct())
-    if not wrong.isEmpty():
-        # Short hashes took a pair for a link that is none: the groups it stands in are compared again by the whole hashes.
-        again, _ = crossing_links(groups.join(wrong, "key", "left_semi"), state, lambda sids: full_sets(texts_of(sids, chosen, classes), words),
-                                  overlap_links(percent, False))
-        state = with_links(state, settled(again.select("a", "b")))
+    # Where bitmaps, or short hashes, took a pair for a link that is none, the groups it stands in are compared again, at last by the whole hashes.
+    for carried, linked, sure in ((parity_sets, parity_links(percent), False), (short_sets, overlap_links(percent, True), False),
+                                  (full_sets, overlap_links(percent, False), True)):
+        named, groups = crossing_links(members, state, lambda sids, carried=carried: carried(texts_of(sids, chosen, classes), words), linked)
+        named = settled(named)
+        if sure:
+            state = with_links(state, named.select("a", "b"))
+            break
+        right = settled(confirmed(named.select("a", "b").distinct(), chosen, classes, words, percent))
+        state = with_links(state, right)
+        wrong = settled(named.join(right, ["a", "b"], "left_anti").select("key").distinct())
+        if wrong.isEmpty():
+            break
+        members = groups.join(wrong, "key", "left_semi")
     member = classes.select("sid", "doc", "copies").join(state, "sid")
     smallest = settled(member.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets")))
     named = lookup_join(member, smallest, ["comp"], "sets", "inner", salt_on=["sid"]).select("sid", "component_id", "copies")

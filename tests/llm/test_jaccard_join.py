@@ -123,3 +123,43 @@ def test_large_groups_and_wrong_short_hashes(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "overlap_links", doubtful)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()}
     assert got == want and seen == [True, False]
+
+
+def test_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        size = int(rng.integers(1, 300))
+        one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        two = np.unique(np.concatenate([one[int(rng.integers(0, len(one) + 1)):], rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64)]))
+        a, b = jaccard_join.parities(one)[None], jaccard_join.parities(two)[None]
+        words = min(a.shape[1], b.shape[1])
+        assert 64 * a.shape[1] >= jaccard_join.SPARSE * len(one)
+        assert np.bitwise_count(jaccard_join.folded(a, words) ^ jaccard_join.folded(b, words)).sum() <= len(np.setxor1d(one, two))
+
+
+def test_sets_travel_as_bitmaps_of_less_than_a_byte_for_each_shingle(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first, sent = jaccard_join.crossing_links, []
+
+    def seen(members, state, carry, links, *more):
+        def weighed(sids):
+            carried = carry(sids)
+            sent.append(carried.selectExpr("sum(octet_length(block)) AS bytes").first().bytes)
+            return carried
+        return first(members, state, weighed, links, *more)
+
+    monkeypatch.setattr(jaccard_join, "crossing_links", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs, 5, 80).collect()}
+    want = brute(rows, 5, 80)
+    shingles = sum(brute([(0, text)], 5, 80)[0][0] for text in {text for _, text in rows})
+    assert got == want and sent[0] < shingles
+
+
+def test_pairs_that_only_bitmaps_take_for_links_are_compared_again(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = jaccard_join.parity_links
+    monkeypatch.setattr(jaccard_join, "parity_links", lambda percent: first(percent - 25))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()}
+    assert got == brute(rows, 4, 85)
