@@ -17,7 +17,7 @@ pigeonhole count, and with it exactness, holds whatever was counted.
 Each bucket names its members to one centre, and the candidates of a centre are compared in blocks. There a set is a bitmap of a few bits for
 each shingle, which says whether an odd number of its shingles fall on a bit: a shingle that only one of two sets has turns one bit, so
 the bits in which two sets differ are never more than their symmetric difference, and no link is missed. Only pairs that join components leave the
-block; these are confirmed on the whole hashes, and where one fails, its groups are compared again by an index of three bytes
+block; these are confirmed on the whole hashes, and where one fails, the sets that it joined in its group are compared again by an index of three bytes
 of each hash, by which an overlap can only come out too large; should one fail even then, by the whole hashes. A centre with more candidates than
 a block holds is linked with them first. So every candidate pair is either verified or already in one component, and no link between different sets is lost.
 """
@@ -45,7 +45,7 @@ SEEN, LIST, FREQUENT = 3, 12, 200_000
 #: Bytes of text for each shard of signatures; entries a task packs at a time; sets a task remembers.
 SHARD_BYTES, ENTRIES, REMEMBERED = 16 << 20, 500_000, 500_000
 #: Bits of a bitmap for each shingle, at least.
-SPARSE = 2
+SPARSE = 4
 _ENTRY = 17
 
 
@@ -387,6 +387,23 @@ def with_links(state: DataFrame, links: DataFrame) -> DataFrame:
     return settled(state.join(above, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
 
 
+def misled(groups: DataFrame, state: DataFrame, named: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(key, sid): what ``groups`` have to compare again, after some of the links ``named`` in them turned out ``wrong``.
+
+    Within a group every pair that looked like a link lies in one component of the group's named links, so only
+    the components with a wrong link can hide a right one; each is a group of its own.
+    """
+    ends = (named.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b")
+            .select("key", "a", "b", F.xxhash64("key", "comp_a").alias("one"), F.xxhash64("key", "comp_b").alias("two")))
+    ends = settled(ends)
+    placed = settled(connected_components(ends, "one", "two"))
+    doubtful = (ends.join(wrong, ["key", "a", "b"], "left_semi").select(F.col("one").alias("node")).distinct()
+                .join(placed, "node").select("root").distinct())
+    again = placed.join(doubtful, "root", "left_semi")
+    return (groups.join(state, "sid").select("sid", F.xxhash64("key", "comp").alias("node")).join(again, "node")
+            .select(F.col("root").alias("key"), "sid").distinct())
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin: int = THIN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -411,7 +428,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
     links = settled(confirmed(lookup_join(pairs, large, ["a"], "times", "inner", salt_on=["b"]).select("a", "b"), chosen, classes, words, percent))
     if not links.isEmpty():
         state = with_links(state, links)
-    # Where bitmaps, or short hashes, took a pair for a link that is none, the groups it stands in are compared again, at last by the whole hashes.
+    # Where bitmaps, or short hashes, took a pair for a link that is none, the sets it joined are compared again, at last by the whole hashes.
     for carried, linked, sure in ((parity_sets, parity_links(percent), False), (short_sets, overlap_links(percent, True), False),
                                   (full_sets, overlap_links(percent, False), True)):
         named, groups = crossing_links(members, state, lambda sids, carried=carried: carried(texts_of(sids, chosen, classes), words), linked)
@@ -420,11 +437,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, thin
             state = with_links(state, named.select("a", "b"))
             break
         right = settled(confirmed(named.select("a", "b").distinct(), chosen, classes, words, percent))
+        wrong = settled(named.join(right, ["a", "b"], "left_anti"))
+        if not wrong.isEmpty():
+            members = settled(misled(groups, state, named, wrong))
         state = with_links(state, right)
-        wrong = settled(named.join(right, ["a", "b"], "left_anti").select("key").distinct())
         if wrong.isEmpty():
             break
-        members = groups.join(wrong, "key", "left_semi")
     member = classes.select("sid", "doc", "copies").join(state, "sid")
     smallest = settled(member.groupBy("comp").agg(F.min("doc").alias("component_id"), F.count("*").alias("sets")))
     named = lookup_join(member, smallest, ["comp"], "sets", "inner", salt_on=["sid"]).select("sid", "component_id", "copies")

@@ -163,3 +163,13 @@ def test_pairs_that_only_bitmaps_take_for_links_are_compared_again(spark, monkey
     monkeypatch.setattr(jaccard_join, "parity_links", lambda percent: first(percent - 25))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()}
     assert got == brute(rows, 4, 85)
+
+
+def test_only_sets_that_a_wrong_link_joined_are_compared_again(spark):
+    groups = spark.createDataFrame([(7, sid) for sid in range(1, 8)] + [(8, 1), (8, 4), (8, 5)], "key long, sid long")
+    # Sets 2 and 3 are one component already.
+    state = spark.createDataFrame([(sid, 2 if sid == 3 else sid) for sid in range(1, 8)], "sid long, comp long")
+    named = spark.createDataFrame([(1, 2, 7), (4, 5, 7), (5, 6, 7), (4, 5, 8)], "a long, b long, key long")
+    wrong = named.filter("a = 1")
+    got = jaccard_join.misled(groups, state, named, wrong).collect()
+    assert sorted(r.sid for r in got) == [1, 2, 3] and len({r.key for r in got}) == 1
