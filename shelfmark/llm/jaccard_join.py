@@ -382,7 +382,7 @@ def overlap_links(percent: int, short: bool):
 
 def with_links(state: DataFrame, links: DataFrame) -> DataFrame:
     """``state`` (sid, comp) after its components are joined by ``links`` (a, b)."""
-    between = links.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b")
+    between = settled(links.join(state.toDF("a", "comp_a"), "a").join(state.toDF("b", "comp_b"), "b").filter("comp_a <> comp_b").select("comp_a", "comp_b").distinct())
     above = connected_components(between, "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
     return settled(state.join(above, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
 

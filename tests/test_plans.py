@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fuzzy_bucket, title_numbers, title_similarity
 from shelfmark.operators import curation, fuzzy
+from shelfmark.plans import components
 from shelfmark.plans.components import connected_components
 from shelfmark.plans.skew import lookup_join
 
@@ -30,6 +31,25 @@ def test_components_of_chain_cycle_star_and_self_pair(spark):
     assert {roots[n] for n in range(1000, 1040)} == {1000}
 
 
+def test_few_edges_are_joined_without_shuffles(spark, monkeypatch, capsys):
+    pairs = [(n, n + 1) for n in range(100, 130)] + [(1, 2), (2, 3), (3, 1), (5, 5)]
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    plans, checkpoint = [], type(frame).checkpoint
+
+    def seen(rows, *more):
+        capsys.readouterr()
+        rows.explain()
+        plans.append(capsys.readouterr().out)
+        return checkpoint(rows, *more)
+
+    monkeypatch.setattr(type(frame), "checkpoint", seen)
+    few = {tuple(row) for row in connected_components(frame, "a", "b").collect()}
+    # The first plan reads the pairs, the others are the rounds.
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in plan for plan in plans[1:])
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few == {tuple(row) for row in connected_components(frame, "a", "b").collect()}
+
+
 def brute_force(titles, max_bucket):
     a, b = titles.alias("a"), titles.alias("b")
     bucket = lambda side: fuzzy_bucket(F.col(f"{side}.normalised_title"))
