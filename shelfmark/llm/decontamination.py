@@ -33,8 +33,8 @@ LEAST_WORDS, SHARE = 13, 0.8
 SHORTEST_ITEM = 3
 LARGEST_BITMAP = 27
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’–—…¿¡·"
-#: Bytes of text in one round of array work.
-ROUND = 4 << 20
+#: Bytes of text in one round of array work; words a task remembers. A round's arrays take some 20 times its bytes.
+ROUND, REMEMBERED = 1 << 19, 100_000
 
 
 class WordHashes(dict):
@@ -43,7 +43,7 @@ class WordHashes(dict):
     def __missing__(self, chunk):
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         word = chunk.strip(SIGNS).lower()
         value = self[chunk] = (xxhash.xxh64_intdigest(word) or 1) if word else 0

@@ -43,7 +43,7 @@ THIN = 1
 #: Sets with a shingle from which on it counts as frequent, in a round of one task and in all; frequent shingles that are told to the tasks (8 bytes each).
 SEEN, LIST, FREQUENT = 3, 12, 200_000
 #: Bytes of text for each shard of signatures; entries a task packs at a time; sets a task remembers.
-SHARD_BYTES, ENTRIES, REMEMBERED = 16 << 20, 500_000, 500_000
+SHARD_BYTES, ENTRIES, REMEMBERED = 8 << 20, 250_000, 500_000
 #: Bits of a bitmap for each shingle, at least.
 SPARSE = 4
 _ENTRY = 17

@@ -12,7 +12,7 @@ from shelfmark.llm.common import settled, stored
 from shelfmark.plans.skew import broadcast_if_small, lookup_join
 
 #: Words in one round of array work; members on each side of a block of comparisons; rows in a shard of blocks.
-ROUND, SIDE, SHARD = 1 << 18, 4096, 20_000
+ROUND, SIDE, SHARD = 1 << 18, 4096, 8_000
 #: Rows of (doc_id, set) that may be broadcast (16 bytes each); pairs of one set that meet in one group.
 INVOLVED, SALT = 1_000_000, 2000
 

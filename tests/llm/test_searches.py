@@ -40,6 +40,37 @@ def test_decontamination_finds_replaced_words_and_leaves_others(spark):
     assert not decontamination.mark(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_a_task_holds_little_of_a_batch_in_arrays(monkeypatch):
+    """Hits of one batch of 4 MB: the same in rounds of any size, and arrays of far less than the batch takes as a whole."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    taken = []
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda bitmap: SimpleNamespace(value=bitmap))),
+                           mapInArrow=lambda run, schema: taken.append(run))
+    docs.filter = lambda condition: docs
+    rng = np.random.default_rng(9)
+    words = np.array([f"word{n}" for n in range(5000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 350)]) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    bitmap = rng.integers(0, 256, 1 << 17, dtype=np.uint8) & rng.integers(0, 256, 1 << 17, dtype=np.uint8) & 17
+
+    def hits():
+        decontamination.document_hits(docs, bitmap, decontamination.MASKS)
+        return pa.Table.from_batches(taken[-1](iter([batch]))).to_pandas().sort_values(["doc_id", "pos", "seed"]).to_numpy()
+
+    small = hits()
+    tracemalloc.start()
+    for _ in taken[-1](iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(decontamination, "ROUND", 4 << 20)
+    assert len(small) and np.array_equal(small, hits()) and peak < 16 << 20
+
+
 def hit(masks, equal):
     return any(all(equal[at + n] for n, bit in enumerate(mask) if bit == "1")
                for mask in masks for at in range(len(equal) - len(mask) + 1))
