@@ -1,5 +1,7 @@
 """Preference, views, curation, reports and exports on a small hand-made library."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,77 @@ def test_a_manual_file_without_a_key_keeps_its_score(spark, library):
     overrides = spark.createDataFrame([("/R/A.NES", True, False)], "file_key string, manual boolean, excluded boolean")
     rows = {r.path: r for r in preference.set_copy_preference(files, overrides).collect()}
     assert rows["/r/b.nes"].is_manual and rows["/r/a.nes"].preference_score == rows["/r/b.nes"].preference_score
+
+
+ODD_TEXTS = ["plain", "", None, "a\x01b", "\x02", "ünï", "x" * 70_000]
+ODD_HASHES = ["AB" * 32, "ab" * 32, "aB" * 32, "12" * 32, "ab" * 20, "CD" * 20, "abc", "", "no hash", None]
+
+
+def _report_before(files, games, systems, hashes):
+    """The report as it was written down first: whole rows joined and sorted as they are."""
+    def stored(algorithm):
+        return F.max(F.when(F.col("algorithm") == algorithm, F.col("hash")))
+    pivot = (hashes.filter(F.col("algorithm").isin("SHA256", "SHA1")).groupBy("file_key")
+             .agg(stored("SHA256").alias("sha256"), stored("SHA1").alias("sha1")))
+    owners = games.select("game_key", "system_key", "title", "sort_title").join(systems.select("system_key", "system_name"), "system_key").drop("system_key")
+    joined = files.join(owners, "game_key", "left").join(pivot, "file_key", "left")
+    return (joined.orderBy(F.asc_nulls_first("system_name"), F.asc_nulls_first("sort_title"), "file_name", "file_key")
+            .select(F.coalesce("system_name", F.lit("")).alias("system"), F.coalesce("title", F.lit("")).alias("game_title"), "file_name", "path",
+                    F.col("location").alias("source_folder"), F.coalesce("format_name", F.lit("")).alias("format"), "size", "modified", "region",
+                    "language", "revision", "version", "status", "catalog_status", "catalog_source", "catalog_name", "is_preferred", "is_manual",
+                    "is_excluded", "preference_score", "quick_hash", "sha256", "sha1"))
+
+
+def _odd_report(spark, kind):
+    rng = random.Random(4)
+    pick = rng.choice
+    times = ["1999-12-31 23:59:59", "2024-02-29 12:00:00.000001", "1969-12-31 23:59:59", "2200-01-01 00:00:00", None]
+    texts = ["location", "region", "language", "revision", "version", "format_name", "status", "catalog_status", "catalog_source", "catalog_name", "quick_hash"]
+    rows = []
+    for n in range(400):
+        path = pick([f"/r/{n}/Gäme {n}.nes", f"/r/{n}", f"{n}", f"/r/\x01{n}/b\x02", "/r/" + "p" * 66_000 + str(n), f"/r/twice{n % 7}"])
+        odd = n % 2
+        rows.append((pick([path.upper(), path.upper(), None, path]) if odd else path.upper(), path if n % 50 else None,
+                     pick([path.rsplit("/", 1)[-1], "other", None]) if odd else path.rsplit("/", 1)[-1], pick([1, 2, 3, 4, 5, 9, None]),
+                     pick([0, 5, 2**31 - 1, 2**31, 2**40, -1, None]) if odd else n, pick(times) if odd else times[0],
+                     *[pick([True, False, None] if odd else [True, False]) for _ in range(3)], pick([n, None]),
+                     *[pick(["/r", "/r/", *ODD_TEXTS]) if odd else pick(["/r", "x", "", None]) for _ in texts]))
+    files = spark.createDataFrame(rows, "file_key string, path string, file_name string, game_key long, size long, modified string, is_preferred boolean, "
+                                        "is_manual boolean, is_excluded boolean, preference_score int, " + ", ".join(f"{t} string" for t in texts))
+    files = files.withColumn("modified", F.col("modified").cast(kind))
+    games = spark.createDataFrame([(1, "A", "The One", "One, The"), (2, "A", "Two", "Two"), (3, "B", "T" * 5000, "T" * 5000), (4, "B", None, None),
+                                   (5, "gone", "x", "x"), (2, "B", "Zwei", ""), (None, "A", "n", "n")], "game_key long, system_key string, title string, sort_title string")
+    systems = spark.createDataFrame([("A", "System A"), ("B", None), ("B", "s" * 300)], "system_key string, system_name string")
+    keys = [row[0] for row in rows if row[0]]
+    hashes = spark.createDataFrame([(pick([*keys, None]), pick(["SHA256", "SHA1", "CRC32"]), pick(ODD_HASHES)) for _ in range(1500)],
+                                   "file_key string, algorithm string, hash string")
+    return files, games, systems, hashes
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_a_packed_inventory_equals_whole_rows(spark, kind):
+    tables = _odd_report(spark, kind)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got, want = views.inventory_rows(*tables), _report_before(*tables)
+        assert got.dtypes == want.dtypes
+        got, want = got.collect(), want.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 400
+    order = ["system", "file_name"]
+    assert [tuple(r[n] for n in order) for r in got] == [tuple(r[n] for n in order) for r in want]
+    assert sum(r.sha256 is not None for r in got) > 50 and sum(r.sha1 is not None for r in got) > 50
+
+
+def test_an_inventory_moves_few_bytes(spark):
+    files, games, systems, hashes = _odd_report(spark, "timestamp")
+    # A usual row travels as a number and bytes; neither key nor name nor a hash as text.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = views.inventory_rows(files, games, systems, hashes)
+        assert not _names_shuffled(rows, "quick_hash") and not _names_shuffled(rows, "hash")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
