@@ -328,3 +328,62 @@ def test_an_inventory_moves_few_bytes(spark):
         assert not _names_shuffled(rows, "quick_hash") and not _names_shuffled(rows, "hash")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def _odd_files(spark):
+    rng = random.Random(9)
+    pick = rng.choice
+    rows = []
+    for n in range(300):
+        path = pick([f"/r/Game {n} (USA).nes", f"/r/ünï {n}.zip", f"/r/twice {n % 5}", None])
+        rows.append((pick([path and path.upper(), path and path.upper(), path, None, f"k{n}"]), pick([f"g{n % 40}"] * 5 + [None, "hot"]), path, pick(["a (Japan)", "b"]),
+                     pick([".nes", ".zip", None]), 1, pick(["Normal", "Missing", "Duplicate", None]), pick(["Verified", "Unknown"]), pick([None, "x (USA)"]),
+                     pick([None, "Rev 1"]), pick([None, None, "Disc 1", "Disc 2"]), *[pick([True, False, False, None]) for _ in range(3)], 0.5, "", False, pick([n, None])))
+    return spark.createDataFrame(rows, FILE + ", preference_score int")
+
+
+def test_copy_preference_equals_its_steps_one_by_one(spark):
+    files = _odd_files(spark)
+    keys = sorted({r.file_key for r in files.collect() if r.file_key})
+    rng = random.Random(1)
+    named = [(key, manual, not manual) for key in rng.sample(keys, 60) for manual in [rng.random() < 0.6]] + [("unknown", True, False), (None, True, False)]
+    overrides = spark.createDataFrame(named, "file_key string, manual boolean, excluded boolean")
+    got = preference.set_copy_preference(files, overrides)
+    met = files.join(overrides, "file_key", "left").withColumn("hit", F.col("manual").isNotNull())
+    chosen = met.filter("hit AND game_key IS NOT NULL").groupBy("game_key").agg(F.max(F.when(F.col("manual"), F.col("file_key"))).alias("chosen"))
+    changed = met.withColumn("is_preferred", F.expr("CASE WHEN hit AND excluded THEN false ELSE is_preferred END")).withColumn(
+        "is_excluded", F.expr("CASE WHEN hit THEN excluded ELSE is_excluded END")).withColumn(
+        "is_manual", F.expr("CASE WHEN hit AND excluded THEN false WHEN hit THEN manual ELSE is_manual END"))
+    redo = changed.join(chosen, "game_key").withColumn("is_manual", F.expr("CASE WHEN chosen <> file_key THEN false ELSE is_manual END"))
+    rest = changed.join(chosen, "game_key", "left_anti")
+    want = preference.elect_preferred(redo.select(files.columns)).select(files.columns).unionByName(rest.select(files.columns))
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert rest.count() > 50 and redo.count() > 50
+    without = preference.set_copy_preference(files.drop("preference_score"), overrides)
+    assert without.columns == [*files.drop("preference_score").columns, "preference_score"]
+    assert without.filter("preference_score IS NULL").count() == 0
+
+
+def _exchanges(frame):
+    stack, found = [frame._jdf.queryExecution().executedPlan().initialPlan()], []
+    while stack:
+        node = stack.pop()
+        found += [node] if node.nodeName() == "Exchange" else []
+        stack += [node.children().apply(n) for n in range(node.children().size())]
+    return found
+
+
+def test_one_exchange_serves_the_pick_and_the_result(spark):
+    """Files meet their games once: the exchanges that carry their paths to the games are the same, so Spark runs one."""
+    overrides = spark.createDataFrame([("a", True, False)], "file_key string, manual boolean, excluded boolean")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = preference.set_copy_preference(_odd_files(spark).drop("preference_score"), overrides)
+        flags = done.select("file_key", "game_key", "is_preferred", "is_manual", "is_excluded", "preference_score")
+        columns = [[(e, e.output().apply(n).name()) for n in range(e.output().size())] for e in _exchanges(flags)]
+        home = [row[0][0] for row in columns if {"path", "game_key", "__flags"} <= {name for _, name in row}]
+        assert len(home) == 2 and home[0].canonicalized().equals(home[1].canonicalized())
+        assert not any({"path", "file_key"} <= {name for _, name in row} for row in columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
